@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,22 +16,22 @@ PAYLOAD = "map<string,variant>"
 FENCE = "```"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate `value` once per row and use it several times in `body`."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _wrapped(text: Column) -> Column:
-    """[text, sentinel] as array of variants.
+    """[text, sentinel] as a variant.
 
     The lenient parser ignores what follows a complete value, so the text is
-    valid JSON only when the sentinel is found right behind it.
+    exactly one JSON value only when the sentinel is found right behind it.
     """
-    doc = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{SENTINEL}"]')))
-    return F.try_variant_get(doc, "$", OBJECT_ARRAY)
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{SENTINEL}"]')))
 
 
-def _closed(parts: Column) -> Column:
-    return F.coalesce(
-        (F.size(parts) == 2)
-        & F.coalesce(F.try_variant_get(F.get(parts, F.lit(1)), "$", "string") == SENTINEL, F.lit(False)),
-        F.lit(False),
-    )
+def _closed(doc: Column) -> Column:
+    return F.coalesce(F.try_variant_get(doc, "$[1]", "string") == SENTINEL, F.lit(False))
 
 
 def valid_json(value: Column | str) -> Column:
@@ -41,13 +43,22 @@ def is_object(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
 
 
+def _top_array(text: Column) -> Column:
+    """Elements of a text that is exactly one JSON array, else null."""
+    return let(
+        _wrapped(text), lambda d: F.when(_closed(d), F.try_variant_get(d, "$[0]", OBJECT_ARRAY))
+    )
+
+
 def decode_array(value: Column | str) -> Column:
     """array<variant> when the text is a JSON array of objects (or nulls), else null."""
-    text = trim_all(value)
-    parts = _wrapped(F.when(~text.isin("", "{}", "null"), text))
-    items = F.try_variant_get(F.get(parts, F.lit(0)), "$", OBJECT_ARRAY)
-    objects_only = F.forall(items, lambda x: F.is_variant_null(x) | is_object(x))
-    return F.when(_closed(parts) & objects_only, items)
+
+    def objects_only(items: Column) -> Column:
+        return F.when(F.forall(items, lambda x: F.is_variant_null(x) | is_object(x)), items)
+
+    # Only text that starts like an array is parsed.
+    text = F.nullif(trim_all(value), F.lit("{}"))
+    return let(_top_array(F.when(text.startswith("["), text)), objects_only)
 
 
 def last_index(text: Column, needle: str) -> Column:
@@ -67,57 +78,81 @@ def fenced_block(text: Column) -> Column:
     """What stands between the first and the last code fence, without the json tag."""
     start = F.locate(FENCE, text)
     end = last_index(text, FENCE)
-    inner = trim_all(F.substring(text, start + 3, end - start - 3))
-    bare = F.when(inner.startswith("json"), F.substring(inner, F.lit(5), F.length(inner))).otherwise(inner)
-    return F.when((start > 0) & (end > start), trim_all(bare))
+    inner = F.when((start > 0) & (end > start), trim_all(F.substring(text, start + 3, end - start - 3)))
+    return trim_all(F.regexp_replace(inner, "^json", ""))
+
+
+def _if_valid(candidate: Column) -> Column:
+    return let(candidate, lambda c: F.when(valid_json(c), c))
 
 
 def extract_json_block(value: Column | str) -> Column:
     """First valid of: the text, its fenced block, its `[...]`, its `{...}`; else the text."""
-    text = trim_all(value)
-    tries = [
-        text,
-        fenced_block(text),
-        slice_between(text, "[", "]"),
-        slice_between(text, "{", "}"),
-    ]
-    return F.coalesce(*[F.when(valid_json(t), t) for t in tries], text)
+    return let(
+        trim_all(value),
+        lambda text: F.coalesce(
+            _if_valid(text),
+            _if_valid(fenced_block(text)),
+            _if_valid(slice_between(text, "[", "]")),
+            _if_valid(slice_between(text, "{", "}")),
+            text,
+        ),
+    )
+
+
+def _first_valid(candidates: Column) -> Column:
+    """First candidate that is valid JSON; later ones are not parsed any more."""
+    none = F.lit(None).cast("string")
+    return F.aggregate(candidates, none, lambda found, c: F.coalesce(found, F.when(valid_json(c), c)))
+
+
+def _slices(text: Column, opener: str, closer: str) -> Column:
+    """Valid text from the leftmost possible opener to the last closer."""
+
+    def candidates(pieces: Column) -> Column:
+        count = F.size(pieces)
+        starts = F.when(count > 1, F.sequence(F.lit(2), count)).otherwise(F.array().cast("array<int>"))
+        none = F.lit(None).cast("string")
+
+        def rest(k: Column) -> Column:
+            return F.concat(F.lit(opener), F.array_join(F.slice(pieces, k, count - k + 1), opener))
+
+        return F.aggregate(starts, none, lambda found, k: F.coalesce(found, _if_valid(rest(k))))
+
+    upto = F.substring(text, F.lit(1), last_index(text, closer))
+    return let(F.split(upto, "\\" + opener), candidates)
 
 
 def extract_json_best(value: Column | str) -> Column:
     """Like `extract_json_block`, but tries fenced blocks last to first and every opener."""
-    text = trim_all(value)
     # Fixed value: the form of a fenced block.
     fence = r"(?s)```(?:json)?\s*(\[.*?\]|\{.*?\})\s*```"
-    blocks = F.reverse(F.regexp_extract_all(text, F.lit(fence), F.lit(1)))
-    valid_block = F.get(F.filter(blocks, valid_json), F.lit(0))
-
-    def slices(opener: str, closer: str) -> Column:
-        end = last_index(text, closer)
-        starts = F.filter(
-            F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))),
-            lambda p: (F.substring(text, p, F.lit(1)) == opener) & (p < end),
+
+    def best(text: Column) -> Column:
+        blocks = F.when(F.contains(text, F.lit(FENCE)), F.regexp_extract_all(text, F.lit(fence), F.lit(1)))
+        return F.coalesce(
+            _if_valid(text),
+            _first_valid(F.reverse(blocks)),
+            _slices(text, "[", "]"),
+            _slices(text, "{", "}"),
+            text,
         )
-        hit = F.filter(starts, lambda p: valid_json(F.substring(text, p, end - p + 1)))
-        first = F.get(hit, F.lit(0))
-        return F.when(first.isNotNull(), F.substring(text, first, end - first + 1))
 
-    # The searches run only for texts that are not valid as they stand.
-    return (
-        F.when(valid_json(text), text)
-        .when(valid_block.isNotNull(), valid_block)
-        .otherwise(F.coalesce(slices("[", "]"), slices("{", "}"), text))
-    )
+    return let(trim_all(value), best)
 
 
 def parse_result_array(value: Column | str) -> Column:
     """The user interface's reading: strip one leading fence, slice the outer array, parse."""
-    text = trim_all(value)
-    opened = F.regexp_replace(text, r"^```(?:json)?\s*", "")
-    body = F.when(text.startswith(FENCE), F.regexp_replace(opened, r"\s*```$", "")).otherwise(text)
-    body = F.coalesce(slice_between(body, "[", "]"), body)
-    parts = _wrapped(F.when(body != "", body))
-    return F.when(_closed(parts), F.try_variant_get(F.get(parts, F.lit(0)), "$", OBJECT_ARRAY))
+
+    def unfenced(text: Column) -> Column:
+        opened = F.regexp_replace(text, r"^```(?:json)?\s*", "")
+        return F.when(text.startswith(FENCE), F.regexp_replace(opened, r"\s*```$", "")).otherwise(text)
+
+    def sliced(body: Column) -> Column:
+        return F.coalesce(slice_between(body, "[", "]"), body)
+
+    body = let(let(trim_all(value), unfenced), sliced)
+    return _top_array(F.nullif(body, F.lit("")))
 
 
 def payload(item: Column | str) -> Column:
@@ -132,15 +167,18 @@ def to_text(value: Column | str) -> Column:
     v = column(value)
     text = F.try_variant_get(v, "$", "string")
     whole = F.when(
-        text.endswith(".0") & (F.schema_of_variant(v) == "DOUBLE"),
-        F.regexp_replace(text, r"\.0$", ""),
-    ).otherwise(text)
-    return F.coalesce(whole, F.when(v.isNotNull() & ~F.is_variant_null(v), F.to_json(v)), F.lit(""))
+        text.endswith(".0") & (F.schema_of_variant(v) == "DOUBLE"), F.regexp_replace(text, r"\.0$", "")
+    )
+    return F.coalesce(whole, text, F.lit(""))
 
 
 def text_at(item: Column | str, path: str) -> Column:
     """Printed form of a field of a variant object, '' when absent."""
-    return to_text(F.try_variant_get(column(item), f"$.{path}", "variant"))
+    v = column(item)
+    text = F.try_variant_get(v, f"$.{path}", "string")
+    kind = F.schema_of_variant(F.try_variant_get(v, f"$.{path}", "variant"))
+    whole = F.when(text.endswith(".0") & (kind == "DOUBLE"), F.regexp_replace(text, r"\.0$", ""))
+    return F.coalesce(whole, text, F.lit(""))
 
 
 def string_variant(value: Column) -> Column:

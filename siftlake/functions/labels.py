@@ -79,7 +79,8 @@ def component_label(name: Column | str, version: Column | str) -> Column:
 
 
 def _pretty_object(v: Column) -> Column:
-    return F.to_json(F.try_variant_get(v, "$", "map<string,variant>"), {"pretty": "true"})
+    indented = F.to_json(F.try_variant_get(v, "$", "map<string,variant>"), {"pretty": "true"})
+    return F.regexp_replace(indented, r'(?m)^(\s*"(?:[^"\\]|\\.)*") : ', "$1: ")
 
 
 def format_value(value: Column | str) -> Column:

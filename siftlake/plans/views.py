@@ -56,6 +56,130 @@ from {pages}
 """
 
 
+# One stage document per order line; `n` findings each, laid out by `shape`.
+STAGE_ROWS_SQL = """
+select concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string),
+    cast(l_suppkey as string), cast(cast(round(l_extendedprice * 100) as bigint) as string)) as stage_id,
+  cast(l_orderkey as string) as task_id,
+  case when l_orderkey % 23 = 0 then 'notes' else case (l_linenumber + l_orderkey) % 9 when 0 then 'static_scan'
+    when 1 then 'rce' when 2 then 'injection' when 3 then 'auth' when 4 then 'access' when 5 then 'xss'
+    when 6 then 'config' when 7 then 'fileop' else 'logic' end end as stage,
+  l_orderkey as o, l_partkey as p, l_suppkey as s, l_linenumber as ln,
+  case when l_returnflag = 'A' then 'completed' when l_returnflag = 'R' then 'Completed' else
+    case l_suppkey % 4 when 0 then 'running' when 1 then 'paused' when 2 then 'failed' else 'completed' end end as status,
+  l_shipdate as created_at, l_partkey % 9 as shape, cast(l_quantity as bigint) % 4 as n
+from {lineitem}
+"""
+
+STAGE_TYPE_SQL = """case stage when 'rce' then 'RCE' when 'injection' then 'Injection' when 'auth' then 'Authentication'
+  when 'access' then 'Authorization' when 'xss' then 'XSS' when 'config' then 'Configuration'
+  when 'fileop' then 'FileOperation' when 'logic' then 'BusinessLogic' else '' end"""
+
+# Fields of finding i of a document; {j} repeats finding 1 as finding 3.
+FINDING_SQL = {
+    "type": f"case (p + {{j}}) % 5 when 0 then '' when 1 then null when 2 then 'Custom' else {STAGE_TYPE_SQL} end",
+    "subtype": """case (s + {j}) % 6 when 0 then 'Session Fixation' when 1 then 'Stored XSS' when 2 then 'Path Traversal'
+      when 3 then 'Race Condition' when 4 then '' else null end""",
+    "severity": """case (p + i) % 7 when 0 then 'critical' when 1 then 'High' when 2 then ' medium ' when 3 then 'LOW'
+      when 4 then 'info' when 5 then '' else null end""",
+    "reviewed_severity": "case (s + i) % 10 when 0 then 'low' when 1 then ' ' when 2 then 'Critical' else null end",
+    "verification_status": """case (p + s + i) % 6 when 0 then 'Confirmed' when 1 then 'rejected'
+      when 2 then ' UNCERTAIN ' when 3 then '' when 4 then 'other' else null end""",
+    "verification_reason": "case (s + i) % 3 when 0 then 'checked' when 1 then '  ' else null end",
+    "origin": "case (p + i) % 4 when 0 then 'gap_check' when 1 then ' ' when 2 then null else 'initial' end",
+    "file": "case when (p + {j}) % 11 = 0 then null else concat('src/P', cast((p + {j}) % 50 as string), '.go') end",
+    "line": "case when (s + {j}) % 5 = 4 then null else (s + {j}) % 5 end",
+    "function": "case when (p + {j}) % 3 = 0 then 'Handle' else null end",
+    "method": "case (o + {j}) % 3 when 0 then 'get' when 1 then 'POST' else '' end",
+    "path": "case when (s + {j}) % 7 = 0 then null else concat('/api/', cast((s + {j}) % 20 as string)) end",
+    "parameter": "case when {j} = 2 then 'id' else null end",
+    "description": "case when (p + i) % 8 = 0 then null else concat('finding ', cast(p as string)) end",
+    "vulnerable_code": "case when i % 2 = 1 then concat('exec(', cast(p as string), ')') else '' end",
+    "impact": "case i when 3 then 'revised impact' when 1 then 'base impact' else null end",
+    "execution_logic": "concat('step one', chr(10), 'step ', cast(i as string))",
+    "proof_type": "case s % 4 when 0 then 'HTTP' when 1 then 'Static' when 2 then 'guess' else null end",
+    "file_operation": "case p % 4 when 0 then 'upload' when 1 then 'rename' else null end",
+    "storage_point": "case s % 3 when 0 then 'db' when 1 then '' else null end",
+    "component_name": "case when stage = 'config' and s % 2 = 0 then 'log4j' else null end",
+    "component_version": "case when s % 4 = 0 then '2.1' else null end",
+}
+SAME_AS_FIRST = "(case when i = 3 then 1 else i end)"
+
+
+def finding_sql(name: str, j: str = SAME_AS_FIRST) -> str:
+    return FINDING_SQL[name].replace("{j}", j)
+
+
+def flat_findings_sql(rows: str = "r") -> str:
+    """DuckDB: the findings of stage rows as flat columns, position 0-based."""
+    fields = ",\n".join(f'{finding_sql(n)} as "{n}"' for n in FINDING_SQL)
+    return f"""select stage_id, task_id, stage, status, shape, created_at, ln, o, p, s, n, cast(i - 1 as int) as pos,
+      case s % 3 when 0 then 'items' when 1 then 'empty' else 'absent' end as endpoints,
+      case p % 3 when 0 then '88' when 1 then '7.5' else '' end as risk_score, {fields}
+    from (select *, unnest(range(1, n + 1)) as i from {rows})"""
+
+
+def _item_sql(fields: dict[str, str]) -> str:
+    """Spark: one finding as a struct; nulls are left out when it is printed as JSON."""
+    top = [n for n in fields if n not in ("file", "line", "function", "method", "path", "parameter")]
+    location = ", ".join(f"'{n}', {fields[n]}" for n in ("file", "line", "function"))
+    trigger = ", ".join(f"'{n}', {fields[n]}" for n in ("method", "path", "parameter"))
+    named = ", ".join(f"'{n}', {fields[n]}" for n in top)
+    return f"""named_struct({named},
+      'location', case when {fields['file']} is null then null else named_struct({location}) end,
+      'trigger', named_struct({trigger}),
+      'affected_endpoints', case s % 3 when 0 then array('/a', '/b', ' ') when 1 then array() else null end,
+      'risk_score', case p % 3 when 0 then 88.0D when 1 then 7.5D else null end)"""
+
+
+def items_sql(fields: dict[str, str], count: str = "n") -> str:
+    return f"case when {count} = 0 then '[]' else to_json(transform(sequence(1, {count}), i -> {_item_sql(fields)})) end"
+
+
+# Answers of later runs: the kind goes by line number, some are not usable.
+ANSWER_ROWS_SQL = f"""
+select r.*, case ln % 3 when 0 then 'initial' when 1 then ' GAP_CHECK' else 'revalidate' end as kind,
+  (p + s) % 4 as m,
+  case when s % 13 = 0 then 'unreadable' when s % 13 = 1 then 'object' else 'array' end as form
+from ({STAGE_ROWS_SQL}) r
+"""
+# A gap check's second finding is new, all others repeat stored signatures.
+ANSWER_J = "(case when ln % 3 = 1 and i >= 2 then 9 when i = 3 then 1 else i end)"
+ANSWER_FIELDS = {
+    **{n: finding_sql(n, ANSWER_J) for n in FINDING_SQL},
+    "severity": "case when i = 1 then 'Low' else null end",
+    "reviewed_severity": "case when i = 1 then 'info' else null end",
+    "verification_status": """case (s + i) % 4 when 0 then 'confirmed' when 1 then 'rejected' when 2 then null
+      else ' Uncertain' end""",
+    "origin": "case (p + i) % 2 when 0 then null else 'manual' end",
+    "impact": "case when i = 1 then 'reviewed impact' when i = 2 then '' else null end",
+}
+
+
+def flat_answers_sql(rows: str = "a") -> str:
+    fields = ",\n".join(f'{sql} as "{n}"' for n, sql in ANSWER_FIELDS.items())
+    return f"""select stage_id, task_id, stage, status, shape, ln, o, p, s, n, m, kind, form, cast(i - 1 as int) as pos,
+      {fields} from (select *, unnest(range(1, m + 1)) as i from {rows})"""
+
+
+# Tasks are orders; the route inventory has `n` routes laid out by `shape`.
+TASK_ROWS_SQL = """
+select cast(o_orderkey as string) as task_id,
+  case when o_orderkey % 13 = 0 then '  ' else concat(' task ', cast(o_orderkey as string)) end as name,
+  o_orderpriority as remark,
+  case o_orderstatus when 'F' then 'Completed ' when 'O' then case when o_custkey % 3 = 0 then 'running' else 'paused' end
+    else case when o_custkey % 2 = 0 then 'failed' else 'queued' end end as status,
+  o_orderdate as created_at, o_orderkey as o, o_custkey as c, o_orderkey % 7 as shape, o_custkey % 4 as n
+from {orders}
+"""
+ROUTE_SQL = {
+    "method": "case when (c + i) % 5 = 0 then '' when (c + i) % 2 = 0 then 'get' else 'POST' end",
+    "path": "concat('/r/', cast((c + i) % 3 as string))",
+    "source": "case when (o + i) % 4 = 0 then null else 'routes.go' end",
+    "description": "case when i = 2 then concat('route ', cast(c as string)) else '' end",
+}
+
+
 class Views:
     """Views of one data folder, built lazily."""
 
@@ -64,7 +188,14 @@ class Views:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A driver table, spread over the cores when its files give too few tasks.
+
+        The views turn rows into documents, which is all CPU work; tables of many
+        files keep their own partitions and are not shuffled.
+        """
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
     def sql(self, text: str) -> DataFrame:
         used = {t: self.table(t) for t in TABLES if "{" + t + "}" in text}
@@ -82,6 +213,69 @@ class Views:
     def route_files(self) -> DataFrame:
         return self.sql(ROUTE_FILES_SQL)
 
+    @cached_property
+    def stages(self) -> DataFrame:
+        """Stage documents whose JSON sits in `output_json`, in a fence, between prose, or nowhere."""
+        rows = self.sql(STAGE_ROWS_SQL).withColumn(
+            "arr", F.expr(items_sql({n: finding_sql(n) for n in FINDING_SQL}))
+        )
+        shape, arr = F.col("shape"), F.col("arr")
+        output = (
+            F.when(shape.isin(0, 2), "{}").when(shape.isin(1, 5), "").when(shape == 3, "null")
+            .when(shape == 4, "not json").otherwise(arr)
+        )
+        result = (
+            F.when(shape == 0, F.concat(F.lit("Audit notes\n```json\n"), arr, F.lit("\n```\nend")))
+            .when(shape == 1, F.concat(F.lit("Found: "), arr, F.lit(" done.")))
+            .when(shape == 2, "  Raw note without a list ")
+            .when(
+                shape == 5,
+                F.concat(F.lit("First draft:\n```\n[draft]\n```\nfinal:\n```json\n"), arr, F.lit("\n```\n")),
+            )
+            .otherwise("")
+        )
+        return rows.select(
+            "stage_id",
+            "task_id",
+            F.col("stage").alias("name"),
+            "status",
+            result.alias("result"),
+            output.alias("output_json"),
+            "created_at",
+            F.expr("created_at + make_interval(0, 0, 0, 0, ln)").alias("updated_at"),
+        )
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        """Answers of later runs: (stage_id, kind, content)."""
+        arr = F.expr(items_sql(ANSWER_FIELDS, "m"))
+        content = (
+            F.when(F.col("form") == "unreadable", "no list here")
+            .when(F.col("form") == "object", '{"a": 1}')
+            .otherwise(F.concat(F.lit("See [1] below.\n```\n[old]\n```\n```json\n"), arr, F.lit("\n```")))
+        )
+        return self.sql(ANSWER_ROWS_SQL).select("stage_id", "kind", content.alias("content"))
+
+    @cached_property
+    def tasks(self) -> DataFrame:
+        """Tasks with their route inventory as JSON."""
+        struct = "named_struct(" + ", ".join(f"'{n}', {sql}" for n, sql in ROUTE_SQL.items()) + ")"
+        arr = F.expr(f"case when n = 0 then '[]' else to_json(transform(sequence(1, n), i -> {struct})) end")
+        shape = F.col("shape")
+        return (
+            self.sql(TASK_ROWS_SQL)
+            .withColumn("arr", arr)
+            .select(
+                "task_id",
+                "name",
+                "remark",
+                "status",
+                "created_at",
+                F.when(shape == 0, F.concat(F.lit("routes: "), F.col("arr"), F.lit("."))).otherwise("").alias("result"),
+                F.when(shape.isin(0, 1), "").otherwise(F.col("arr")).alias("output_json"),
+            )
+        )
+
 
 def duck(text: str) -> str:
     """The same text for DuckDB, where the tables are views of that name."""
