@@ -34,9 +34,17 @@ def _closed(doc: Column) -> Column:
     return F.coalesce(F.try_variant_get(doc, "$[1]", "string") == SENTINEL, F.lit(False))
 
 
+def _could_be_json(text: Column) -> Column:
+    """Cheap test of the ends: a failed parse costs far more than a successful one."""
+    listed, braced = text.startswith("["), text.startswith("{")
+    scalar = text.rlike('^(?:"|-?[0-9]|true$|false$|null$)')
+    return F.when(listed, text.endswith("]")).when(braced, text.endswith("}")).otherwise(scalar)
+
+
 def valid_json(value: Column | str) -> Column:
     """True when the whole text is exactly one JSON value."""
-    return _closed(_wrapped(column(value)))
+    text = column(value)
+    return _closed(_wrapped(F.when(_could_be_json(text), text)))
 
 
 def is_object(value: Column) -> Column:
@@ -56,9 +64,11 @@ def decode_array(value: Column | str) -> Column:
     def objects_only(items: Column) -> Column:
         return F.when(F.forall(items, lambda x: F.is_variant_null(x) | is_object(x)), items)
 
-    # Only text that starts like an array is parsed.
-    text = F.nullif(trim_all(value), F.lit("{}"))
-    return let(_top_array(F.when(text.startswith("["), text)), objects_only)
+    # Only text that looks like an array from its ends is parsed.
+    def parsed(text: Column) -> Column:
+        return _top_array(F.when(text.startswith("[") & text.endswith("]"), text))
+
+    return let(let(trim_all(value), parsed), objects_only)
 
 
 def last_index(text: Column, needle: str) -> Column:
@@ -152,7 +162,7 @@ def parse_result_array(value: Column | str) -> Column:
         return F.coalesce(slice_between(body, "[", "]"), body)
 
     body = let(let(trim_all(value), unfenced), sliced)
-    return _top_array(F.nullif(body, F.lit("")))
+    return let(body, lambda t: _top_array(F.when(t.startswith("[") & t.endswith("]"), t)))
 
 
 def payload(item: Column | str) -> Column:

@@ -609,7 +609,7 @@ def finding_signature(v: Views):
 def _folded(source: str, keys: str, name: str) -> str:
     """CTE `name`: groups folded in position order, each field by its last meaningful value."""
     fields = ", ".join(
-        f"""coalesce(arg_max({n}, pos) filter (trim(coalesce({n}, '')) <> ''), arg_min({n}, pos)) as {n}"""
+        f"""coalesce(arg_max({n}, pos) filter (trim(coalesce({n}, '')) <> ''), arg_min_null({n}, pos)) as {n}"""
         for n in [*SHOWN, "ntype"]
     )
     return f"""{name} as (select {keys}, sig, min(pos) as pos, {fields} from {source} group by {keys}, sig)"""
@@ -643,7 +643,7 @@ def initial_findings(v: Views):
     select stage_id, {', '.join(f"coalesce(case when trim(coalesce({n}_b, '')) <> '' then {n}_b else {n}_a end, '') as {n}" for n in SHOWN)} from x""",
 )
 def merge_maps(v: Views):
-    pairs = _array_docs(v).filter(F.size("items") > 1)
+    pairs = findings.where_parsed(_array_docs(v), F.size("items") > 1)
     merged = pairs.select(
         "stage_id",
         algebra.merge_maps(
@@ -707,7 +707,7 @@ RUNS = f"""{cte(r=STAGE_ROWS_SQL, a=ANSWER_ROWS_SQL)}, f as (select * from ({fla
   bg as (select * from b where trim(kind) = 'GAP_CHECK'), {_normal('bg', 'gg', 'gap_check')},
   br as (select * from b where kind = 'revalidate'), {_normal('br', 'gr', 'initial')},
   cur as (select d.*, ok.knd from d join ok using (stage_id) where ok.error is null and ok.knd <> 'initial'),
-  added as (select stage_id, stage, sig, min(pos) as pos, {', '.join(f'arg_min({n}, pos) as {n}' for n in [*SHOWN, 'ntype'])}
+  added as (select stage_id, stage, sig, min(pos) as pos, {', '.join(f'arg_min_null({n}, pos) as {n}' for n in [*SHOWN, 'ntype'])}
     from gg where not exists (select 1 from d where d.stage_id = gg.stage_id and d.sig = gg.sig) group by all),
   lastr as (select stage_id, sig, {', '.join(f'last({n} order by pos) as {n}' for n in [*SHOWN, 'ntype'])} from gr group by all),
   gap as (select stage_id, sig, 0 as run, pos, ntype, {', '.join(SHOWN)} from cur where knd = 'gap_check'

@@ -180,6 +180,36 @@ ROUTE_SQL = {
 }
 
 
+# Transcripts: long sessions from the events of a user, text-heavy ones from the conversations.
+MESSAGES_SQL = """
+select concat('u', cast(user_id as string)) as session, event_id as seq,
+  case event_type when 'click' then 'tool' when 'error' then 'tool' when 'signup' then 'user' else 'assistant' end as role,
+  case when event_type = 'signup' and event_id % 11 = 0 then 'compact_boundary'
+    when event_type = 'signup' and event_id % 11 = 1 then 'microcompact_event' else 'normal' end as kind,
+  concat(event_type, ' ', props, repeat(' é log', cast(event_id % 30 as int))) as content,
+  case when event_type = 'view' then cast(1 + event_id % 2 as int) else 0 end as n_calls,
+  concat('q=', cast(event_id % 7 as string)) as args,
+  case when event_type in ('click', 'error') then case when event_id % 5 = 4 then '' else concat('call-', cast(event_id % 3 as string)) end
+    end as tool_call_id,
+  case when event_type in ('click', 'error') then case event_id % 4 when 0 then 'read_file' when 1 then 'grep_files'
+    when 2 then 'get_artifact' else 'list_files' end end as tool_name,
+  case when event_type in ('click', 'error') and event_id % 3 = 0 then concat('kept-', cast(event_id as string)) end as artifact_id
+from {events}
+union all
+select concat('c', cast(conv_id as string)), turn, case when role = 'user' and turn % 4 = 2 then 'tool' else role end, 'normal',
+  text, case when role = 'assistant' and turn % 4 = 1 then 1 else 0 end, concat('turn=', cast(turn as string)),
+  case when role = 'user' and turn % 4 = 2 then case when conv_id % 5 = 0 then 'call-1' else 'call-0' end end,
+  case when role = 'user' and turn % 4 = 2 then 'read_file' end, null
+from {conversations}
+"""
+STATES_SQL = f"""
+select session, max(case when kind = 'compact_boundary' then seq end) as boundary_seq,
+  min(case when seq % 3 = 0 then seq end) as head_seq, min(case when seq % 5 = 0 then seq end) as tail_seq,
+  max(case when seq % 7 = 0 then seq end) as memory_seq
+from ({MESSAGES_SQL}) m group by session
+"""
+
+
 class Views:
     """Views of one data folder, built lazily."""
 
@@ -276,6 +306,32 @@ class Views:
             )
         )
 
+    @cached_property
+    def messages(self) -> DataFrame:
+        calls = """case when n_calls = 0 then cast(array() as array<struct<id: string, name: string, arguments: string>>)
+          else transform(sequence(0, n_calls - 1), i -> named_struct('id', concat('call-', cast(i as string)),
+            'name', 'grep_files', 'arguments', args)) end"""
+        rows = self.sql(MESSAGES_SQL)
+        return rows.select(
+            "session", "seq", F.concat(F.lit("m-"), "seq").alias("id"), "role", "kind", "content",
+            F.expr(calls).alias("tool_calls"), "tool_call_id", "tool_name", "artifact_id",
+        )
+
+    @cached_property
+    def states(self) -> DataFrame:
+        """Session states: active boundary with its preserved segment, and the memory cursor, as message ids."""
+
+        def name(column: str) -> Column:
+            return F.concat(F.lit("m-"), F.col(column))
+
+        return self.sql(STATES_SQL).select(
+            "session",
+            name("boundary_seq").alias("active_boundary_id"),
+            name("head_seq").alias("head_id"),
+            name("tail_seq").alias("tail_id"),
+            name("memory_seq").alias("last_memory_message_id"),
+        )
+
 
 def duck(text: str) -> str:
     """The same text for DuckDB, where the tables are views of that name."""

@@ -53,8 +53,7 @@ def compare(spark, con, name, fn, sql, sf_dir) -> str | None:
     want = rows_of(names, cur.fetchall())
     if got == want:
         return f"ok {len(got)}" if got else "ok 0 EMPTY"
-    only_got = [r for r in got if r not in set(want)][:2]
-    only_want = [r for r in want if r not in set(got)][:2]
+    only_got, only_want = sorted(set(got) - set(want))[:2], sorted(set(want) - set(got))[:2]
     return f"MISMATCH {len(got)} vs {len(want)}\n   spark {str(only_got)[:700]}\n   sql   {str(only_want)[:700]}"
 
 
