@@ -217,20 +217,29 @@ def tail_split(messages: DataFrame, size: int = 4) -> DataFrame:
 
 
 def compression_window(messages: DataFrame, size: int = 12) -> DataFrame:
-    """The last `size` messages, sanitised; the sanitised whole history where that dropped anything."""
-    cuts = _cuts(messages, size).select("session", "cut_seq") if size > 0 else None
-    tail = messages
-    if cuts is not None:
-        tail = (
-            messages.join(cuts, "session", "left")
-            .filter(F.col("cut_seq").isNull() | (F.col("seq") >= F.col("cut_seq")))
-            .select(*messages.columns)
-        )
-    counts = sanitize_counts(tail)
-    changed = counts.filter((F.col("dropped_tools") > 0) | (F.col("dropped_rounds") > 0)).select("session")
-    clean_tail = sanitize_rounds(tail).join(changed, "session", "left_anti").withColumn("full_history", F.lit(False))
-    history = sanitize_rounds(messages.join(changed, "session", "left_semi")).withColumn("full_history", F.lit(True))
-    return clean_tail.unionByName(history)
+    """The last `size` messages, sanitised; the sanitised whole history where that drops anything.
+
+    Rounds are judged segment by segment and a window starts at a segment, so
+    sanitising the window is the same as cutting the sanitised history.
+    """
+    kept = sanitize_rounds(messages).select("session", "seq", F.lit(True).alias("kept"))
+    placed = messages.join(kept, ["session", "seq"], "left")
+    if size > 0:
+        cuts = _cuts(messages, size).select("session", "cut_seq")
+        placed = placed.join(cuts, "session", "left")
+        inside = F.coalesce(F.col("seq") >= F.col("cut_seq"), F.lit(True))
+    else:
+        inside = F.lit(True)
+    placed = placed.withColumn("inside", inside)
+    whole = placed.groupBy(*KEY).agg(
+        (F.count_if(F.col("inside") & F.col("kept").isNull()) > 0).alias("full_history")
+    )
+    return (
+        placed.filter(F.col("kept"))
+        .join(whole, "session")
+        .filter(F.col("inside") | F.col("full_history"))
+        .select(*messages.columns, "full_history")
+    )
 
 
 # ---- compaction ----

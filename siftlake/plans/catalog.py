@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from siftlake.plans import corpus_queries, finding_queries, report_queries  # noqa: F401
+from siftlake.plans import (  # noqa: F401
+    corpus_queries,
+    finding_queries,
+    report_queries,
+    stream_queries,
+    transcript_queries,
+)
 from siftlake.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
