@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftlake.functions.text import column, trim_all
+from siftlake.functions.text import WHITE_SPACE, column, trim_all
 
 # Closes the wrapping array in `_wrapped`; must not occur in real data.
 SENTINEL = "@@siftlake-end@@"
@@ -21,6 +21,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def trim_long(value: Column | str) -> Column:
+    """Like `trim_all`, for long texts: looks at the ends first, which are rarely other than spaces."""
+    space = list(WHITE_SPACE)
+
+    def edges(t: Column) -> Column:
+        inner = F.left(t, F.lit(1)).isin(space) | F.right(t, F.lit(1)).isin(space)
+        return F.when(inner, trim_all(t)).otherwise(t)
+
+    return let(F.trim(column(value)), edges)
+
+
 def _wrapped(text: Column) -> Column:
     """[text, sentinel] as a variant.
 
@@ -68,13 +79,13 @@ def decode_array(value: Column | str) -> Column:
     def parsed(text: Column) -> Column:
         return _top_array(F.when(text.startswith("[") & text.endswith("]"), text))
 
-    return let(let(trim_all(value), parsed), objects_only)
+    return let(let(trim_long(value), parsed), objects_only)
 
 
 def last_index(text: Column, needle: str) -> Column:
     """1-based position of the last occurrence, 0 when absent."""
-    hit = F.locate(needle[::-1], F.reverse(text))
-    return F.when(hit > 0, F.length(text) - hit - len(needle) + 2).otherwise(0)
+    after = F.length(F.substring_index(text, needle, -1))
+    return F.when(F.contains(text, F.lit(needle)), F.length(text) - after - len(needle) + 1).otherwise(0)
 
 
 def slice_between(text: Column, opener: str, closer: str) -> Column:
@@ -88,8 +99,8 @@ def fenced_block(text: Column) -> Column:
     """What stands between the first and the last code fence, without the json tag."""
     start = F.locate(FENCE, text)
     end = last_index(text, FENCE)
-    inner = F.when((start > 0) & (end > start), trim_all(F.substring(text, start + 3, end - start - 3)))
-    return trim_all(F.regexp_replace(inner, "^json", ""))
+    inner = F.when((start > 0) & (end > start), trim_long(F.substring(text, start + 3, end - start - 3)))
+    return trim_long(F.regexp_replace(inner, "^json", ""))
 
 
 def _if_valid(candidate: Column) -> Column:
@@ -99,7 +110,7 @@ def _if_valid(candidate: Column) -> Column:
 def extract_json_block(value: Column | str) -> Column:
     """First valid of: the text, its fenced block, its `[...]`, its `{...}`; else the text."""
     return let(
-        trim_all(value),
+        trim_long(value),
         lambda text: F.coalesce(
             _if_valid(text),
             _if_valid(fenced_block(text)),
@@ -148,7 +159,7 @@ def extract_json_best(value: Column | str) -> Column:
             text,
         )
 
-    return let(trim_all(value), best)
+    return let(trim_long(value), best)
 
 
 def parse_result_array(value: Column | str) -> Column:
@@ -161,7 +172,7 @@ def parse_result_array(value: Column | str) -> Column:
     def sliced(body: Column) -> Column:
         return F.coalesce(slice_between(body, "[", "]"), body)
 
-    body = let(let(trim_all(value), unfenced), sliced)
+    body = let(let(trim_long(value), unfenced), sliced)
     return let(body, lambda t: _top_array(F.when(t.startswith("[") & t.endswith("]"), t)))
 
 

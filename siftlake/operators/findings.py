@@ -26,14 +26,19 @@ def parse_findings(docs: DataFrame) -> DataFrame:
     array; none means there is no payload at all.
     """
     # One expression bound step by step: a filter on its state costs one parse, not one per use.
-    raw_result = text.trim_all(F.coalesce("result", F.lit("")))
-    raw_output = text.trim_all(F.coalesce("output_json", F.lit("")))
-    raw = F.when(raw_result != "", raw_result).when(~raw_output.isin("", "{}", "null"), raw_output)
+    def unless_blank(column: str, *empty: str) -> Column:
+        return jsontext.let(
+            jsontext.trim_long(column), lambda t: F.when(~t.isin("", *empty), t)
+        )
+
+    raw = F.coalesce(unless_blank("result"), unless_blank("output_json", "{}", "null"))
 
     def described(items: Column) -> Column:
-        raw_text = F.when(items.isNull(), raw)
-        state = F.when(items.isNotNull(), "array").when(raw.isNotNull(), "raw").otherwise("none")
-        return F.struct(state.alias("state"), items.alias("items"), raw_text.alias("raw_text"))
+        def named(raw_text: Column) -> Column:
+            state = F.when(items.isNotNull(), "array").when(raw_text.isNotNull(), "raw").otherwise("none")
+            return F.struct(state.alias("state"), items.alias("items"), raw_text.alias("raw_text"))
+
+        return jsontext.let(F.when(items.isNull(), raw), named)
 
     recovered = jsontext.decode_array(jsontext.extract_json_block("result"))
     parsed = jsontext.let(F.coalesce(jsontext.decode_array("output_json"), recovered), described)
