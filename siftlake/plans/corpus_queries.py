@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftlake import dims
@@ -69,11 +70,7 @@ STATIC = f"""{FILES}, rules(rule_no, pattern, type, subtype, severity, descripti
     trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) as vulnerable_code
   from l join rules on regexp_matches(text, pattern)
   where strlen(text) <= 500 and regexp_matches(lower(path), '\\.(php|go|js|java|py|jsp)$')
-    and not list_bool_or(list_transform({DIRS}, lambda d: starts_with(d, '.') or d in ('vendor', 'node_modules'))))"""
-STATIC = STATIC.replace(
-    f"not list_bool_or(list_transform({DIRS}, lambda d: starts_with(d, '.') or d in ('vendor', 'node_modules')))",
-    f"len(list_filter({DIRS}, lambda d: starts_with(d, '.') or d in ('vendor', 'node_modules'))) = 0",
-)
+    and len(list_filter({DIRS}, lambda d: starts_with(d, '.') or d in ('vendor', 'node_modules'))) = 0)"""
 
 
 @query("static_scan", f"{STATIC} select * from hits")
@@ -372,15 +369,13 @@ def route_candidates(v: Views):
 
 
 @query(
-    "release_order",
+    "order_and_page",
     f"""{SECRETS} select task_id, path, line, rule, row_number() over (order by task_id, path, line, rule) as ordinal
     from secrets qualify ordinal between 101 and 150""",
 )
-def release_order(v: Views):
+def order_and_page(v: Views):
     found = scans.secret_scan(v.secret_files).select("task_id", "path", "line", "rule")
     page = found.orderBy("task_id", "path", "line", "rule").limit(150)
-    from pyspark.sql import Window
-
     # The page is already cut to 150 rows, so numbering it in one task is bounded.
     ordinal = F.row_number().over(Window.orderBy("task_id", "path", "line", "rule"))
     return page.withColumn("ordinal", ordinal).filter(F.col("ordinal") > 100)

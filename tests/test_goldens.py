@@ -218,6 +218,17 @@ def test_gap_check_and_revalidation(spark):
     assert [(r["impact"], r["verification_status"]) for r in reviewed] == [("richer", "unreviewed")]
 
 
+def test_route_runs(spark):
+    stages = stages_df(spark, ("t", "init", "completed", ROUTES, ""), ("u", "init", "completed", "{}", "prose"))
+    more = '[{"method":"get","path":"/a","description":"again"},{"method":"PUT","path":"/new"}]'
+    rows = [("s0", "gap_check", more), ("s0", "initial", "no list"), ("s0", "revalidate", "[]"), ("s1", "gap_check", more)]
+    runs = algebra.run_answers(stages, spark.createDataFrame(rows, "stage_id string, kind string, content string"))
+    errors = {(r.stage_id, r.kind): r.error for r in runs.filter(F.col("error").isNotNull()).collect()}
+    assert errors == {("s0", "revalidate"): "no_revalidation", ("s1", "gap_check"): "no_structured_result"}
+    got = as_dicts(algebra.finalize_routes(runs).filter(F.col("kind") == "gap_check"), "pos")
+    assert [(g["path"], g.get("description")) for g in got] == [("/a", "again"), ("/b", None), ("/new", None)]
+
+
 def messages_df(spark, *rows):
     full = []
     for n, row in enumerate(rows):
