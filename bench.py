@@ -29,7 +29,6 @@ HEADLINE = [
     "report_overview",
     "report_findings",
     "initial_findings",
-    "finalize_run",
     "tool_rounds",
     "sanitize_rounds",
     "memory_delta",
