@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -28,16 +27,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (`spark.checkpoint.dir`).
 
-    Only a local session may fall back to a machine-local folder.
+    Where that setting is absent, a folder inside the session's warehouse, which all executors
+    reach as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.gettempdir() + "/siftlake"
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_siftlake"
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
