@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import line_quality
+from siftlake.llm import decontam, line_quality, pieces
 from siftlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +24,25 @@ def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules and line frequency over all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return line_quality.quality_rules(docs, with_text=False)
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = decontam.benchmark_hits(docs, table(spark, sf_dir, "benchmark"), with_text=False)
+    return hits.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+@query
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to pieces with an end id, and decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(pieces.encode_documents(docs))
