@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import decontam, line_quality, pieces
+from siftlake.llm import decontam, html_text, line_quality, pieces, secret_layers, token_count
 from siftlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,31 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded to pieces with an end id, and decoded again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.digests(pieces.encode_documents(docs))
+
+
+@query
+def op1_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents and of the layers encoded in them."""
+    found = secret_layers.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(secret_layers.joined("base"), 256).alias("base_sha256"),
+        secret_layers.joined("spans").alias("spans"),
+        "n_layers",
+        "n_refused",
+    )
+
+
+@query
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents."""
+    return token_count.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
