@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import decontam, html_text, line_quality, pieces, secret_layers, token_count
+from siftlake.llm import decontam, html_text, line_quality, near_dup, pieces, secret_layers, token_count
 from siftlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,10 @@ def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents."""
     return token_count.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
