@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import decontam, html_text, line_quality, near_dup, pieces, secret_layers, token_count
+from siftlake.llm import decontam, html_text, line_quality, line_runs, near_dup, pieces, secret_layers, token_count
 from siftlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,17 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dup.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated runs of lines of all documents, and what is left of the texts."""
+    out = line_runs.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        "n_lines",
+        "n_removed_lines",
+        F.array_join(F.col("removed_lines").cast("array<string>"), ",").alias("removed_lines"),
+        F.length(F.coalesce("clean_text", F.lit(""))).cast("long").alias("n_chars"),
+        F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"),
+    )
