@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.llm import decontam, html_text, line_quality, line_runs, near_dup, pieces, secret_layers, token_count
+from siftlake.llm import (
+    byte_cnn,
+    decontam,
+    host_rank,
+    html_text,
+    line_quality,
+    line_runs,
+    near_dup,
+    pieces,
+    secret_layers,
+    token_count,
+)
 from siftlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +106,18 @@ def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(F.coalesce("clean_text", F.lit(""))).cast("long").alias("n_chars"),
         F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("clean_sha256"),
     )
+
+
+@query
+def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return byte_cnn.score_quality(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op10_host_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts for all pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return host_rank.filter_pages(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
