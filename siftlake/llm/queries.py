@@ -15,6 +15,7 @@ from siftlake.llm import (
     line_quality,
     line_runs,
     near_dup,
+    oracle,
     pieces,
     secret_layers,
     token_count,
@@ -22,7 +23,7 @@ from siftlake.llm import (
 from siftlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(oracle.ORACLE)
 
 
 def query(fn):
