@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
+import math
 import re
 import string
 
@@ -16,11 +18,33 @@ from pyspark.sql import types as T
 from siftlake.llm.common import arrow_map, without
 
 BLANK = "▁"
-#: Segments whose pieces a task remembers; the store is emptied when it is full.
+#: Segments that a worker remembers in each of two generations.
 REMEMBERED = 400_000
+#: Up to this length a segment's pairs are kept as a plain list, beyond it as a heap.
+PLAIN = 40
 OUT = ["ids", "decoded", "as_library"]
 
 
+class _Known(dict):
+    """Pieces of segments, in two generations: what was not met for a generation is forgotten."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older, self.unchecked = make, {}, {}
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        out = self.older.get(part)
+        if out is None:
+            out = self.make(part)
+            self.unchecked[part] = out
+        if len(part) <= 2 * PLAIN:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[part] = out
+        return out
+
+
 class Agenda:
     """A vocabulary of scored pieces.
 
@@ -47,7 +71,7 @@ class Agenda:
             for i, p in enumerate(self.pieces)
         ]
         apart = not any(BLANK in p.lstrip(BLANK) for p in self.rank)
-        lone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.rank))
+        self.lone = lone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.rank))
         marks = set(string.punctuation)
         self.joined = {x for p in self.rank for x, y in zip(p, p[1:]) if y in marks and x not in marks | {BLANK}}
         rest = re.escape("".join(sorted(marks)))
@@ -56,10 +80,41 @@ class Agenda:
         parts = f"{BLANK}*[^{BLANK}{lone}]+{ends}"
         self.fine = re.compile(fine + ends if apart else "(?s).+").findall
         self.cut = re.compile(parts if apart else "(?s).+").findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known = _Known(self.segment)
+        self.wrong: set[str] = set()
 
     def segment(self, text: str) -> tuple[int, ...]:
         """Merge the best-scored adjacent pair, the leftmost of equals, until none is a piece."""
+        symbols = self._by_list(text) if len(text) <= PLAIN else self._by_heap(text)
+        out: list[int] = []
+        for s in symbols:
+            found = self.ids.get(s)
+            if found is not None:
+                out.append(found)
+            elif self.bytes:
+                out.extend(self.bytes[b] for b in s.encode())
+            elif not out or out[-1] != self.unk:
+                out.append(self.unk)
+        return tuple(out)
+
+    def _by_list(self, text: str) -> list[str]:
+        """The agenda as the ranks of all adjacent pairs: its best entry is the first least one."""
+        get, none, symbols = self.rank.get, math.inf, list(text)
+        ranks = [get(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(symbols[i] + symbols[i + 1], none)
+            if i:
+                ranks[i - 1] = get(symbols[i - 1] + symbols[i], none)
+        return symbols
+
+    def _by_heap(self, text: str) -> list[str]:
         rank = self.rank
         symbols: list[str] = list(text)
         n = len(symbols)
@@ -89,36 +144,42 @@ class Agenda:
                 pair = symbols[h] + symbols[i]
                 if pair in rank:
                     heapq.heappush(agenda, (rank[pair], h, len(pair)))
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                found = self.ids.get(s)
-                if found is not None:
-                    out.append(found)
-                elif self.bytes:
-                    out.extend(self.bytes[b] for b in s.encode())
-                elif not out or out[-1] != self.unk:
-                    out.append(self.unk)
-        return tuple(out)
+        return [s for s in symbols if s]
 
-    def encode(self, text: str) -> list[int]:
-        """Numbers of the pieces, without begin or end."""
-        # The model's own character rules; the blank sign replaces blanks and leads the text.
+    def parts(self, text: str) -> list[str]:
+        """The segments of a text, after the model's own character rules: the blank sign replaces blanks
+        and leads the text."""
         normal = self.library.normalize(text)
-        known, segment = self.known, self.segment
-        if len(known) > REMEMBERED:
-            known.clear()
-        out: list[int] = []
         # Signs that stand before punctuation in some piece would make the finer cut unproven.
-        cut = self.fine if self.joined.isdisjoint(normal) else self.cut
-        for part in cut(normal):
-            found = known.get(part)
-            if found is None:
-                found = segment(part)
-                if len(part) <= 64:
-                    known[part] = found
-            out += found
-        return out
+        return (self.fine if self.joined.isdisjoint(normal) else self.cut)(normal)
+
+    def encode(self, text: str) -> list[int]:
+        """Numbers of the pieces, without begin or end."""
+        return list(itertools.chain.from_iterable(map(self.known.__getitem__, self.parts(text))))
+
+    def as_library(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
+        """Whether the library gives these ids.
+
+        The library encodes every segment that was worked out since the last call, between
+        signs that no piece holds next to another sign. Texts are sequences of checked segments. A vocabulary
+        without such a sign has its whole texts encoded.
+        """
+        if not self.lone:
+            return [a == b for a, b in zip(ids, self.library.encode(texts, num_threads=1))]
+        sign = self.lone[0]
+        apart = self.ids.get(sign, self.bytes.get(ord(sign), self.unk))
+        parts = [p for p in self.known.unchecked if p not in self.lone]
+        got, at = self.library.encode(sign + sign.join(parts) + sign, num_threads=1), 0
+        at = got.index(apart) + 1
+        for part in parts:
+            end = got.index(apart, at)
+            if tuple(got[at:end]) != self.known.unchecked[part]:
+                self.wrong.add(part)
+            at = end + 1
+        self.known.unchecked.clear()
+        if not self.wrong:
+            return [True] * len(texts)
+        return [self.wrong.isdisjoint(self.parts(t)) for t in texts]
 
     def decode(self, ids: list[int]) -> str:
         """The text of piece numbers; bytes that are no UTF-8 become replacement characters."""
@@ -176,8 +237,8 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 def encode_documents(docs: DataFrame, path: str | None = None, add_end: bool = True) -> DataFrame:
     """Adds `ids`, `decoded` (from the ids) and `as_library`; input columns of these names give way.
 
-    The ids come from the agenda; `as_library` tells whether the sentencepiece library gives the same
-    ids and the same decoded text, which is computed for each batch.
+    The ids come from the agenda. For each Arrow batch the sentencepiece library encodes the segments that
+    are new in it and decodes all ids; `as_library` tells whether both agree with the agenda.
 
     A null or empty text has the end id alone and decodes to ''; rows that repeat stay; an empty
     table gives an empty result. `path` names a merge-type model file that every executor reads.
@@ -193,10 +254,11 @@ def encode_documents(docs: DataFrame, path: str | None = None, add_end: bool = T
 
         def apply(rows: dict[str, list]) -> dict[str, list]:
             texts = [t or "" for t in rows["text"]]
-            ids = [agenda.encode(t) + end for t in texts]
+            ids = [agenda.encode(t) for t in texts]
+            checked = agenda.as_library(texts, ids)
+            ids = [i + end for i in ids]
             decoded = [agenda.decode(i) for i in ids]
-            want = library.encode(texts, add_eos=add_end, num_threads=1)
-            same = [a == b and c == d for a, b, c, d in zip(ids, want, decoded, library.decode(ids, num_threads=1))]
+            same = [a and b == c for a, b, c in zip(checked, decoded, library.decode(ids, num_threads=1))]
             return {n: rows[n] for n in names} | {"ids": ids, "decoded": decoded, "as_library": same}
 
         return apply
