@@ -11,34 +11,24 @@ from pyspark.sql import functions as F
 from siftlake import dims
 from siftlake.functions import paths, text
 
-LINE_BUCKET = 256
-LINE_CAP_BYTES = 1024 * 1024
 
-
-def split_lines(content: Column, style: str = "split", cap: int = LINE_CAP_BYTES) -> Column:
+def split_lines(content: Column, style: str = "split") -> Column:
     """Array of lines.
 
-    `split` keeps a trailing empty line and carriage returns. `scanner` drops
-    both and ends the file before the first line longer than `cap` bytes.
+    `split` keeps a trailing empty line and carriage returns, `scanner` drops both.
     """
     parts = F.split(content, "\n")
     if style == "split":
         return parts
     bare = F.when(content.endswith("\n") | (content == ""), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    bare = F.when(
-        F.contains(content, F.lit("\r")), F.transform(bare, lambda s: F.regexp_replace(s, r"\r$", ""))
-    ).otherwise(bare)
-    too_long = F.array_position(F.transform(bare, lambda s: F.octet_length(s) > cap), True)
     return F.when(
-        (F.octet_length(content) > cap) & (too_long > 0), F.slice(bare, F.lit(1), (too_long - 1).cast("int"))
+        F.contains(content, F.lit("\r")), F.transform(bare, lambda s: F.regexp_replace(s, r"\r$", ""))
     ).otherwise(bare)
 
 
-def source_lines(files: DataFrame, style: str = "split", cap: int = LINE_CAP_BYTES) -> DataFrame:
+def source_lines(files: DataFrame, style: str = "split") -> DataFrame:
     """(task_id, path, line, text), lines numbered from 1."""
-    rows = files.select(
-        "task_id", "path", F.posexplode(split_lines(F.col("content"), style, cap)).alias("pos", "text")
-    )
+    rows = files.select("task_id", "path", F.posexplode(split_lines(F.col("content"), style)).alias("pos", "text"))
     return rows.select("task_id", "path", (F.col("pos") + 1).alias("line"), "text")
 
 
@@ -59,39 +49,44 @@ def files_matching(files: DataFrame, patterns: list[str]) -> DataFrame:
     return files
 
 
-def ranked(rows: DataFrame, order: list, keys: list[str], limit: int, offset: int = 0) -> DataFrame:
-    """Rows offset+1 .. offset+limit of every group.
+def ranked(
+    rows: DataFrame, order: list, keys: list[str], limit: int | None = None, offset: int = 0
+) -> DataFrame:
+    """Rows offset+1 .. offset+limit of every group; all rows when neither is given.
 
     The rank filter lets Spark cut each group before the shuffle, so a hot
     group sends at most offset+limit rows per input partition.
     """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    cut = rows.withColumn("rank", rank).filter(F.col("rank") <= offset + limit)
-    return cut.filter(F.col("rank") > offset).drop("rank")
+    if limit is None and not offset:
+        return rows
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    if limit is not None:
+        rows = rows.filter(F.col("rank") <= offset + limit)
+    return rows.filter(F.col("rank") > offset).drop("rank")
 
 
 def grep_lines(
     files: DataFrame,
     pattern: str,
     ignore_case: bool = False,
-    max_results: int = 200,
+    max_results: int | None = None,
     offset: int = 0,
-    max_files: int = 1000,
+    max_files: int | None = None,
+    max_file_bytes: int | None = None,
 ) -> DataFrame:
-    """Matching lines per project in walk order, with the text as shown (cut at 100 bytes)."""
+    """Matching lines per project with the text as shown (cut at 100 bytes).
+
+    Every line of every walked file is looked at. A caller may ask for a page in walk
+    order (`max_results`, `offset`), for the first files only, or for small files only.
+    """
     regex = f"(?i){pattern}" if ignore_case else pattern
     path = F.col("path")
     walked = files.filter(~paths.in_ignored_directory(path)).withColumn("walk", paths.walk_key(path))
-    # The file limit counts every walked file, also those skipped below.
-    last = (
-        ranked(walked.select("task_id", "walk"), ["walk"], ["task_id"], 1, max_files - 1)
-        .withColumnRenamed("walk", "last_walk")
-    )
     readable = walked.filter(
-        (F.octet_length("content") <= dims.MAX_GREP_FILE_BYTES)
-        & ~paths.extension(path).isin(dims.GREP_SKIPPED_EXTENSIONS)
-        & ~F.contains(path, F.lit(".git/"))
+        ~paths.extension(path).isin(dims.GREP_SKIPPED_EXTENSIONS) & ~F.contains(path, F.lit(".git/"))
     )
+    if max_file_bytes is not None:
+        readable = readable.filter(F.octet_length("content") <= max_file_bytes)
     hits = (
         files_matching(readable, [regex])
         .select(
@@ -102,10 +97,16 @@ def grep_lines(
         )
         .filter(F.col("line_text").rlike(text.regex(regex)))
     )
-    inside = hits.join(last, "task_id", "left").filter(
-        F.col("last_walk").isNull() | (F.col("walk") <= F.col("last_walk"))
-    )
-    page = ranked(inside, ["walk", "pos"], ["task_id"], max_results, offset)
+    if max_files is not None:
+        # The file limit counts every walked file, also those skipped above.
+        last = (
+            ranked(walked.select("task_id", "walk"), ["walk"], ["task_id"], 1, max_files - 1)
+            .withColumnRenamed("walk", "last_walk")
+        )
+        hits = hits.join(last, "task_id", "left").filter(
+            F.col("last_walk").isNull() | (F.col("walk") <= F.col("last_walk"))
+        )
+    page = ranked(hits, ["walk", "pos"], ["task_id"], max_results, offset)
     return page.select(
         "task_id",
         "path",
@@ -149,7 +150,7 @@ def _walk_order() -> Column:
     return F.when(F.col("depth") == 0, "").otherwise(paths.walk_key("path"))
 
 
-def search_paths(files: DataFrame, pattern: str, max_results: int = 200, offset: int = 0) -> DataFrame:
+def search_paths(files: DataFrame, pattern: str, max_results: int | None = None, offset: int = 0) -> DataFrame:
     """Files and directories whose base name (or path, when the glob has `/`) matches."""
     regex = text.glob_to_regex(pattern)
     target = "path" if "/" in pattern.removeprefix("**/") else "name"
@@ -157,7 +158,7 @@ def search_paths(files: DataFrame, pattern: str, max_results: int = 200, offset:
     return ranked(hits, ["walk"], ["task_id"], max_results, offset).select("task_id", "path", "is_dir")
 
 
-def list_children(files: DataFrame, directory: str = "", max_entries: int = 300) -> DataFrame:
+def list_children(files: DataFrame, directory: str = "", max_entries: int | None = None) -> DataFrame:
     """Immediate children of a directory: kind D or F, name, size (null for directories)."""
     prefix = directory.strip("/") + "/" if directory.strip("/") else ""
     rest = F.substring(F.col("path"), F.lit(len(prefix) + 1), F.length("path"))
@@ -180,11 +181,13 @@ def list_children(files: DataFrame, directory: str = "", max_entries: int = 300)
     )
 
 
-def tree(files: DataFrame, max_depth: int = 2, max_entries: int = 500) -> DataFrame:
+def tree(files: DataFrame, max_depth: int = 2, max_entries: int | None = None) -> DataFrame:
     """Depth-limited tree, two spaces per level, root included, in walk order (`ordinal`)."""
     entries = path_entries(files, max_depth).withColumn("walk", _walk_order())
     rank = F.row_number().over(Window.partitionBy("task_id").orderBy("walk"))
-    shown = entries.withColumn("ordinal", rank).filter(F.col("ordinal") <= max_entries)
+    shown = entries.withColumn("ordinal", rank)
+    if max_entries is not None:
+        shown = shown.filter(F.col("ordinal") <= max_entries)
     kind = F.when(F.col("is_dir"), "[D] ").otherwise("[F] ")
     return shown.select(
         "task_id",
@@ -195,66 +198,71 @@ def tree(files: DataFrame, max_depth: int = 2, max_entries: int = 500) -> DataFr
     )
 
 
-def _effective_ranges(requests: DataFrame, files: DataFrame) -> DataFrame:
-    """Requests with effective first/last line, line count of the file and a status."""
+def _effective_ranges(
+    requests: DataFrame, files: DataFrame, auto_lines: int | None, open_lines: int | None
+) -> DataFrame:
+    """Requests with the lines of their file, effective first/last line and a status.
+
+    Only requested files are split into lines.
+    """
     start, end = F.col("start_line"), F.col("end_line")
     auto = (start <= 0) & (end <= 0)
+    total = F.col("total_lines")
     first = F.greatest(start, F.lit(1))
-    last = F.when(auto, 200).when(end <= 0, first + 1000).otherwise(end)
-    counts = files.select(
-        "task_id", "path", F.size(split_lines(F.col("content"), "scanner")).alias("total_lines")
-    )
+    to_auto = total if auto_lines is None else F.lit(auto_lines)
+    to_open = total if open_lines is None else first + open_lines
+    asked = requests.select("task_id", "path").distinct()
+    wanted = files.join(asked, ["task_id", "path"], "left_semi").select("task_id", "path", "content")
+    lines = split_lines(F.col("content"), "scanner")
     return (
-        requests.withColumn("first", first)
-        .withColumn("last", last)
-        .join(counts, ["task_id", "path"], "left")
+        requests.join(wanted, ["task_id", "path"], "left")
+        .withColumn("lines", lines)
+        .withColumn("total_lines", F.when(F.col("content").isNotNull(), F.size("lines")))
+        .withColumn("first", first)
+        .withColumn("last", F.when(auto, to_auto).when(end <= 0, to_open).otherwise(end))
         .withColumn(
             "status",
-            F.when(F.col("total_lines").isNull(), "missing")
+            F.when(total.isNull(), "missing")
             .when(~auto & (end > 0) & (F.col("first") > end), "bad_range")
-            .when(F.col("total_lines") < F.col("first"), "short")
+            .when(total < F.col("first"), "short")
             .otherwise("ok"),
         )
     )
 
 
-def read_range_status(requests: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per request: effective range, file length, ok / missing / bad_range / short."""
-    return _effective_ranges(requests, files).select(
+def read_range_status(
+    requests: DataFrame, files: DataFrame, auto_lines: int | None = None, open_lines: int | None = None
+) -> DataFrame:
+    """One row per request: effective range, file length, ok / missing / bad_range / short.
+
+    A request without a range means the whole file, or its first `auto_lines`; one
+    without an end means the rest of the file, or `open_lines` more.
+    """
+    return _effective_ranges(requests, files, auto_lines, open_lines).select(
         "request_id", "task_id", "path", "first", "last", "total_lines", "status"
     )
 
 
-def read_range(requests: DataFrame, files: DataFrame, max_bytes: int = 500 * 1024) -> DataFrame:
-    """Lines of the requested ranges, joined by blocks of lines rather than line by line.
+def read_range(
+    requests: DataFrame,
+    files: DataFrame,
+    max_bytes: int | None = None,
+    auto_lines: int | None = None,
+    open_lines: int | None = None,
+) -> DataFrame:
+    """Lines of the requested ranges, cut out of each file in its own row: lines are never shuffled.
 
-    `requests` has (request_id, task_id, path, start_line, end_line). Output
-    ends with the line that passes `max_bytes`.
+    `requests` has (request_id, task_id, path, start_line, end_line). With
+    `max_bytes` the output ends with the line that passes it.
     """
-    wanted = (
-        _effective_ranges(requests, files)
-        .filter(F.col("status") == "ok")
-        .withColumn("last", F.least("last", "total_lines"))
-        .select(
-            "request_id",
-            "task_id",
-            "path",
-            "first",
-            "last",
-            F.explode(
-                F.sequence(F.floor(F.col("first") / LINE_BUCKET), F.floor(F.col("last") / LINE_BUCKET))
-            ).alias("block"),
-        )
-    )
-    lines = source_lines(files, "scanner").withColumn("block", F.floor(F.col("line") / LINE_BUCKET))
-    hit = wanted.join(lines, ["task_id", "path", "block"]).filter(
-        F.col("line").between(F.col("first"), F.col("last"))
-    )
+    wanted = _effective_ranges(requests, files, auto_lines, open_lines).filter(F.col("status") == "ok")
+    count = F.least("last", "total_lines") - F.col("first") + 1
+    part = F.slice("lines", F.col("first").cast("int"), F.greatest(count, F.lit(0)).cast("int"))
+    rows = wanted.select("request_id", "task_id", "path", "first", F.posexplode(part).alias("at", "text"))
+    rows = rows.select("request_id", "task_id", "path", (F.col("first") + F.col("at")).alias("line"), "text")
+    if max_bytes is None:
+        return rows
     # One request reads one file, so this window never spans more than a file.
     before = Window.partitionBy("request_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     written = F.coalesce(F.sum(F.octet_length("text") + 1).over(before), F.lit(0))
-    return (
-        hit.withColumn("written", written)
-        .filter(F.col("written") <= max_bytes)
-        .select("request_id", "task_id", "path", "line", "text")
-    )
+    return rows.withColumn("written", written).filter(F.col("written") <= max_bytes).drop("written")

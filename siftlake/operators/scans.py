@@ -9,8 +9,6 @@ from siftlake import dims
 from siftlake.functions import labels, paths, text
 from siftlake.operators.lines import any_of, files_matching, source_lines
 
-SECRET_LINE_CAP = 2 * 1024 * 1024
-
 
 def static_files(files: DataFrame) -> DataFrame:
     """Files the static scan reads."""
@@ -19,16 +17,18 @@ def static_files(files: DataFrame) -> DataFrame:
     )
 
 
-def static_scan(files: DataFrame, rules: list[tuple] = dims.STATIC_RULES) -> DataFrame:
-    """One finding per (line, rule) match.
+def static_scan(
+    files: DataFrame, rules: list[tuple] = dims.STATIC_RULES, max_line_bytes: int | None = None
+) -> DataFrame:
+    """One finding per (line, rule) match, in lines of any length unless `max_line_bytes` is given.
 
     Few rules are folded into the scan as literals: no rule join, each pattern
     compiled once per task, and files without any match are never split.
     """
     patterns = [r[0] for r in rules]
-    lines = source_lines(files_matching(static_files(files), patterns)).filter(
-        (F.octet_length("text") <= dims.STATIC_MAX_LINE_BYTES) & F.col("text").rlike(any_of(patterns))
-    )
+    lines = source_lines(files_matching(static_files(files), patterns)).filter(F.col("text").rlike(any_of(patterns)))
+    if max_line_bytes is not None:
+        lines = lines.filter(F.octet_length("text") <= max_line_bytes)
     found = F.array(
         *[F.when(F.col("text").rlike(text.regex(pattern)), F.lit(i)) for i, (pattern, *_) in enumerate(rules)]
     )
@@ -64,8 +64,11 @@ def static_rule_counts(files: DataFrame, rules: list[tuple] = dims.STATIC_RULES)
     return table.join(counts, "rule_no", "left").fillna(0, ["findings", "files"])
 
 
-def static_findings_payload(found: DataFrame) -> DataFrame:
-    """Static findings as documents' elements: (task_id, stage, pos-ordering columns, item JSON)."""
+def static_stage_items(found: DataFrame) -> DataFrame:
+    """Static findings as the items of each project's `static_scan` stage: (task_id, stage, pos, item JSON).
+
+    `pos` orders them by path, line and rule; `tables.stage_documents` makes documents of them.
+    """
     item = F.struct(
         "type",
         "subtype",
@@ -75,9 +78,8 @@ def static_findings_payload(found: DataFrame) -> DataFrame:
         "description",
         "vulnerable_code",
     )
-    return found.select(
-        "task_id", F.lit("static_scan").alias("stage"), "path", "line", "rule_no", F.to_json(item).alias("item")
-    )
+    pos = F.struct("path", "line", "rule_no")
+    return found.select("task_id", F.lit("static_scan").alias("stage"), pos.alias("pos"), F.to_json(item).alias("item"))
 
 
 def release_scope(files: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def secret_scan(files: DataFrame) -> DataFrame:
     patterns = [p for _, p, _ in dims.SECRET_RULES]
     content = F.col("content")
     readable = files.filter((content != "") & ~F.contains(content, F.lit("\0")))
-    lines = source_lines(files_matching(readable, patterns), "scanner", SECRET_LINE_CAP).filter(
+    lines = source_lines(files_matching(readable, patterns), "scanner").filter(
         F.col("text").rlike(any_of(patterns))
     )
     hits = F.array_compact(F.array(*[_secret_rule(*rule) for rule in dims.SECRET_RULES]))

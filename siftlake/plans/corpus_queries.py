@@ -58,7 +58,7 @@ def source_lines(v: Views):
 
 @query("scanner_lines", f"{cte(f=SECRET_FILES_SQL)}{SCANNED} select task_id, path, line, text from l")
 def scanner_lines(v: Views):
-    return lines.source_lines(v.secret_files, "scanner", 2 * 1024 * 1024)
+    return lines.source_lines(v.secret_files, "scanner")
 
 
 _RULES_SQL = ", ".join(
@@ -69,7 +69,7 @@ STATIC = f"""{FILES}, rules(rule_no, pattern, type, subtype, severity, descripti
   {SPLIT_LINES}, hits as (select l.task_id, l.path, l.line, rule_no, type, subtype, severity, description,
     trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)) as vulnerable_code
   from l join rules on regexp_matches(text, pattern)
-  where strlen(text) <= 500 and regexp_matches(lower(path), '\\.(php|go|js|java|py|jsp)$')
+  where regexp_matches(lower(path), '\\.(php|go|js|java|py|jsp)$')
     and len(list_filter({DIRS}, lambda d: starts_with(d, '.') or d in ('vendor', 'node_modules'))) = 0)"""
 
 
@@ -90,18 +90,15 @@ def static_rules(v: Views):
 
 @query(
     "grep_lines",
-    f"""{FILES}{SCANNED}, walked as (select *, row_number() over (partition by task_id order by {WALK}) as file_no
-        from f where not list_has_any({DIRS}, {IGNORED})),
-      hits as (select l.task_id, l.path, l.line, trim(l.text, ' ' || chr(9) || chr(13)) as t,
-          row_number() over (partition by l.task_id order by replace(l.path, '/', chr(1)), l.line) as rn
-        from l join walked w on l.task_id = w.task_id and l.path = w.path
-        where w.file_no <= 20 and regexp_matches(l.text, '(?i)TION') and not regexp_matches(lower(l.path), '\\.exe$'))
+    f"""{FILES}{SCANNED}, hits as (select task_id, path, line, trim(text, ' ' || chr(9) || chr(13)) as t from l
+        where not list_has_any({DIRS}, {IGNORED}) and regexp_matches(text, '(?i)TION')
+          and not regexp_matches(lower(path), '\\.exe$'))
     select task_id, path, line,
       hex(case when strlen(t) > 100 then encode(t)[1:97] else encode(t) end) as shown
-    from hits where rn between 6 and 45""",
+    from hits""",
 )
 def grep_lines(v: Views):
-    found = lines.grep_lines(v.files, "TION", ignore_case=True, max_results=40, offset=5, max_files=20)
+    found = lines.grep_lines(v.files, "TION", ignore_case=True)
     # A cut may split a character, which shows as a mark in Spark: compare the bytes before it.
     raw = F.col("shown").cast("binary")
     return found.withColumn(
@@ -118,12 +115,10 @@ ENTRIES = f"""{FILES}, e as (select distinct task_id, depth,
 
 @query(
     "search_paths",
-    f"""{ENTRIES} select task_id, path, is_dir from (select *, row_number() over (partition by task_id order by
-        case when depth = 0 then '' else {WALK} end) as rn from e
-      where regexp_matches(path, '^src/[^/]*/doc[^/]*\\.[jp][^/]*$')) where rn between 3 and 12""",
+    f"{ENTRIES} select task_id, path, is_dir from e where regexp_matches(path, '^src/[^/]*/doc[^/]*\\.[jp][^/]*$')",
 )
 def search_paths(v: Views):
-    return lines.search_paths(v.files, "**/src/*/doc*.[jp]*", max_results=10, offset=2)
+    return lines.search_paths(v.files, "**/src/*/doc*.[jp]*")
 
 
 @query(
@@ -131,7 +126,7 @@ def search_paths(v: Views):
     f"{ENTRIES} select task_id, path, is_dir from e where regexp_matches(name, '^[^/]?n[^/]*$')",
 )
 def search_names(v: Views):
-    return lines.search_paths(v.files, "?n*", max_results=100_000)
+    return lines.search_paths(v.files, "?n*")
 
 
 @query(
@@ -149,10 +144,9 @@ def list_children(v: Views):
     "list_root",
     f"""{FILES}, k as (select task_id, split_part(path, '/', 1) as name, max(contains(path, '/')) as is_dir,
         max(strlen(content)) as b from f group by all),
-      r as (select *, row_number() over (partition by task_id order by name) as rn from k
-        where not (is_dir and name in (select unnest({IGNORED}))))
+      r as (select * from k where not (is_dir and name in (select unnest({IGNORED}))))
     select task_id, case when is_dir then 'D' else 'F' end as kind, name, case when not is_dir then b end as bytes
-    from r where rn <= 300""",
+    from r""",
 )
 def list_root(v: Views):
     return lines.list_children(v.files)
@@ -164,7 +158,7 @@ def list_root(v: Views):
         order by case when depth = 0 then '' else {WALK} end) as ordinal from e where depth <= 2)
     select task_id, ordinal, path, depth,
       concat(repeat('  ', depth), case when is_dir then '[D] ' else '[F] ' end, name) as shown
-    from r where ordinal <= 500""",
+    from r""",
 )
 def tree(v: Views):
     return lines.tree(v.files)
@@ -183,8 +177,7 @@ REQUESTS_SQL = (
 RANGES = f"""{cte(f=FILES_SQL, q=REQUESTS_SQL)}{SCANNED},
   counts as (select task_id, path, count(*) as total_lines from l group by all),
   s as (select request_id, task_id, path, greatest(start_line, 1) as first,
-      case when start_line <= 0 and end_line <= 0 then 200 when end_line <= 0 then greatest(start_line, 1) + 1000
-        else end_line end as last, end_line, total_lines
+      case when end_line <= 0 then total_lines else end_line end as last, end_line, total_lines
     from q left join counts using (task_id, path)),
   r as (select *, case when total_lines is null then 'missing' when end_line > 0 and first > end_line then 'bad_range'
       when total_lines < first then 'short' else 'ok' end as status from s)"""
@@ -204,15 +197,12 @@ def read_range_status(v: Views):
 
 @query(
     "read_range",
-    f"""{RANGES}, hit as (select r.request_id, l.task_id, l.path, l.line, l.text,
-        coalesce(sum(strlen(l.text) + 1) over (partition by r.request_id order by l.line
-          rows between unbounded preceding and 1 preceding), 0) as written
+    f"""{RANGES} select r.request_id, l.task_id, l.path, l.line, l.text
       from r join l on r.task_id = l.task_id and r.path = l.path and l.line between r.first and r.last
-      where r.status = 'ok')
-    select request_id, task_id, path, line, text from hit where written <= 2000""",
+      where r.status = 'ok'""",
 )
 def read_range(v: Views):
-    return lines.read_range(_requests(v), v.files, max_bytes=2000)
+    return lines.read_range(_requests(v), v.files)
 
 
 @query(
