@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 4096
+from siftlake.session import written_table
 
 
 def running(
@@ -15,44 +15,42 @@ def running(
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     totals: dict[str, Column] | None = None,
-    chunk: int = CHUNK,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add running sums, last non-null values (both up to and including the row) and group totals.
 
-    `seq` is an integer, unique inside a group. Each group is cut into ranges of
-    `chunk` sequence values. One small row per range carries the values in from
-    the ranges before it, so the big window runs per range: a group with a
-    third of all rows is spread over as many tasks as it has ranges.
+    `seq` is unique inside a group. Rows are dealt out by ranges of (keys, seq), which Spark
+    cuts by numbers of rows whatever the values, so a group with a third of all rows is spread over a
+    third of the tasks. Only the keys, `seq` and the values go there, as a written table; one small row per
+    group and range carries the values over. `df` is evaluated twice: for the values and for the result.
     """
     sums, lasts, totals = sums or {}, lasts or {}, totals or {}
-    part = f"_{seq}_part"
-    rows = df.withColumn(part, F.floor(F.col(seq) / chunk))
-    for name, value in {**sums, **lasts, **totals}.items():
-        rows = rows.withColumn(f"_{name}", value)
-    per_range = rows.groupBy(*keys, part).agg(
-        *[F.sum(f"_{n}").alias(f"_{n}_range") for n in (*sums, *totals)],
-        *[
-            F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col(seq))).alias(f"_{n}_range")
-            for n in lasts
-        ],
+    values = {**sums, **lasts, **totals}
+    slim = df.select(*keys, seq, *[v.alias(f"_{n}") for n, v in values.items()])
+    by = [*keys, seq]
+    dealt = slim.repartitionByRange(parts, *by) if parts else slim.repartitionByRange(*by)
+    # The part is stored with the row: a second evaluation might cut the ranges elsewhere.
+    rows = written_table(dealt.withColumn("_part", F.spark_partition_id()), "running")
+    per_part = rows.groupBy(*keys, "_part").agg(
+        *[F.sum(f"_{n}").alias(f"_{n}_part") for n in (*sums, *totals)],
+        *[F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.col(seq))).alias(f"_{n}_part") for n in lasts],
     )
-    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    carried = per_range.select(
+    carried = per_part.select(
         *keys,
-        part,
-        *[F.coalesce(F.sum(f"_{n}_range").over(before), F.lit(0)).alias(f"_{n}_carry") for n in sums],
-        *[F.last(f"_{n}_range", ignorenulls=True).over(before).alias(f"_{n}_carry") for n in lasts],
-        *[F.sum(f"_{n}_range").over(whole).alias(n) for n in totals],
+        "_part",
+        *[F.coalesce(F.sum(f"_{n}_part").over(before), F.lit(0)).alias(f"_{n}_carry") for n in sums],
+        *[F.last(f"_{n}_part", ignorenulls=True).over(before).alias(f"_{n}_carry") for n in lasts],
+        *[F.sum(f"_{n}_part").over(whole).alias(n) for n in totals],
     )
     inside = (
-        Window.partitionBy(*keys, part).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys, "_part").orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = rows.join(carried, [*keys, part])
-    out = [F.col(c) for c in df.columns]
-    out += [(F.col(f"_{n}_carry") + F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0))).alias(n) for n in sums]
-    out += [
-        F.coalesce(F.last(f"_{n}", ignorenulls=True).over(inside), F.col(f"_{n}_carry")).alias(n) for n in lasts
-    ]
-    out += [F.col(n) for n in totals]
-    return joined.select(*out)
+    out = rows.join(carried, [*keys, "_part"]).select(
+        *by,
+        *[(F.col(f"_{n}_carry") + F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0))).alias(n) for n in sums],
+        *[F.coalesce(F.last(f"_{n}", ignorenulls=True).over(inside), F.col(f"_{n}_carry")).alias(n) for n in lasts],
+        *[F.col(n) for n in totals],
+    )
+    return out if df.columns == by else df.join(out, by).select(*df.columns, *values)

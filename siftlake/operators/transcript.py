@@ -16,6 +16,7 @@ from siftlake import dims
 from siftlake.functions import labels, text
 from siftlake.operators.lines import ranked
 from siftlake.operators.running import running
+from siftlake.session import written_table
 
 KEY = ["session"]
 HIDDEN = [dims.BOUNDARY_KIND, dims.MICROCOMPACT_KIND]
@@ -97,20 +98,31 @@ def recent_rounds(rounds: DataFrame, keep: int = 2) -> DataFrame:
     return ranked(used, [F.desc("round")], KEY, keep if keep > 0 else 2)
 
 
-def microcompact(messages: DataFrame, keep: int = 2, cleared: DataFrame | None = None) -> DataFrame:
+def microcompact(
+    messages: DataFrame, keep: int = 2, cleared: DataFrame | None = None, states: DataFrame | None = None
+) -> DataFrame:
     """Older outputs of the read tools to be cleared, with placeholder and reclaimed bytes.
 
-    Outputs without an artifact get a new one numbered per session.
+    Outputs without an artifact get a new one, numbered on from the session's highest: among the artifacts its
+    messages name, or the stored counter of `states` (session, next_artifact_id) if that is higher.
     """
     rounds = tool_rounds(messages)
-    old = rounds.filter(is_tool() & F.col("tool_name").isin(dims.COMPACTABLE_TOOLS)).join(
-        recent_rounds(rounds, keep), ["session", "round"], "left_anti"
-    )
+    old = rounds.filter(
+        is_tool() & F.col("tool_name").isin(dims.COMPACTABLE_TOOLS) & (F.col("id") != dims.ROOT_PROMPT_ID)
+    ).join(recent_rounds(rounds, keep), ["session", "round"], "left_anti")
     if cleared is not None:
         old = old.join(cleared.select("session", "id"), ["session", "id"], "left_anti")
+    number = F.regexp_extract(F.coalesce("artifact_id", F.lit("")), r"^art-(\d+)$", 1).try_cast("long")
+    used = messages.groupBy(*KEY).agg(F.coalesce(F.max(number), F.lit(0)).alias("used_no"))
+    if states is not None:
+        stored = states.groupBy(*KEY).agg(F.max("next_artifact_id").alias("stored_no"))
+        used = used.join(stored, "session", "left").select(
+            "session", F.greatest("used_no", F.coalesce("stored_no", F.lit(0))).alias("used_no")
+        )
     fresh = F.coalesce("artifact_id", F.lit("")) == ""
-    numbered = running(old, KEY, "seq", sums={"new_no": F.when(fresh, 1).otherwise(0)})
-    artifact = F.when(fresh, F.format_string("art-%d", "new_no")).otherwise(F.col("artifact_id"))
+    numbered = running(old, KEY, "seq", sums={"new_no": F.when(fresh, 1).otherwise(0)}).join(used, "session")
+    new_id = F.format_string("art-%d", F.col("used_no") + F.col("new_no"))
+    artifact = F.when(fresh, new_id).otherwise(F.col("artifact_id"))
     before, after = dims.CLEARED_PLACEHOLDER.split("%s")
     placeholder = F.concat(F.lit(before), artifact, F.lit(after))
     return numbered.select(
@@ -131,48 +143,76 @@ def microcompact_totals(cleared: DataFrame) -> DataFrame:
     return totals.withColumn(
         "event",
         F.format_string(
-            "Microcompacted %d older tool results, reclaiming approximately %d bytes.", "cleared", "reclaimed_bytes"
+            dims.MICROCOMPACT_EVENT, "cleared", "reclaimed_bytes"
         ),
     )
 
 
-def _judged(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Heads with completeness, first answers to open calls, and all messages with segment numbers."""
-    seg = running(messages, KEY, "seq", sums={"seg": F.when(is_tool(), 0).otherwise(1)})
-    group = ["session", "seg"]
+def marks_of(messages: DataFrame) -> DataFrame:
+    """One narrow row for each message, as a written table: all that rounds, windows and sizes need.
+
+    (session, seq, id, role, tool, calls, answers, bytes) and `seg` (the non-tool messages so
+    far: a segment is one of them and the tool messages after it), `n` (place in the session), `call_seq` (the
+    last message with calls) and `total` (messages of the session).
+    """
     ids = F.array_distinct(F.filter(F.transform("tool_calls", lambda c: c["id"]), lambda i: i != ""))
-    wanted = seg.filter(~is_tool()).select(*group, F.explode(ids).alias("tool_call_id"))
+    slim = messages.select(
+        "session",
+        "seq",
+        "id",
+        "role",
+        is_tool().alias("tool"),
+        F.when(~is_tool(), ids).alias("calls"),
+        F.when(is_tool() & (F.col("tool_call_id") != ""), F.col("tool_call_id")).alias("answers"),
+        message_bytes().alias("bytes"),
+        has_calls().alias("has_calls"),
+    )
+    slim = written_table(slim, "marks")
+    numbered = running(
+        slim,
+        KEY,
+        "seq",
+        sums={"seg": F.when(F.col("tool"), 0).otherwise(1), "n": F.lit(1)},
+        lasts={"call_seq": F.when(F.col("has_calls"), F.col("seq"))},
+        totals={"total": F.lit(1)},
+    )
+    return written_table(numbered, "marks")
+
+
+def _judged(marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Completeness by segment, and first answers to open calls (session, seg, seq)."""
+    group = ["session", "seg"]
+    wanted = marks.filter(~F.col("tool")).select(*group, F.explode("calls").alias("answers"))
     answers = (
-        seg.filter(is_tool() & (F.col("tool_call_id") != ""))
-        .groupBy(*group, "tool_call_id")
-        .agg(F.min("seq").alias("answer_seq"))
+        marks.filter(F.col("answers").isNotNull()).groupBy(*group, "answers").agg(F.min("seq").alias("seq"))
     )
-    matched = wanted.join(answers, [*group, "tool_call_id"], "left")
-    complete = matched.groupBy(*group).agg((F.count_if(F.col("answer_seq").isNull()) == 0).alias("complete"))
-    kept_answers = matched.filter(F.col("answer_seq").isNotNull())
-    return seg, complete, kept_answers
+    matched = wanted.join(answers, [*group, "answers"], "left")
+    complete = matched.groupBy(*group).agg((F.count_if(F.col("seq").isNull()) == 0).alias("complete"))
+    return complete, matched.filter(F.col("seq").isNotNull()).select(*group, "seq")
+
+
+def _kept(marks: DataFrame) -> DataFrame:
+    """(session, seq) of the messages that sanitising keeps."""
+    complete, answers = _judged(marks)
+    broken = complete.filter(~F.col("complete")).select("session", "seg")
+    heads = marks.filter(~F.col("tool")).select("session", "seg", "seq")
+    return heads.union(answers).join(broken, ["session", "seg"], "left_anti").select("session", "seq")
 
 
 def sanitize_rounds(messages: DataFrame) -> DataFrame:
     """Messages without orphan tool outputs and without rounds that miss an answer.
 
-    A segment is one non-tool message and the tool messages after it. A tool
-    message stays when it is the first answer to a call of its segment's head;
+    A tool message stays when it is the first answer to a call of its segment's head;
     a segment stays when all calls of its head are answered.
     """
-    seg, complete, answers = _judged(messages)
-    incomplete = complete.filter(~F.col("complete")).select("session", "seg")
-    heads = seg.filter(~is_tool())
-    tools = seg.join(
-        answers.select("session", "seg", F.col("answer_seq").alias("seq")), ["session", "seg", "seq"], "left_semi"
-    ).filter(is_tool())
-    return heads.unionByName(tools).join(incomplete, ["session", "seg"], "left_anti").drop("seg")
+    return messages.join(_kept(marks_of(messages)), ["session", "seq"], "left_semi")
 
 
 def sanitize_counts(messages: DataFrame) -> DataFrame:
     """Per session: tool messages that match no open call, and incomplete rounds."""
-    seg, complete, answers = _judged(messages)
-    tools = seg.groupBy(*KEY).agg(F.count_if(is_tool()).alias("tools"))
+    marks = marks_of(messages)
+    complete, answers = _judged(marks)
+    tools = marks.groupBy(*KEY).agg(F.count_if("tool").alias("tools"))
     matched = answers.groupBy(*KEY).agg(F.count("*").alias("matched"))
     rounds = complete.groupBy(*KEY).agg(F.count_if(~F.col("complete")).alias("dropped_rounds"))
     zero = F.lit(0).cast("long")
@@ -190,90 +230,115 @@ def sanitize_counts(messages: DataFrame) -> DataFrame:
 # ---- windows from the end ----
 
 
-def _cuts(messages: DataFrame, size: int) -> DataFrame:
+def _cuts(marks: DataFrame, size: int) -> DataFrame:
     """(session, cut_seq, first_seq) where the last `size` messages start, moved back to their round's head."""
-    marked = running(
-        messages,
-        KEY,
-        "seq",
-        sums={"n": F.lit(1)},
-        lasts={"call_seq": F.when(has_calls(), F.col("seq"))},
-        totals={"total": F.lit(1)},
-    )
-    at = marked.filter((F.col("total") > size) & (F.col("n") == F.col("total") - size + 1))
-    cut = F.when(is_tool(), F.coalesce("call_seq", "seq")).otherwise(F.col("seq"))
-    first = messages.groupBy(*KEY).agg(F.min("seq").alias("first_seq"))
+    at = marks.filter((F.col("total") > size) & (F.col("n") == F.col("total") - size + 1))
+    cut = F.when(F.col("tool"), F.coalesce("call_seq", "seq")).otherwise(F.col("seq"))
+    first = marks.filter("n = 1").select("session", F.col("seq").alias("first_seq"))
     return at.select("session", cut.alias("cut_seq")).join(first, "session")
 
 
-def tail_split(messages: DataFrame, size: int = 4) -> DataFrame:
-    """Add `in_tail`. Short sessions and cuts at the very start have no tail."""
+def _in_tail(rows: DataFrame, marks: DataFrame, size: int) -> DataFrame:
     if size <= 0:
-        return messages.withColumn("in_tail", F.lit(False))
-    cuts = _cuts(messages, size).filter(F.col("cut_seq") > F.col("first_seq")).select("session", "cut_seq")
-    return messages.join(cuts, "session", "left").select(
-        *messages.columns, F.coalesce(F.col("seq") >= F.col("cut_seq"), F.lit(False)).alias("in_tail")
+        return rows.withColumn("in_tail", F.lit(False))
+    cuts = _cuts(marks, size).filter(F.col("cut_seq") > F.col("first_seq")).select("session", "cut_seq")
+    return rows.join(cuts, "session", "left").select(
+        *rows.columns, F.coalesce(F.col("seq") >= F.col("cut_seq"), F.lit(False)).alias("in_tail")
     )
 
 
+def tail_split(messages: DataFrame, size: int = 4) -> DataFrame:
+    """Add `in_tail`. Short sessions and cuts at the very start have no tail."""
+    return _in_tail(messages, marks_of(messages), size)
+
+
 def compression_window(messages: DataFrame, size: int = 12) -> DataFrame:
     """The last `size` messages, sanitised; the sanitised whole history where that drops anything.
 
     Rounds are judged segment by segment and a window starts at a segment, so
     sanitising the window is the same as cutting the sanitised history.
     """
-    kept = sanitize_rounds(messages).select("session", "seq", F.lit(True).alias("kept"))
-    placed = messages.join(kept, ["session", "seq"], "left")
+    marks = marks_of(messages)
+    kept = _kept(marks).withColumn("kept", F.lit(True))
+    placed = marks.select("session", "seq").join(kept, ["session", "seq"], "left")
+    inside = F.lit(True)
     if size > 0:
-        cuts = _cuts(messages, size).select("session", "cut_seq")
-        placed = placed.join(cuts, "session", "left")
+        placed = placed.join(_cuts(marks, size).select("session", "cut_seq"), "session", "left")
         inside = F.coalesce(F.col("seq") >= F.col("cut_seq"), F.lit(True))
-    else:
-        inside = F.lit(True)
     placed = placed.withColumn("inside", inside)
     whole = placed.groupBy(*KEY).agg(
         (F.count_if(F.col("inside") & F.col("kept").isNull()) > 0).alias("full_history")
     )
-    return (
+    chosen = (
         placed.filter(F.col("kept"))
         .join(whole, "session")
         .filter(F.col("inside") | F.col("full_history"))
-        .select(*messages.columns, "full_history")
+        .select("session", "seq", "full_history")
     )
+    return messages.join(chosen, ["session", "seq"]).select(*messages.columns, "full_history")
 
 
 # ---- compaction ----
 
 
 def active_messages(messages: DataFrame, states: DataFrame) -> DataFrame:
-    """Without a boundary everything; with one its preserved segment and what follows it."""
-
-    def seq_of(column: str, name: str) -> DataFrame:
-        ids = states.filter(F.col(column).isNotNull()).select("session", F.col(column).alias("id"))
-        found = messages.select("session", "id", "seq").join(ids, ["session", "id"])
-        return found.groupBy("session").agg(F.min("seq").alias(name))
+    """Without a boundary everything; with one its preserved segment and what follows it.
 
-    marks = (
-        seq_of("active_boundary_id", "boundary_seq")
-        .join(seq_of("head_id", "head_seq"), "session", "left")
-        .join(seq_of("tail_id", "tail_seq"), "session", "left")
+    The state (session, active_boundary_id) names the boundary message, whose `boundary` holds the first and
+    last id of the segment.
+    """
+    active = states.filter(F.coalesce("active_boundary_id", F.lit("")) != "").select(
+        "session", F.col("active_boundary_id").alias("id")
+    )
+    found = messages.select("session", "id", "seq", "boundary").join(active, ["session", "id"])
+    bounds = found.groupBy("session").agg(F.min(F.struct("seq", "boundary.head_id", "boundary.tail_id")).alias("b"))
+    bounds = bounds.select("session", F.col("b.seq").alias("boundary_seq"), "b.head_id", "b.tail_id")
+    ends = (
+        messages.select("session", "id", "seq")
+        .join(bounds, "session")
+        .groupBy("session")
+        .agg(
+            F.min("boundary_seq").alias("boundary_seq"),
+            F.min(F.when(F.col("id") == F.col("head_id"), F.col("seq"))).alias("head_seq"),
+            F.min(F.when(F.col("id") == F.col("tail_id"), F.col("seq"))).alias("tail_seq"),
+        )
     )
     seq, boundary = F.col("seq"), F.col("boundary_seq")
     kept = boundary.isNull() | (seq > boundary) | F.coalesce(seq.between(F.col("head_seq"), F.col("tail_seq")), F.lit(False))
-    return messages.join(marks, "session", "left").filter(kept).select(*messages.columns)
+    return messages.join(ends, "session", "left").filter(kept).select(*messages.columns)
 
 
-def chat_view(active: DataFrame, cleared: DataFrame | None = None) -> DataFrame:
-    """What the model sees: no boundary or microcompact messages, cleared contents replaced."""
+def chat_view(active: DataFrame, cleared: DataFrame | None = None, prompts: DataFrame | None = None) -> DataFrame:
+    """What the model sees: no boundary or microcompact messages, cleared contents replaced.
+
+    With `prompts` (session, prompt) each session starts with its prompt as the root entry, and a first user message
+    that repeats it is left out.
+    """
     shown = active.filter(~F.col("kind").isin(HIDDEN))
-    if cleared is None:
+    columns = shown.columns
+    if cleared is not None:
+        marks = cleared.select("session", "id", "placeholder")
+        shown = (
+            shown.join(marks, ["session", "id"], "left")
+            .withColumn("content", F.coalesce("placeholder", "content"))
+            .select(*columns)
+        )
+    if prompts is None:
         return shown
-    marks = cleared.select("session", "id", "placeholder")
-    return (
-        shown.join(marks, ["session", "id"], "left")
-        .withColumn("content", F.coalesce("placeholder", "content"))
-        .select(*shown.columns)
+    prompts = prompts.select("session", "prompt")
+    again = (
+        (F.coalesce("parent_id", F.lit("")) == "") & (F.col("role") == "user") & F.col("content").eqNullSafe(F.col("prompt"))
+    )
+    rest = shown.join(prompts, "session", "left").filter(~again).select(*columns)
+    root = prompts.select(
+        "session",
+        F.lit(-1).cast("long").alias("seq"),
+        F.lit(dims.ROOT_PROMPT_ID).alias("id"),
+        F.lit("user").alias("role"),
+        F.lit("normal").alias("kind"),
+        F.col("prompt").alias("content"),
     )
+    return root.unionByName(rest, allowMissingColumns=True).select(*columns)
 
 
 def preserved_segment(kept: DataFrame) -> DataFrame:
@@ -288,17 +353,34 @@ def preserved_segment(kept: DataFrame) -> DataFrame:
     return first.join(ends, "session")
 
 
-def compaction_boundary(messages: DataFrame, size: int = 4) -> DataFrame:
-    """Boundary rows: bytes before and after, number of summarised messages, preserved segment."""
-    chat = messages.filter(~F.col("kind").isin(HIDDEN))
-    split = tail_split(chat, size)
-    kept = split.filter("in_tail")
-    pre = context_bytes(sanitize_rounds(chat)).select("session", F.col("bytes").alias("pre_bytes"))
+def compaction_boundary(messages: DataFrame, size: int = 4, summaries: DataFrame | None = None) -> DataFrame:
+    """Boundary rows: source, bytes before and after, number of summarised messages, preserved segment.
+
+    `messages` is the chat view. `summaries` (session, summary_bytes) has the size of what is put in place of
+    the summarised messages; `post_bytes` adds it to the kept messages. All numbers come from one narrow
+    table, so the messages are read once.
+    """
+    marks = marks_of(messages.filter(~F.col("kind").isin(HIDDEN)))
+    split = _in_tail(marks, marks, size)
+    safe = marks.join(_kept(marks), ["session", "seq"], "left_semi")
+    pre = safe.groupBy(*KEY).agg(F.sum("bytes").alias("pre_bytes"))
     counts = split.groupBy(*KEY).agg(
         F.count_if(~F.col("in_tail")).alias("summarized_message_count"),
-        F.sum(F.when(F.col("in_tail"), message_bytes()).otherwise(0)).alias("kept_bytes"),
+        F.sum(F.when(F.col("in_tail"), F.col("bytes")).otherwise(0)).alias("kept_bytes"),
+    )
+    added = F.lit(0)
+    if summaries is not None:
+        counts = counts.join(summaries.select("session", "summary_bytes"), "session", "left")
+        added = F.coalesce("summary_bytes", F.lit(0))
+    counts = counts.select(
+        "session",
+        F.lit("auto").alias("source"),
+        "summarized_message_count",
+        "kept_bytes",
+        (F.col("kept_bytes") + added).alias("post_bytes"),
     )
-    return counts.join(pre, "session", "left").join(preserved_segment(kept), "session", "left").fillna(
+    segment = preserved_segment(split.filter("in_tail"))
+    return counts.join(pre, "session", "left").join(segment, "session", "left").fillna(
         "", ["head_id", "anchor_id", "tail_id"]
     )
 
@@ -321,8 +403,15 @@ def _after_cursor(messages: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def memory_tail(messages: DataFrame, states: DataFrame, size: int = 4) -> DataFrame:
-    """Messages after the memory cursor; where there is none the tail of the session."""
-    placed = _after_cursor(messages, states)
+    """Messages after the memory cursor; where there is none the tail of the session.
+
+    Only sessions whose `memory_text` is not blank have a memory to go on from.
+    """
+    known = states.filter(~text.blank(F.coalesce("memory_text", F.lit("")))).select(
+        "session", "last_memory_message_id"
+    )
+    own = messages.join(known.select("session"), "session", "left_semi")
+    placed = _after_cursor(own, known)
     after = placed.filter(F.col("seq") > F.col("cursor_seq")).select(*messages.columns)
     unknown = placed.filter(F.col("cursor_seq").isNull()).select(*messages.columns)
     return after.unionByName(tail_split(unknown, size).filter("in_tail").drop("in_tail"))
@@ -333,21 +422,32 @@ def memory_delta(
     states: DataFrame,
     min_growth: int = dims.MEMORY_MIN_GROWTH_BYTES,
     min_calls: int = dims.MEMORY_MIN_TOOL_CALLS,
+    now: Column | None = None,
+    cooldown_seconds: int = 0,
 ) -> DataFrame:
-    """Growth since the memory cursor: bytes, tool calls, last id, and whether it fires."""
+    """Growth since the memory cursor: bytes, tool calls, last id, and whether it fires.
+
+    With `now`, a session whose last memory updates failed does not fire for `cooldown_seconds` after
+    the last failure.
+    """
     placed = _after_cursor(messages, states)
     pending = placed.filter(
         (F.col("cursor_seq").isNull() | (F.col("seq") > F.col("cursor_seq"))) & ~F.col("kind").isin(HIDDEN)
     )
-    return (
-        pending.groupBy(*KEY)
-        .agg(
-            F.sum(F.octet_length("content")).alias("growth_bytes"),
-            F.sum(F.coalesce(F.size("tool_calls"), F.lit(0))).alias("tool_calls"),
-            F.max_by("id", "seq").alias("last_id"),
-        )
-        .withColumn("fires", (F.col("growth_bytes") >= min_growth) & (F.col("tool_calls") >= min_calls))
+    grown = pending.groupBy(*KEY).agg(
+        F.sum(F.octet_length("content")).alias("growth_bytes"),
+        F.sum(F.coalesce(F.size("tool_calls"), F.lit(0))).alias("tool_calls"),
+        F.max_by("id", "seq").alias("last_id"),
     )
+    fires = (F.col("growth_bytes") >= min_growth) & (F.col("tool_calls") >= min_calls)
+    if now is not None:
+        failed = F.when(F.col("consecutive_memory_failures") > 0, F.col("last_memory_failure_at"))
+        until = states.groupBy(*KEY).agg(F.max(failed).alias("_until")).withColumn(
+            "_until", F.col("_until") + F.make_dt_interval(secs=F.lit(cooldown_seconds))
+        )
+        grown = grown.join(until, "session", "left")
+        fires = fires & ~F.coalesce(F.col("_until") > now, F.lit(False))
+    return grown.withColumn("fires", fires).drop("_until")
 
 
 def transcript_lines(messages: DataFrame, max_bytes: int) -> DataFrame:

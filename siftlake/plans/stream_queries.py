@@ -10,7 +10,7 @@ from siftlake.plans.finding_queries import LOGS_SQL
 from siftlake.plans.registry import query
 from siftlake.plans.transcript_queries import M
 from siftlake.plans.views import FILES_SQL, Views, cte
-from siftlake.session import work_folder
+from siftlake.session import drop_at_end, work_folder
 from siftlake.streaming import streams
 
 
@@ -24,11 +24,19 @@ def _view(v: Views, text: str, table: str, stream: DataFrame) -> DataFrame:
     return v.spark.sql(text, **{table: stream})
 
 
+def _drop(v: Views, *folders: str) -> None:
+    """What a query wrote only to read it back goes when the application ends."""
+    for folder in folders:
+        drop_at_end(v.spark, folder)
+        drop_at_end(v.spark, f"{folder}-checkpoint")
+
+
 @query("stream_static_scan", f"{STATIC} select * from hits")
 def stream_static_scan(v: Views):
     files = _view(v, FILES_SQL, "documents", _stream(v, "documents"))
     path = work_folder(v.spark, "stream-scan")
     streams.drain(streams.stream_static_scan(files, EXTRA_RULES), path)
+    _drop(v, path)
     return v.spark.read.parquet(path)
 
 
@@ -44,6 +52,7 @@ def stream_transcript(v: Views):
         "session", F.octet_length("content").alias("b"), F.coalesce(F.size("tool_calls"), F.lit(0)).alias("c")
     )
     streams.drain(slim, path)
+    _drop(v, source, path)
     return (
         v.spark.read.parquet(path)
         .groupBy("session")
@@ -56,6 +65,7 @@ def log_microbatch(v: Views):
     path = work_folder(v.spark, "stream-logs")
     logs = _view(v, LOGS_SQL, "events", _stream(v, "events"))
     streams.log_microbatch(logs, path, f"{path}-checkpoint", seconds=None).awaitTermination()
+    _drop(v, path)
     return v.spark.read.parquet(path).select("user_id", "seq", "entry")
 
 
@@ -67,8 +77,10 @@ def log_microbatch(v: Views):
 )
 def stream_memory_delta(v: Views):
     source, path = work_folder(v.spark, "stream-in"), work_folder(v.spark, "stream-memory")
-    # The whole log arrives as one trigger, so the state ends where the batch form does.
-    v.messages.write.json(source)
-    arrived = streams.stream_transcript(v.spark, source, files_per_trigger=1_000_000)
-    streams.drain(streams.stream_memory_delta(arrived, 1000, 2), path, "update")
-    return v.spark.read.parquet(path).drop("batch")
+    v.messages.repartition(6).write.json(source)
+    # The log arrives in three triggers; without restarts the state ends where the batch form does.
+    arrived = streams.stream_transcript(v.spark, source, files_per_trigger=2)
+    started = streams.stream_memory_delta(arrived, path, 1000, 2, restart=False).trigger(availableNow=True).start()
+    started.awaitTermination()
+    _drop(v, source, path)
+    return streams.memory_rows(v.spark, path)

@@ -8,7 +8,7 @@ from siftlake import dims
 from siftlake.operators import transcript as tr
 from siftlake.plans.registry import query
 from siftlake.plans.views import MESSAGES_SQL, STATES_SQL, Views, cte
-from siftlake.session import work_folder
+from siftlake.session import drop_at_end, work_folder
 from siftlake.sources import tables
 
 M = cte(m=MESSAGES_SQL)
@@ -25,6 +25,7 @@ SHOWN = "kind not in ('compact_boundary', 'microcompact_event')"
 def read_transcript(v: Views):
     path = work_folder(v.spark, "transcript")
     v.messages.write.json(path)
+    drop_at_end(v.spark, path)
     back = tables.read_transcript(v.spark, path)
     return back.select("session", "seq", "id", "role", F.md5("content").alias("digest"), F.size("tool_calls").alias("n_calls"))
 
@@ -92,8 +93,9 @@ def recent_rounds(v: Views):
 
 
 _BEFORE, _AFTER = (p.replace("'", "''") for p in dims.CLEARED_PLACEHOLDER.split("%s"))
-CLEARED = f"""{ROUNDS}, o as (select *, sum(case when artifact_id is null then 1 else 0 end) over (partition by session order by seq) as k
-    from r where role = 'tool' and tool_name in ('read_file', 'grep_files', 'list_files')
+CLEARED = f"""{ROUNDS}, used as (select session, coalesce(max(cast(substr(artifact_id, 5) as bigint)), 0) as used_no from m group by session),
+  o as (select *, used_no + sum(case when artifact_id is null then 1 else 0 end) over (partition by session order by seq) as k
+    from r join used using (session) where role = 'tool' and tool_name in ('read_file', 'grep_files', 'list_files')
       and not exists (select 1 from recent x where x.session = r.session and x.round = r.round)),
   cl as (select session, seq, concat('m-', seq) as id, tool_name, coalesce(artifact_id, concat('art-', k)) as artifact_id,
     concat('{_BEFORE}', coalesce(artifact_id, concat('art-', k)), '{_AFTER}') as placeholder, strlen(content) as b from o)"""
@@ -174,7 +176,7 @@ ACTIVE = f"""{MS}, act as (select m.* from m join st using (session)
 
 @query("active_messages", f"{ACTIVE} select session, seq from act")
 def active_messages(v: Views):
-    return tr.active_messages(v.messages, v.states).select("session", "seq")
+    return tr.active_messages(v.bounded_messages, v.states).select("session", "seq")
 
 
 @query(
@@ -184,7 +186,7 @@ def active_messages(v: Views):
     select a.session, a.seq, a.role, coalesce(placeholder, content) as content from act a left join cl using (session, seq) where {SHOWN}""",
 )
 def chat_view(v: Views):
-    active = tr.active_messages(v.messages, v.states)
+    active = tr.active_messages(v.bounded_messages, v.states)
     return tr.chat_view(active, tr.microcompact(v.messages)).select("session", "seq", "role", "content")
 
 
@@ -205,19 +207,21 @@ def preserved_segment(v: Views):
       x as (select *, row_number() over (partition by session order by seq desc) as k from tl where t),
       e as (select session, concat('m-', min(seq)) as head_id, concat('m-', max(seq)) as tail_id,
         case when max(k) > 1 then concat('m-', max(seq) filter (k = 2)) else '' end as anchor_id from x group by session)
-    select session, count(*) filter (not t) as summarized_message_count, coalesce(sum({BYTES}) filter (t), 0)::bigint as kept_bytes,
+    select session, 'auto' as source, count(*) filter (not t) as summarized_message_count,
+      coalesce(sum({BYTES}) filter (t), 0)::bigint as kept_bytes, coalesce(sum({BYTES}) filter (t), 0)::bigint + 120 as post_bytes,
       (select sum({BYTES})::bigint from kept where kept.session = tl.session) as pre_bytes,
       coalesce(any_value(head_id), '') as head_id, coalesce(any_value(tail_id), '') as tail_id, coalesce(any_value(anchor_id), '') as anchor_id
     from tl left join e using (session) group by session""",
 )
 def compaction_boundary(v: Views):
-    return tr.compaction_boundary(v.messages)
+    summaries = v.messages.select("session", F.lit(120).alias("summary_bytes")).distinct()
+    return tr.compaction_boundary(v.messages, summaries=summaries)
 
 
 @query(
     "memory_tail",
-    f"""{MS}, u as (select m.* from m join st using (session) where memory_seq is null), {_cut('u', 4)}
-    select session, seq from m join st using (session) where seq > memory_seq
+    f"""{MS}, u as (select m.* from m join st using (session) where memory_seq is null and trim(memory_text) <> ''), {_cut('u', 4)}
+    select session, seq from m join st using (session) where seq > memory_seq and trim(memory_text) <> ''
     union all select session, seq from u join cut using (session) where seq >= cut_seq and cut_seq > first_seq""",
 )
 def memory_tail(v: Views):
@@ -241,15 +245,25 @@ LINES = f"""{M}, p as (select session, seq, 0 as part, concat('[', role, case wh
 
 
 @query(
-    "transcript_text",
+    "transcript_lines",
     f"""{LINES} select session, seq, part, start + strlen(line) > 3000 as cut,
       case when start + strlen(line) <= 3000 then hex(encode(line)) else 'cut' end as line from b where start <= 3000""",
 )
-def transcript_text(v: Views):
+def transcript_lines(v: Views):
     kept = tr.transcript_lines(v.messages, 3000)
+    # A cut may split a character, which DuckDB can't hold as text: cut lines are compared in the goldens.
     return kept.withColumn("line", F.when(F.col("cut"), "cut").otherwise(F.hex(F.col("line").cast("binary"))))
 
 
+@query(
+    "transcript_text",
+    f"""{LINES} select session, trim(string_agg(line, '' order by seq, part), ' ' || chr(10) || chr(9) || chr(13)) as transcript
+    from b group by session""",
+)
+def transcript_text(v: Views):
+    return tr.transcript_text(v.messages, 1 << 40)
+
+
 ARTIFACTS = f"""{M}, x as (select *, sum(case when tool_name = 'read_file' then 1 else 0 end) over w as rd,
     sum(case when tool_name = 'read_file' then 0 else 1 end) over w as ot from m where role = 'tool'
     window w as (partition by session order by seq)),
@@ -260,11 +274,19 @@ ARTIFACTS = f"""{M}, x as (select *, sum(case when tool_name = 'read_file' then
 
 @query(
     "capture_artifacts",
-    f"{ARTIFACTS} select session, seq, id, type, tool_name, original_bytes, truncated, case when truncated then '' else content end as content from ar",
+    f"""{ARTIFACTS} select session, seq, id, type, tool_name, original_bytes, truncated,
+      case when truncated then concat(substr(hex(encode(content)), 1, 294), 'cut') else hex(encode(content)) end as content from ar""",
 )
 def capture_artifacts(v: Views):
     made = tr.capture_artifacts(v.messages, 150)
-    return made.withColumn("content", F.when(F.col("truncated"), "").otherwise(F.col("content")))
+    return made.withColumn("content", _cut_hex("content", 147, dims.ARTIFACT_CUT_MARK))
+
+
+def _cut_hex(column: str, kept: int, mark: str):
+    """Bytes of a text; of a cut one those before the character at the cut, which may be a replacement mark."""
+    raw = F.col(column).cast("binary")
+    cut = F.concat(F.hex(F.substring(raw, 1, kept)), F.lit("cut"))
+    return F.when(F.col(column).endswith(mark), cut).otherwise(F.hex(raw))
 
 
 def _artifacts(v: Views):
@@ -287,12 +309,14 @@ def recent_artifacts(v: Views):
     "artifact_lookup",
     f"""{ARTIFACTS}, q as (select session, seq, concat('ev-', seq % 20) as artifact_id from m where role = 'tool')
     select q.session, q.seq, q.artifact_id, ar.id is not null as found, case when ar.id is not null then concat('ARTIFACT ', q.artifact_id, chr(10),
-      'Type: ', type, chr(10), 'Tool: ', tool_name, chr(10), 'Original Bytes: ', original_bytes, chr(10), 'Truncated: ', truncated) end as header
+      'Type: ', type, chr(10), 'Tool: ', tool_name, chr(10), 'Original Bytes: ', original_bytes, chr(10), 'Truncated: ', truncated) end as header,
+      case when truncated then concat(substr(hex(encode(content)), 1, 294), 'cut') else hex(encode(content)) end as content
     from q left join ar on q.session = ar.session and q.artifact_id = ar.id""",
 )
 def artifact_lookup(v: Views):
     asked = v.messages.filter(tr.is_tool()).withColumn("artifact_id", F.concat(F.lit("ev-"), F.col("seq") % 20))
-    return tr.artifact_lookup(asked, _artifacts(v)).drop("content")
+    found = tr.artifact_lookup(asked, _artifacts(v))
+    return found.withColumn("content", _cut_hex("content", 147, dims.ARTIFACT_CUT_MARK))
 
 
 @query(
@@ -301,24 +325,20 @@ def artifact_lookup(v: Views):
       concat(substr(hex(encode(content)), 1, 294), 'cut') else hex(encode(content)) end as content from m""",
 )
 def truncate_tool_output(v: Views):
-    mark = dims.TOOL_OUTPUT_CUT_MARK
     cut = tr.truncate_tool_output(v.messages, 150)
-    raw = F.col("content").cast("binary")
-    # The character at the cut may be a replacement mark: compare the bytes before it.
-    shown = F.when(
-        F.col("content").endswith(mark), F.concat(F.hex(F.substring(raw, 1, 147)), F.lit("cut"))
-    ).otherwise(F.hex(raw))
-    return cut.select("session", "seq", shown.alias("content"))
+    return cut.select("session", "seq", _cut_hex("content", 147, dims.TOOL_OUTPUT_CUT_MARK).alias("content"))
 
 
 @query(
     "soft_truncate_last",
-    f"""{M} select session, seq, concat('m-', seq) as id, strlen(content) as original_bytes, artifact_id is null as needs_artifact
+    f"""{M} select session, seq, concat('m-', seq) as id, strlen(content) as original_bytes, artifact_id is null as needs_artifact,
+      concat(substr(hex(encode(content)), 1, 114), 'cut') as content
     from (select * from m qualify row_number() over (partition by session order by seq desc) = 1)
     where role = 'tool' and strlen(content) > 60""",
 )
 def soft_truncate_last(v: Views):
-    return tr.soft_truncate_last(v.messages, 60).drop("content")
+    cut = tr.soft_truncate_last(v.messages, 60)
+    return cut.withColumn("content", _cut_hex("content", 57, dims.SOFT_CUT_MARK))
 
 
 @query(
@@ -357,3 +377,21 @@ def latest_resumable_stage(v: Views):
 )
 def resumable_states(v: Views):
     return tr.resumable_states(v.sql(RUNTIME_SQL)).groupBy("task_id", "stage").agg(F.count("*").alias("n"))
+
+
+@query(
+    "read_states",
+    f"""{cte(s=RUNTIME_SQL)} select task_id, stage, concat(task_id, '/', stage) as session, arg_max(status, (updated_at, status)) as status
+    from s group by task_id, stage""",
+)
+def read_states(v: Views):
+    """States written as one file for each session folder and read back as a table."""
+    latest = v.sql(RUNTIME_SQL).groupBy("task_id", "stage").agg(
+        F.max_by("status", F.struct("updated_at", "status")).alias("status"), F.max("updated_at").alias("updated_at")
+    )
+    path = work_folder(v.spark, "states")
+    body = F.to_json(F.struct("task_id", "stage", "status", "updated_at"))
+    latest.select("task_id", "stage", body.alias("value")).repartition("task_id").write.partitionBy("task_id", "stage").text(path)
+    drop_at_end(v.spark, path)
+    back = tables.read_states(v.spark, path, "part-*")
+    return back.select("task_id", "stage", "session", "status")

@@ -193,7 +193,7 @@ select concat('u', cast(user_id as string)) as session, event_id as seq,
     end as tool_call_id,
   case when event_type in ('click', 'error') then case event_id % 4 when 0 then 'read_file' when 1 then 'grep_files'
     when 2 then 'get_artifact' else 'list_files' end end as tool_name,
-  case when event_type in ('click', 'error') and event_id % 3 = 0 then concat('kept-', cast(event_id as string)) end as artifact_id
+  case when event_type in ('click', 'error') and event_id % 3 = 0 then concat('art-', cast(event_id as string)) end as artifact_id
 from {events}
 union all
 select concat('c', cast(conv_id as string)), turn, case when role = 'user' and turn % 4 = 2 then 'tool' else role end, 'normal',
@@ -205,7 +205,8 @@ from {conversations}
 STATES_SQL = f"""
 select session, max(case when kind = 'compact_boundary' then seq end) as boundary_seq,
   min(case when seq % 3 = 0 then seq end) as head_seq, min(case when seq % 5 = 0 then seq end) as tail_seq,
-  max(case when seq % 7 = 0 then seq end) as memory_seq
+  max(case when seq % 7 = 0 then seq end) as memory_seq,
+  case when count(*) % 3 = 0 then ' ' else concat('notes ', cast(count(*) as string)) end as memory_text
 from ({MESSAGES_SQL}) m group by session
 """
 
@@ -218,14 +219,14 @@ class Views:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        """A driver table, spread over the cores when its files give too few tasks.
+        """A driver table, in the partitions that the read settings of the session give.
 
-        The views turn rows into documents, which is all CPU work; tables of many
-        files keep their own partitions and are not shuffled.
+        The setting `spark.siftlake.spread` deals the rows out to so many partitions first; it is for test tables
+        of one row group, which a scan can't split, while the views are all CPU work.
         """
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+        spread = self.spark.conf.get("spark.siftlake.spread", None)
+        return df.repartition(int(spread)) if spread else df
 
     def sql(self, text: str) -> DataFrame:
         used = {t: self.table(t) for t in TABLES if "{" + t + "}" in text}
@@ -319,7 +320,7 @@ class Views:
 
     @cached_property
     def states(self) -> DataFrame:
-        """Session states: active boundary with its preserved segment, and the memory cursor, as message ids."""
+        """Session states: active boundary and memory cursor as message ids, and the memory text."""
 
         def name(column: str) -> Column:
             return F.concat(F.lit("m-"), F.col(column))
@@ -327,11 +328,22 @@ class Views:
         return self.sql(STATES_SQL).select(
             "session",
             name("boundary_seq").alias("active_boundary_id"),
-            name("head_seq").alias("head_id"),
-            name("tail_seq").alias("tail_id"),
             name("memory_seq").alias("last_memory_message_id"),
+            "memory_text",
         )
 
+    @cached_property
+    def bounded_messages(self) -> DataFrame:
+        """Messages whose active boundary holds the first and last id of its preserved segment."""
+        ends = self.sql(STATES_SQL).select(
+            "session",
+            F.col("boundary_seq").alias("seq"),
+            F.struct(
+                F.concat(F.lit("m-"), "head_seq").alias("head_id"), F.concat(F.lit("m-"), "tail_seq").alias("tail_id")
+            ).alias("boundary"),
+        )
+        return self.messages.join(ends, ["session", "seq"], "left")
+
 
 def duck(text: str) -> str:
     """The same text for DuckDB, where the tables are views of that name."""

@@ -24,8 +24,9 @@ MESSAGES = (
     f"boundary {BOUNDARY}, created_at timestamp"
 )
 STATES = (
-    "task_id string, stage string, status string, active_boundary_id string, "
-    "last_memory_message_id string, artifact_order array<string>, updated_at timestamp"
+    "session string, task_id string, stage string, status string, active_boundary_id string, "
+    "last_memory_message_id string, memory_text string, last_memory_failure_at timestamp, consecutive_memory_failures int, "
+    "next_artifact_id bigint, next_evidence_id bigint, artifact_order array<string>, updated_at timestamp"
 )
 ARTIFACTS = (
     "session string, seq bigint, id string, type string, tool_name string, path string, start_line int, "

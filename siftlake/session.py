@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on for right results or for skewed keys.
 RUNTIME_CONF = {
@@ -41,3 +41,21 @@ def shared_folder(spark: SparkSession) -> str:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new, not yet existing folder below the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: its lineage ends here.
+
+    A lost executor loses nothing of it. The folder goes when the application ends.
+    """
+    spark = df.sparkSession
+    path = work_folder(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    drop_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data when the application ends."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siftlake import dims, schemas
 from siftlake.operators import scans
@@ -15,7 +13,6 @@ from siftlake.operators import scans
 MEMORY_OUTPUT = (
     "session string, growth_bytes bigint, tool_calls bigint, last_seq bigint, fires boolean"
 )
-MEMORY_STATE = "growth_bytes bigint, tool_calls bigint, last_seq bigint"
 
 
 def stream_transcript(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -49,43 +46,53 @@ def log_microbatch(
 
 def stream_memory_delta(
     messages: DataFrame,
+    path: str,
     min_growth: int = dims.MEMORY_MIN_GROWTH_BYTES,
     min_calls: int = dims.MEMORY_MIN_TOOL_CALLS,
-) -> DataFrame:
-    """Growth of every session since its last memory update, as running state.
-
-    `messages` is a stream of (session, seq, kind, content, tool_calls). Rows are
-    reduced to numbers before they reach Python. Once both thresholds hold, a row
-    with `fires` is emitted and the counters start again.
+    restart: bool = True,
+):
+    """Growth of every session since its last memory update, as running state below `path`.
+
+    `messages` is a stream of (session, seq, kind, content, tool_calls). Each micro-batch is added up by session,
+    partly before its shuffle, so a session with most of the rows is no hot task; the sums then meet the
+    small rows of the batch before. A batch is written under its number and starts from
+    the one before it, so a batch that is run again replaces its own rows. Once both thresholds hold, the
+    session's row has `fires` and, with `restart`, its counters start again with the next batch.
+    `memory_rows` reads the latest row of every session.
     """
-    slim = messages.filter(~F.col("kind").isin(dims.BOUNDARY_KIND, dims.MICROCOMPACT_KIND)).select(
-        "session",
-        "seq",
-        F.octet_length("content").cast("long").alias("bytes"),
-        F.coalesce(F.size("tool_calls"), F.lit(0)).cast("long").alias("calls"),
-    )
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        growth, calls, last = state.get if state.exists else (0, 0, -1)
-        for rows in batches:
-            growth += int(rows["bytes"].sum())
-            calls += int(rows["calls"].sum())
-            last = max(last, int(rows["seq"].max()))
-        fires = growth >= min_growth and calls >= min_calls
-        state.update((0, 0, last) if fires else (growth, calls, last))
-        yield pd.DataFrame(
-            {
-                "session": [key[0]],
-                "growth_bytes": [growth],
-                "tool_calls": [calls],
-                "last_seq": [last],
-                "fires": [fires],
-            }
+    def add(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        shown = batch.filter(~F.col("kind").isin(dims.BOUNDARY_KIND, dims.MICROCOMPACT_KIND))
+        sums = shown.groupBy("session").agg(
+            F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).cast("long").alias("growth_bytes"),
+            F.sum(F.coalesce(F.size("tool_calls"), F.lit(0))).cast("long").alias("tool_calls"),
+            F.max("seq").alias("last_seq"),
         )
-
-    return slim.groupBy("session").applyInPandasWithState(
-        update, MEMORY_OUTPUT, MEMORY_STATE, "update", GroupStateTimeout.NoTimeout
-    )
+        if number > 0:
+            again = F.col("fires") & F.lit(restart)
+            before = spark.read.schema(f"{MEMORY_OUTPUT}").parquet(f"{path}/batch={number - 1}").select(
+                "session",
+                F.when(again, 0).otherwise(F.col("growth_bytes")).alias("growth_bytes"),
+                F.when(again, 0).otherwise(F.col("tool_calls")).alias("tool_calls"),
+                "last_seq",
+            )
+            sums = sums.unionByName(before).groupBy("session").agg(
+                F.sum("growth_bytes").alias("growth_bytes"),
+                F.sum("tool_calls").alias("tool_calls"),
+                F.max("last_seq").alias("last_seq"),
+            )
+        fires = (F.col("growth_bytes") >= min_growth) & (F.col("tool_calls") >= min_calls)
+        sums.withColumn("fires", fires).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return messages.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}-checkpoint")
+
+
+def memory_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The latest row of every session that `stream_memory_delta` wrote."""
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.filter(F.col("batch") == last).drop("batch")
 
 
 def stream_static_scan(files: DataFrame, rules: list[tuple] = dims.STATIC_RULES) -> DataFrame:
@@ -93,14 +100,8 @@ def stream_static_scan(files: DataFrame, rules: list[tuple] = dims.STATIC_RULES)
     return scans.static_scan(files, rules)
 
 
-def drain(stream: DataFrame, path: str, mode: str = "append") -> None:
-    """Run a stream over everything there is and write the result as parquet."""
-    checkpoint = f"{path}-checkpoint"
-    if mode == "append":
-        writer = stream.writeStream.format("parquet").option("path", path).outputMode("append")
-    else:
-        writer = stream.writeStream.outputMode(mode).foreachBatch(
-            lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        )
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, path: str) -> None:
+    """Run a stream over everything there is and append the result as parquet."""
+    writer = stream.writeStream.format("parquet").option("path", path).outputMode("append")
+    query = writer.option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
