@@ -6,9 +6,12 @@ its place in the document, and `keys` name the document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlake import dims
 from siftlake.functions import jsontext, labels, text
 from siftlake.functions.jsontext import let, meaningful, text_at, to_text
 from siftlake.operators.findings import parse_findings, where_parsed
@@ -141,24 +144,69 @@ def merge_maps(base: Column, overlay: Column) -> Column:
     return let(F.map_filter(overlay, lambda _, v: meaningful(v)), apply)
 
 
-def document_findings(docs: DataFrame, keys: list[str], signer=item_signature) -> DataFrame:
-    """Rows (keys, stage, pos, sig, has_dup, f) of documents with an `items` column.
+def _groups(items: Column, sigs: Column) -> Column:
+    """Elements of one document grouped by signature: array of (pos, sig, members), members in order.
 
-    Whether a document repeats a signature is decided inside the document, so
-    the many documents without repeats never reach a shuffle in `dedupe`.
+    Only signatures and places are sorted; a document without repeats is taken as it is.
+    """
+    single = F.transform(
+        F.arrays_zip(items.alias("items"), sigs.alias("sigs")),
+        lambda z, i: F.struct(i.alias("pos"), z["sigs"].alias("sig"), F.array(z["items"]).alias("members")),
+    )
+    pairs = F.sort_array(F.transform(sigs, lambda s, i: F.struct(s.alias("sig"), i.alias("i"))))
+    none = F.array().cast("array<struct<sig:string,at:array<int>>>")
+
+    def add(groups: Column, pair: Column) -> Column:
+        last = F.get(groups, F.size(groups) - 1)
+        longer = F.struct(pair["sig"].alias("sig"), F.concat(last["at"], F.array(pair["i"])).alias("at"))
+        new = F.struct(pair["sig"].alias("sig"), F.array(pair["i"]).alias("at"))
+        same = last["sig"].eqNullSafe(pair["sig"]) & (F.size(groups) > 0)
+        return F.when(same, F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(longer))).otherwise(
+            F.concat(groups, F.array(new))
+        )
+
+    several = F.transform(
+        F.aggregate(pairs, none, add),
+        lambda g: F.struct(
+            F.get(g["at"], F.lit(0)).alias("pos"),
+            g["sig"].alias("sig"),
+            F.transform(g["at"], lambda i: F.get(items, i)).alias("members"),
+        ),
+    )
+    return F.when(F.size(F.array_distinct(sigs)) < F.size(sigs), several).otherwise(single)
+
+
+def signature_groups(docs: DataFrame, keys: list[str], signer) -> DataFrame:
+    """Rows (keys, stage, pos, sig, members) of documents with an `items` column.
+
+    A repeat never leaves its document, so repeats are brought together inside its row: each
+    document is parsed once and nothing is shuffled.
     """
     signed = docs.select(
         *keys, "stage", "items", F.transform("items", lambda x: signer(x, F.col("stage"))).alias("sigs")
     )
-    # The flag travels inside the exploded element, so that filtering on it does not parse again.
-    flagged = signed.withColumn("has_dup", F.size(F.array_distinct("sigs")) < F.size("sigs"))
-    element = F.transform(
-        F.arrays_zip("items", "sigs"),
-        lambda z: F.struct(z["items"].alias("item"), z["sigs"].alias("sig"), F.col("has_dup")),
-    )
-    rows = flagged.select(*keys, "stage", F.posexplode_outer(element).alias("pos", "z"))
+    groups = signed.withColumn("groups", _groups(F.col("items"), F.col("sigs")))
+    rows = groups.select(*keys, "stage", F.explode_outer("groups").alias("z"))
+    return rows.filter(F.col("z").isNotNull()).select(*keys, "stage", "z.pos", "z.sig", "z.members")
+
+
+def folded(members: Column, read: Callable[[Column], Column]) -> Column:
+    """The maps of all members, later ones merged over earlier ones; null without members."""
+
+    def merged(maps: Column) -> Column:
+        rest = F.slice(maps, F.lit(2), F.size(maps))
+        return F.aggregate(rest, F.get(maps, F.lit(0)), merge_maps)
+
+    many = F.when(F.size(members) > 1, let(F.transform(members, read), merged))
+    return F.coalesce(many, F.when(F.size(members) == 1, read(F.get(members, F.lit(0)))))
+
+
+def document_findings(docs: DataFrame, keys: list[str], signer=item_signature) -> DataFrame:
+    """Rows (keys, stage, pos, sig, f): every element of documents with an `items` column."""
+    element = F.transform("items", lambda x: F.struct(x.alias("item"), signer(x, F.col("stage")).alias("sig")))
+    rows = docs.select(*keys, "stage", F.posexplode_outer(element).alias("pos", "z"))
     return rows.filter(F.col("pos").isNotNull()).select(
-        *keys, "stage", "pos", "z.sig", "z.has_dup", jsontext.payload("z.item").alias("f")
+        *keys, "stage", "pos", "z.sig", jsontext.payload("z.item").alias("f")
     )
 
 
@@ -195,15 +243,17 @@ def fold(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def dedupe_findings(rows: DataFrame, keys: list[str]) -> DataFrame:
     """One row per (keys, sig) at its first position, later rows merged into it."""
-    columns = [*keys, "stage", "sig", "pos", "f"]
-    if "has_dup" not in rows.columns:
-        return fold(rows, keys).select(*columns)
-    unique = rows.filter(~F.col("has_dup")).select(*columns)
-    return unique.unionByName(fold(rows.filter("has_dup"), keys).select(*columns))
+    return fold(rows, keys).select(*keys, "stage", "sig", "pos", "f")
 
 
 def initial_findings(docs: DataFrame, keys: list[str]) -> DataFrame:
-    return dedupe_findings(normalize_findings(document_findings(docs, keys), "initial"), keys)
+    """Findings of each document, normalised, repeats merged into the first."""
+
+    def read(item: Column) -> Column:
+        return _normalized(jsontext.payload(item), F.col("stage"), F.lit("initial"))
+
+    rows = signature_groups(docs, keys, item_signature)
+    return rows.select(*keys, "stage", "sig", "pos", folded(F.col("members"), read).alias("f"))
 
 
 def existing_findings(docs: DataFrame, keys: list[str]) -> DataFrame:
@@ -218,53 +268,95 @@ def merge_routes(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> D
     """
     both = [
         document_findings(docs, keys, item_route_signature)
-        .drop("has_dup")
         .withColumn("pos", F.struct(F.lit(i).alias("run"), F.col("pos").alias("pos")))
         for i, docs in enumerate((existing, incoming))
     ]
     return fold(both[0].unionByName(both[1]), keys)
 
 
-def unseen_candidates(current: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """First candidate per signature that is not among the current findings."""
-    fresh = candidates.join(current.select(*keys, "sig"), [*keys, "sig"], "left_anti")
-    first = fresh.groupBy(*keys, "stage", "sig").agg(F.min_by(F.struct("pos", "f"), "pos").alias("first"))
-    return first.select(*keys, "stage", "sig", "first.pos", "first.f")
+def run_groups(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, stage, sig, base, answers) of runs with `stored_items` and `answer_items`.
+
+    Both lists are grouped by signature inside their row, so a run is parsed once and nothing is shuffled.
+    Members are (run, pos, item): run 0 is stored, 1 is an answer.
+    """
+
+    def tagged(items: Column, run: int) -> Column:
+        items = F.coalesce(items, F.array().cast(jsontext.OBJECT_ARRAY))
+        return F.transform(items, lambda x, i: F.struct(F.lit(run).alias("run"), i.alias("pos"), x.alias("item")))
+
+    both = F.concat(tagged(F.col("stored_items"), 0), tagged(F.col("answer_items"), 1))
+    rows = signature_groups(
+        runs.select(*keys, "stage", both.alias("items")), keys, lambda z, stage: item_signature(z["item"], stage)
+    )
+    return rows.select(
+        *keys,
+        "stage",
+        "sig",
+        F.filter("members", lambda m: m["run"] == 0).alias("base"),
+        F.filter("members", lambda m: m["run"] == 1).alias("answers"),
+    )
+
+
+def _read(member: Column, origin: str) -> Column:
+    return _normalized(jsontext.payload(member["item"]), F.col("stage"), F.lit(origin))
 
 
-def gap_check_merge(
-    current: DataFrame, candidates: DataFrame, keys: list[str], enrich: bool = False
-) -> DataFrame:
-    """Current findings followed by unseen candidates: (keys, stage, sig, run, pos, f).
+def _stored(groups: DataFrame) -> Column:
+    """The stored findings of a signature as one, blank origins taken as initial."""
+    return folded(F.col("base"), lambda m: _read(m, "initial"))
 
-    A candidate that matches a current finding is ignored; with `enrich` its
+
+def _first_answer() -> Column:
+    return F.get("answers", F.lit(0))
+
+
+def unseen_candidates(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """First candidate per signature that is not among the stored findings."""
+    fresh = groups.filter((F.size("base") == 0) & (F.size("answers") > 0))
+    return fresh.select(
+        *keys, "stage", "sig", _first_answer()["pos"].alias("pos"), _read(_first_answer(), "gap_check").alias("f")
+    )
+
+
+def gap_check_merge(groups: DataFrame, keys: list[str], enrich: bool = False) -> DataFrame:
+    """Stored findings and unseen candidates: (keys, stage, sig, run, pos, f), `run` 1 for the latter.
+
+    A candidate that matches a stored finding is ignored; with `enrich` its
     meaningful values are merged in instead.
     """
+    known = F.size("base") > 0
+    first = F.coalesce(F.get("base", F.lit(0)), _first_answer())
     if enrich:
-        both = [
-            rows.select(*keys, "stage", "sig", F.struct(F.lit(i).alias("run"), "pos").alias("pos"), "f")
-            for i, rows in enumerate((current, candidates))
-        ]
-        merged = fold(both[0].unionByName(both[1]), keys)
-        return merged.select(*keys, "stage", "sig", F.col("pos.run").alias("run"), F.col("pos.pos").alias("pos"), "f")
-    added = unseen_candidates(current, candidates, keys)
-    return current.withColumn("run", F.lit(0)).unionByName(added.withColumn("run", F.lit(1)))
-
-
-def match_reviews(current: DataFrame, reviewed: DataFrame, keys: list[str]) -> DataFrame:
-    """Current findings with the last review of the same signature in `review` (null when none)."""
-    last = reviewed.groupBy(*keys, "sig").agg(F.max_by("f", "pos").alias("review"))
-    return current.join(last, [*keys, "sig"], "left")
+        more = folded(F.col("answers"), lambda m: _read(m, "gap_check"))
+        stored = _stored(groups)
+        f = F.coalesce(let(more, lambda m: F.when(m.isNotNull() & known, merge_maps(stored, m))), stored, more)
+    else:
+        f = F.when(known, _stored(groups)).otherwise(_read(_first_answer(), "gap_check"))
+    return groups.select(*keys, "stage", "sig", first["run"].alias("run"), first["pos"].alias("pos"), f.alias("f"))
+
+
+def match_reviews(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored findings with the last review of the same signature in `review` (null when none)."""
+    last = F.get("answers", F.size("answers") - 1)
+    return groups.filter(F.size("base") > 0).select(
+        *keys,
+        "stage",
+        "sig",
+        F.get("base", F.lit(0))["pos"].alias("pos"),
+        _stored(groups).alias("f"),
+        F.when(F.size("answers") > 0, _read(last, "initial")).alias("review"),
+    )
 
 
-def revalidation_merge(current: DataFrame, reviewed: DataFrame, keys: list[str]) -> DataFrame:
+def revalidation_merge(groups: DataFrame, keys: list[str]) -> DataFrame:
     """Reviews merged over the findings they match; reviews without a match are dropped.
 
     Reviews arrive normalised with origin `initial` and status `unreviewed` as
     defaults, so a review without them overwrites the stored values.
     """
     merged = F.when(F.col("review").isNotNull(), merge_maps(F.col("f"), F.col("review"))).otherwise(F.col("f"))
-    return match_reviews(current, reviewed, keys).withColumn("f", merged).drop("review")
+    return match_reviews(groups, keys).withColumn("f", merged).drop("review")
 
 
 def review_counts(final: DataFrame, keys: list[str]) -> DataFrame:
@@ -285,7 +377,7 @@ def revalidation_summary(counts: DataFrame) -> DataFrame:
     return counts.withColumn(
         "review_summary",
         F.format_string(
-            "Revalidation completed: %d confirmed, %d uncertain, %d rejected.",
+            dims.SUMMARY_REVALIDATED,
             "confirmed_count",
             "uncertain_count",
             "rejected_count",
@@ -298,8 +390,8 @@ def gap_check_summary(final: DataFrame, keys: list[str]) -> DataFrame:
     added = final.groupBy(*keys).agg(F.count_if(F.col("run") == 1).alias("added"))
     said = F.when(
         F.col("added") > 0,
-        F.format_string("Gap check merged %d additional finding(s) into the current stage result.", "added"),
-    ).otherwise("Gap check completed without adding new findings.")
+        F.format_string(dims.SUMMARY_GAP_MERGED, "added"),
+    ).otherwise(dims.SUMMARY_GAP_NONE)
     return review_counts(final, keys).join(added, keys).withColumn("review_summary", said)
 
 
@@ -340,86 +432,33 @@ def run_answers(stages: DataFrame, answers: DataFrame) -> DataFrame:
 def finalize_run(runs: DataFrame) -> DataFrame:
     """Findings after each run without an error: (stage_id, kind, stage, sig, run, pos, f).
 
-    All kinds of runs in one pass. Stored findings (and the answers of a first
-    run) form the base and fold as in `fold`; a gap check adds the first answer
-    of every other signature, a revalidation overlays the last answer of the same
-    signature. `run` is 1 for findings that a gap check added.
+    All kinds of runs in one pass over their documents, without a shuffle: a first run stores its answers, a
+    gap check adds the first answer of every other signature (`run` 1), a revalidation overlays
+    the last answer of the same signature.
     """
     keys = ["stage_id", "kind"]
     good = where_parsed(runs.filter(F.col("stage") != "init"), F.col("error").isNull())
-    kind = F.col("kind")
-    first_run = kind == "initial"
-
-    def tagged(items: Column, run: Column) -> Column:
-        return F.transform(items, lambda x, i: F.struct(run.alias("run"), i.alias("pos"), x.alias("item")))
-
-    stored = F.when(first_run, F.array().cast(jsontext.OBJECT_ARRAY)).otherwise(F.col("stored_items"))
-    answered = tagged(F.col("answer_items"), F.when(first_run, 0).otherwise(1))
-    signed = good.select(*keys, "stage", F.concat(tagged(stored, F.lit(0)), answered).alias("items")).withColumn(
-        "sigs", F.transform("items", lambda z: item_signature(z["item"], F.col("stage")))
-    )
-    flagged = signed.withColumn("has_dup", F.size(F.array_distinct("sigs")) < F.size("sigs"))
-    element = F.transform(
-        F.arrays_zip("items", "sigs"),
-        lambda z: F.struct(z["items"].alias("own"), z["sigs"].alias("sig"), F.col("has_dup")),
-    )
-    exploded = flagged.select(*keys, "stage", F.explode_outer(element).alias("z")).filter(F.col("z").isNotNull())
-    rows = normalize_findings(
-        exploded.select(
-            *keys, "stage", "z.sig", "z.has_dup", "z.own.run", "z.own.pos", jsontext.payload("z.own.item").alias("f")
-        ),
-        F.when((kind == "gap_check") & (F.col("run") == 1), "gap_check").otherwise("initial"),
-    )
-    columns = [*keys, "stage", "sig", "run", "pos", "f"]
-    unmatched_review = (kind == "revalidate") & (F.col("run") == 1)
-    alone = rows.filter(~F.col("has_dup") & ~unmatched_review).select(*columns)
-
-    group = [*keys, "stage", "sig"]
-    base, answer = F.col("run") == 0, F.col("run") == 1
-    pos, value = F.col("pos"), F.col("value")
-    per_key = (
-        rows.filter("has_dup")
-        .select(*group, "run", "pos", F.explode_outer("f").alias("key", "value"))
-        .groupBy(*group, "key")
-        .agg(
-            F.min(F.when(base, pos)).alias("base_pos"),
-            F.min_by(value, F.when(base, pos)).alias("base_first"),
-            F.max_by(value, F.when(base & meaningful(value), pos)).alias("base_last"),
-            F.min(F.when(answer, pos)).alias("new_pos"),
-            F.min_by(value, F.when(answer, pos)).alias("new_first"),
-            F.max(F.when(answer, pos)).alias("review_pos"),
-            F.max_by(value, F.when(answer, pos)).alias("review_last"),
-        )
-    )
-    # At most one entry per distinct field name is collected here.
-    merged = per_key.groupBy(*group).agg(
-        F.min("base_pos").alias("first_base"),
-        F.min("new_pos").alias("first_new"),
-        F.max("review_pos").alias("last_review"),
-        F.collect_list(F.struct(*[c for c in per_key.columns if c not in group])).alias("fields"),
+    first_run = F.col("kind") == "initial"
+    none = F.array().cast(jsontext.OBJECT_ARRAY)
+    good = good.select(
+        *keys,
+        "stage",
+        F.when(first_run, F.col("answer_items")).otherwise(F.col("stored_items")).alias("stored_items"),
+        F.when(first_run, none).otherwise(F.col("answer_items")).alias("answer_items"),
     )
-
-    def chosen(e: Column) -> Column:
-        reviewed = F.when(
-            (kind == "revalidate") & (e["review_pos"] == F.col("last_review")) & meaningful(e["review_last"]),
-            e["review_last"],
-        )
-        folded = F.coalesce(e["base_last"], F.when(e["base_pos"] == F.col("first_base"), e["base_first"]))
-        fresh = F.when(
-            F.col("first_base").isNull() & (e["new_pos"] == F.col("first_new")), e["new_first"]
-        )
-        return F.struct(e["key"].alias("key"), F.coalesce(reviewed, folded, fresh).alias("value"))
-
-    pairs = F.filter(
-        F.transform("fields", chosen), lambda p: p["key"].isNotNull() & p["value"].isNotNull()
+    groups = run_groups(good, keys)
+    gap, review = F.col("kind") == "gap_check", F.col("kind") == "revalidate"
+    known, answered = F.size("base") > 0, F.size("answers") > 0
+    stored, last = _stored(groups), F.get("answers", F.size("answers") - 1)
+    f = (
+        F.when(known & answered & review, let(_read(last, "initial"), lambda r: merge_maps(stored, r)))
+        .when(known, stored)
+        .otherwise(_read(_first_answer(), "gap_check"))
     )
-    folded = merged.filter(F.col("first_base").isNotNull() | (kind == "gap_check")).select(
-        *group,
-        F.when(F.col("first_base").isNull(), 1).otherwise(0).alias("run"),
-        F.coalesce("first_base", "first_new").alias("pos"),
-        F.map_from_entries(pairs).alias("f"),
+    first = F.coalesce(F.get("base", F.lit(0)), _first_answer())
+    return groups.filter(known | gap).select(
+        *keys, "stage", "sig", first["run"].alias("run"), first["pos"].alias("pos"), f.alias("f")
     )
-    return alone.unionByName(folded.select(*columns))
 
 
 def finalize_routes(runs: DataFrame) -> DataFrame:
@@ -427,6 +466,7 @@ def finalize_routes(runs: DataFrame) -> DataFrame:
     keys = ["stage_id", "kind"]
     good = where_parsed(runs.filter(F.col("stage") == "init"), F.col("error").isNull())
     first = good.filter(F.col("kind") == "initial").select(*keys, "stage", F.col("answer_items").alias("items"))
+    # A first run stores what it found, repeats included.
     routes = document_findings(first, keys, item_route_signature).select(
         *keys, "stage", "sig", F.struct(F.lit(0).alias("run"), "pos").alias("pos"), "f"
     )

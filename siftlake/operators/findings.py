@@ -19,11 +19,16 @@ KNOWN_STAGES = [key for key, _ in dims.STAGES]
 # ---- parsing ----
 
 
+# Spark reads no variant from a longer text.
+VARIANT_LIMIT_BYTES = 128 * 1024 * 1024
+
+
 def parse_findings(docs: DataFrame) -> DataFrame:
-    """Add state (array / raw / none), items (array<variant>) and raw_text.
+    """Add state (array / raw / none / too_large), items (array<variant>) and raw_text.
 
     An empty array is structured. Text is raw when neither column holds an
-    array; none means there is no payload at all.
+    array; none means there is no payload at all. A text beyond the limit that
+    holds no array as far as can be read is neither raw nor empty: it is too large.
     """
     # One expression bound step by step: a filter on its state costs one parse, not one per use.
     def unless_blank(column: str, *empty: str) -> Column:
@@ -31,12 +36,20 @@ def parse_findings(docs: DataFrame) -> DataFrame:
             jsontext.trim_long(column), lambda t: F.when(~t.isin("", *empty), t)
         )
 
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("result", "output_json")]
+    over = F.greatest(*sizes) > VARIANT_LIMIT_BYTES - 64
     raw = F.coalesce(unless_blank("result"), unless_blank("output_json", "{}", "null"))
 
     def described(items: Column) -> Column:
         def named(raw_text: Column) -> Column:
-            state = F.when(items.isNotNull(), "array").when(raw_text.isNotNull(), "raw").otherwise("none")
-            return F.struct(state.alias("state"), items.alias("items"), raw_text.alias("raw_text"))
+            state = (
+                F.when(items.isNotNull(), "array")
+                .when(over, "too_large")
+                .when(raw_text.isNotNull(), "raw")
+                .otherwise("none")
+            )
+            text_left = F.when(~over, raw_text)
+            return F.struct(state.alias("state"), items.alias("items"), text_left.alias("raw_text"))
 
         return jsontext.let(F.when(items.isNull(), raw), named)
 
@@ -140,32 +153,45 @@ def exportable_stages_ui(stages: DataFrame) -> DataFrame:
 
 
 def stage_actions(tasks: DataFrame, stages: DataFrame) -> DataFrame:
-    """What may be done with each stage of each task.
+    """What may be done with each of the ten stages of each task, `init` among them.
 
     Nothing starts while the task runs; a gap check needs a completed structured
     result, a revalidation also at least one finding; resuming needs a paused or
-    failed stage.
+    failed stage. A stage that has not run may only be run. The route inventory of `init` lives on
+    the task. On repeated names the first document counts.
     """
-    facts = parse_findings(stages).select(
-        "stage_id",
+    facts = parse_findings(stages.filter(F.col("name").isin(KNOWN_STAGES))).select(
         "task_id",
         F.col("name").alias("stage"),
-        F.lower("status").alias("stage_status"),
-        (F.col("state") == "array").alias("structured"),
-        F.coalesce(F.size("items"), F.lit(0)).alias("n_items"),
+        F.struct(
+            "created_at",
+            "stage_id",
+            F.lower("status").alias("status"),
+            (F.col("state") == "array").alias("structured"),
+            F.coalesce(F.size("items"), F.lit(0)).alias("n_items"),
+        ).alias("own"),
+    )
+    # Only these small structs are aggregated, partly before the shuffle.
+    first = facts.groupBy("task_id", "stage").agg(F.min("own").alias("own"))
+    ten = F.array(*[F.lit(s) for s in ("init", *KNOWN_STAGES)])
+    grid = parse_findings(tasks).select(
+        "task_id",
+        (F.col("status") != "running").alias("idle"),
+        (F.col("state") == "array").alias("routes"),
+        F.explode(ten).alias("stage"),
     )
-    own = tasks.select("task_id", (F.col("status") != "running").alias("idle"))
-    joined = facts.join(own, "task_id")
-    done = F.col("idle") & (F.col("stage_status") == "completed") & F.col("structured")
-    return joined.select(
-        "stage_id",
+    rows = grid.join(first, ["task_id", "stage"], "left")
+    idle, init = F.col("idle"), F.col("stage") == "init"
+    done = F.coalesce((F.col("own.status") == "completed") & F.col("own.structured"), F.lit(False))
+    return rows.select(
         "task_id",
         "stage",
-        (F.col("idle") & F.col("stage").isin([*KNOWN_STAGES, "init"])).alias("can_run"),
-        done.alias("can_gap_check"),
-        (done & (F.col("n_items") > 0) & (F.col("stage") != "init")).alias("can_revalidate"),
-        (F.col("idle") & F.col("stage_status").isin("paused", "failed")).alias("can_resume"),
-        F.col("idle").alias("can_delete"),
+        F.col("own.stage_id").alias("stage_id"),
+        idle.alias("can_run"),
+        (idle & F.when(init, F.col("routes")).otherwise(done)).alias("can_gap_check"),
+        (idle & done & (F.coalesce("own.n_items", F.lit(0)) > 0)).alias("can_revalidate"),
+        (idle & F.coalesce(F.col("own.status").isin("paused", "failed"), F.lit(False))).alias("can_resume"),
+        idle.alias("can_delete"),
     )
 
 
@@ -196,7 +222,7 @@ def route_counts_ui(tasks: DataFrame) -> DataFrame:
 
 def raw_result_fallback(docs: DataFrame) -> DataFrame:
     """Text to repair: the result, else what follows the marker in the latest AI log entry."""
-    marker = "] AI: "  # fixed value of the log format
+    marker = dims.LOG_AI_MARKER
     entries = F.filter("logs", lambda e: F.contains(e, F.lit(marker)))
     last = F.try_element_at(entries, F.lit(-1))
     said = F.substring(last, F.locate(marker, last) + len(marker), F.length(last))
@@ -206,7 +232,7 @@ def raw_result_fallback(docs: DataFrame) -> DataFrame:
 
 def latest_ai_text(logs: DataFrame, keys: list[str]) -> DataFrame:
     """The same rule over a tidy log table (keys, seq, entry): last AI entry per key."""
-    marker = "] AI: "
+    marker = dims.LOG_AI_MARKER
     said = logs.filter(F.contains("entry", F.lit(marker)))
     after = F.substring("entry", F.locate(marker, F.col("entry")) + len(marker), F.length("entry"))
     return said.groupBy(*keys).agg(F.max_by(after, "seq").alias("repair_text"))

@@ -96,21 +96,6 @@ def report_findings(documents: DataFrame) -> DataFrame:
     )
 
 
-# Fixed value: fields shown elsewhere in the report.
-HEADER_FIELDS = [
-    "type",
-    "subtype",
-    "description",
-    "severity",
-    "reviewed_severity",
-    "verification_status",
-    "verification_reason",
-    "origin",
-    "location",
-    "trigger",
-]
-
-
 def report_fields(documents: DataFrame) -> DataFrame:
     """Detail fields per finding: component, configured fields in order, then the others by key.
 
@@ -126,7 +111,7 @@ def report_fields(documents: DataFrame) -> DataFrame:
     entries = rows.select(*ids, text.trim_all(named).alias("component"), F.explode(f).alias("key", "value"))
     in_component = (F.col("component") != "") & F.col("key").isin("component_name", "component_version")
     values = (
-        entries.filter(~F.col("key").isin(HEADER_FIELDS) & ~in_component)
+        entries.filter(~F.col("key").isin(dims.HEADER_FIELDS) & ~in_component)
         .withColumn("shown", labels.format_value("value"))
         .filter(text.trim_all("shown") != "")
     )
@@ -190,8 +175,10 @@ def report_stages(documents: DataFrame) -> DataFrame:
         )
     )
     raw, none = F.col("state") == "raw", F.col("finding_count") == 0
+    too_large = F.col("state") == "too_large"
     summary = (
         F.when(raw, dims.SUMMARY_RAW)
+        .when(too_large, dims.SUMMARY_TOO_LARGE)
         .when(none & (F.col("rejected_count") > 0), dims.SUMMARY_ALL_REJECTED)
         .when(none, dims.SUMMARY_CLEAN)
         .otherwise(F.format_string(dims.SUMMARY_FINDINGS, "finding_count"))
@@ -199,7 +186,7 @@ def report_stages(documents: DataFrame) -> DataFrame:
     return (
         counts.join(F.broadcast(names.select("stage", "ordinal", "label")), "stage")
         .withColumn("raw_only", raw)
-        .withColumn("zero_findings", ~raw & none)
+        .withColumn("zero_findings", ~raw & ~too_large & none)
         .withColumn("summary", summary)
         .withColumn("completed_at", labels.format_ts("updated_at"))
         .drop("state", "updated_at")
@@ -212,22 +199,25 @@ def report_overview(tasks: DataFrame, documents: DataFrame) -> DataFrame:
     Locations and triggers are distinct over the whole task, not summed; the
     interface count is never below the route count.
     """
-    facts = _facts(documents)
-    per_document = facts.groupBy("task_id", "stage_id", "state").agg(F.count_if("active").alias("n"))
-    shape = per_document.groupBy("task_id").agg(
-        F.count("*").alias("completed_stage_count"),
-        F.count_if((F.col("state") == "array") & (F.col("n") == 0)).alias("clean_stage_count"),
-        F.sum("n").alias("total_findings"),
-    )
-    details = facts.groupBy("task_id").agg(
-        F.count_distinct("location").alias("unique_files"),
-        F.count_distinct("trigger").alias("unique_interfaces"),
-        *severity_counts(F.col("severity"), F.col("active")),
+    structured = F.col("state") == "array"
+    # Documents by kind are counted as distinct ids, so one aggregate over one parse gives them all.
+    counts = (
+        _facts(documents)
+        .groupBy("task_id")
+        .agg(
+            F.count_distinct("stage_id").alias("completed_stage_count"),
+            F.count_distinct(F.when(structured, F.col("stage_id"))).alias("_structured"),
+            F.count_distinct(F.when(structured & F.col("active"), F.col("stage_id"))).alias("_with_findings"),
+            F.count_if("active").alias("total_findings"),
+            F.count_distinct("location").alias("unique_files"),
+            F.count_distinct("trigger").alias("unique_interfaces"),
+            *severity_counts(F.col("severity"), F.col("active")),
+        )
+        .withColumn("clean_stage_count", F.col("_structured") - F.col("_with_findings"))
+        .drop("_structured", "_with_findings")
     )
-    return (
-        shape.join(details, "task_id")
-        .join(route_counts(tasks), "task_id")
-        .withColumn("unique_interfaces", F.greatest("unique_interfaces", "route_count"))
+    return counts.join(route_counts(tasks), "task_id").withColumn(
+        "unique_interfaces", F.greatest("unique_interfaces", "route_count")
     )
 
 
@@ -290,24 +280,22 @@ def ui_report_overview(tasks: DataFrame, stages: DataFrame) -> DataFrame:
         F.nullif(jsontext.text_at(item, "location.file"), F.lit("")).alias("file"),
         F.when(active, F.nullif(signature, F.lit(""))).alias("trigger"),
     )
-    shape = (
-        facts.groupBy("task_id", "stage_id", "raw_only")
-        .agg(F.count_if("active").alias("n"))
-        .groupBy("task_id")
+    structured = ~F.col("raw_only")
+    counts = (
+        facts.groupBy("task_id")
         .agg(
-            F.count("*").alias("stage_count"),
-            F.sum("n").alias("total_findings"),
-            F.count_if(~F.col("raw_only") & (F.col("n") == 0)).alias("clean_stage_count"),
-            F.count_if("raw_only").alias("raw_only_stage_count"),
+            F.count_distinct("stage_id").alias("stage_count"),
+            F.count_if("active").alias("total_findings"),
+            F.count_distinct(F.when(structured, F.col("stage_id"))).alias("_structured"),
+            F.count_distinct(F.when(structured & F.col("active"), F.col("stage_id"))).alias("_with_findings"),
+            F.count_distinct(F.when(F.col("raw_only"), F.col("stage_id"))).alias("raw_only_stage_count"),
+            F.count_distinct("file").alias("unique_files"),
+            F.count_distinct("trigger").alias("unique_interfaces"),
+            *severity_counts(F.col("severity"), F.col("active")),
         )
+        .withColumn("clean_stage_count", F.col("_structured") - F.col("_with_findings"))
+        .drop("_structured", "_with_findings")
     )
-    details = facts.groupBy("task_id").agg(
-        F.count_distinct("file").alias("unique_files"),
-        F.count_distinct("trigger").alias("unique_interfaces"),
-        *severity_counts(F.col("severity"), F.col("active")),
-    )
-    return (
-        shape.join(details, "task_id")
-        .join(route_counts_ui(tasks), "task_id")
-        .withColumn("unique_interfaces", F.greatest("unique_interfaces", "route_count"))
+    return counts.join(route_counts_ui(tasks), "task_id").withColumn(
+        "unique_interfaces", F.greatest("unique_interfaces", "route_count")
     )

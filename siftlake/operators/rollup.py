@@ -86,7 +86,7 @@ def stage_coverage(stages: DataFrame) -> DataFrame:
     """Completed stage documents per known stage, zeros kept, in dimension order."""
     counts = completed_known_stages(stages).groupBy(F.col("name").alias("stage")).agg(F.count("*").alias("n"))
     return (
-        F.broadcast(dims.stage_dimension(stages.sparkSession))
+        dims.stage_dimension(stages.sparkSession)
         .join(counts, "stage", "left")
         .select("ordinal", "stage", "label", F.coalesce("n", F.lit(0)).alias("n"))
         .orderBy("ordinal")

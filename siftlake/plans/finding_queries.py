@@ -10,6 +10,7 @@ from siftlake.functions import jsontext, labels, text
 from siftlake.operators import algebra, findings
 from siftlake.plans.registry import query
 from siftlake.plans.views import (
+    FINDING_SQL,
     ANSWER_ROWS_SQL,
     ROUTE_SQL,
     STAGE_ROWS_SQL,
@@ -46,18 +47,33 @@ def _docs(v: Views):
     )
 
 
+RAW_HEAD = """case shape when 2 then 'Raw note without a list' when 4 then 'not json'
+        when 5 then concat('First draft:', chr(10), '```', chr(10), '[draft]', chr(10), '```', chr(10), 'final:', chr(10)) end as raw_head"""
+# What the items of a document say, which tells whether the recovered text is the right one.
+SAID = f""", said as (select stage_id, string_agg(coalesce(description, ''), '|' order by pos) as said
+    from ({flat_findings_sql()}) group by stage_id)"""
+
+
+def _said(items: str):
+    texts = F.transform(items, lambda x: jsontext.text_at(x, "description"))
+    return F.when(F.col(items).isNotNull(), F.array_join(texts, "|")).alias("said")
+
+
 @query(
     "parse_findings",
     f"""{STAGES} select stage_id, case when {ARRAY_SHAPES} then 'array' when shape = 3 then 'none' else 'raw' end as state,
       case when {ARRAY_SHAPES} then n end as n_items,
-      case shape when 2 then 'Raw note wi' when 4 then 'not json' when 5 then 'First draft' end as raw_start from r""",
+      {RAW_HEAD}, case when shape in (2, 4, 5) then true end as whole from r""",
 )
 def parse_findings(v: Views):
+    said = F.trim(F.when(F.col("result") != "", F.col("result")).otherwise(F.col("output_json")), F.lit(" \n"))
     return findings.parse_findings(v.stages).select(
         "stage_id",
         "state",
         F.when(F.col("items").isNotNull(), F.size("items")).alias("n_items"),
-        F.substring("raw_text", 1, 11).alias("raw_start"),
+        # The JSON inside a raw text is Spark's own print, so the twin has the text before it.
+        F.substring_index("raw_text", "```json", 1).alias("raw_head"),
+        (F.col("raw_text") == said).alias("whole"),
     )
 
 
@@ -78,23 +94,31 @@ def read_stage(v: Views):
 
 @query(
     "extract_json_block",
-    f"""{STAGES} select stage_id, case shape when 0 then 'array' when 1 then 'array' when 2 then 'text'
-      when 5 then case when n = 1 then 'object' else 'text' end else 'blank' end as kind from r""",
+    f"""{STAGES}{SAID} select stage_id, case shape when 0 then 'array' when 1 then 'array' when 2 then 'text'
+      when 5 then case when n = 1 then 'object' else 'text' end else 'blank' end as kind,
+      case when shape in (0, 1) then coalesce(said, '') end as said,
+      case when shape = 2 then 'Raw note without a list' when shape = 5 and n <> 1 then concat('First draft:', chr(10), '```', chr(10), '[draft]',
+        chr(10), '```', chr(10), 'final:', chr(10)) end as text_head
+    from r left join said using (stage_id)""",
 )
 def extract_json_block(v: Views):
     found = v.stages.withColumn("block", jsontext.extract_json_block("result"))
+    found = found.withColumn("items", jsontext.decode_array("block"))
     kind = (
         F.when(F.col("block") == "", "blank")
         .when(~jsontext.valid_json("block"), "text")
         .when(F.col("block").startswith("["), "array")
         .otherwise("object")
     )
-    return found.select("stage_id", kind.alias("kind"))
+    found = found.withColumn("kind", kind)
+    head = F.when(F.col("kind") == "text", F.substring_index("block", "```json", 1))
+    return found.select("stage_id", "kind", _said("items"), head.alias("text_head"))
 
 
 @query(
     "extract_json_best",
-    f"""{STAGES} select stage_id, shape in (0, 1, 5) as valid, case when shape in (0, 1, 5) then n end as n_items from r""",
+    f"""{STAGES}{SAID} select stage_id, shape in (0, 1, 5) as valid, case when shape in (0, 1, 5) then n end as n_items,
+      case when shape in (0, 1, 5) then coalesce(said, '') end as said from r left join said using (stage_id)""",
 )
 def extract_json_best(v: Views):
     found = v.stages.withColumn("best", jsontext.extract_json_best("result")).withColumn(
@@ -104,23 +128,26 @@ def extract_json_best(v: Views):
         "stage_id",
         jsontext.valid_json("best").alias("valid"),
         F.when(F.col("items").isNotNull(), F.size("items")).alias("n_items"),
+        _said("items"),
     )
 
 
 @query(
     "parse_result_array",
-    f"""{STAGES} select stage_id, case when shape in (0, 2, 3, 4, 5) then null else n end as n_items,
-      shape in (1, 4, 5) or shape > 5 as has_payload from r""",
+    f"""{STAGES}{SAID} select stage_id, case when shape in (0, 2, 3, 4, 5) then null else n end as n_items,
+      shape in (1, 4, 5) or shape > 5 as has_payload,
+      case when shape not in (0, 2, 3, 4, 5) then coalesce(said, '') end as said from r left join said using (stage_id)""",
 )
 def parse_result_array(v: Views):
     return findings.ui_items(v.stages).select(
-        "stage_id", F.when(F.col("items").isNotNull(), F.size("items")).alias("n_items"), "has_payload"
+        "stage_id", F.when(F.col("items").isNotNull(), F.size("items")).alias("n_items"), "has_payload", _said("items")
     )
 
 
 @query(
     "decode_json_array",
-    f"""{STAGES} select stage_id, shape > 5 as decodes, case when shape > 5 then n end as n_items from r""",
+    f"""{STAGES}{SAID} select stage_id, shape > 5 as decodes, case when shape > 5 then n end as n_items,
+      case when shape > 5 then coalesce(said, '') end as said from r left join said using (stage_id)""",
 )
 def decode_json_array(v: Views):
     items = v.stages.withColumn("items", jsontext.decode_array("output_json"))
@@ -128,6 +155,7 @@ def decode_json_array(v: Views):
         "stage_id",
         F.col("items").isNotNull().alias("decodes"),
         F.when(F.col("items").isNotNull(), F.size("items")).alias("n_items"),
+        _said("items"),
     )
 
 
@@ -173,14 +201,33 @@ from {events}
 
 
 @query(
-    "raw_result_fallback",
+    "latest_ai_text",
     f"""{cte(g=LOGS_SQL)} select user_id, arg_max(substr(entry, instr(entry, '] AI: ') + 6), seq) as repair_text
     from g where contains(entry, '] AI: ') group by user_id""",
 )
-def raw_result_fallback(v: Views):
+def latest_ai_text(v: Views):
     return findings.latest_ai_text(v.sql(LOGS_SQL), ["user_id"])
 
 
+# Documents with a log: the result of every third is empty.
+REPAIR_SQL = f"""
+select user_id, case when user_id % 3 = 0 then '' else concat('result of ', cast(user_id as string)) end as result, seq, entry
+from ({LOGS_SQL}) g
+"""
+
+
+@query(
+    "raw_result_fallback",
+    f"""{cte(g=REPAIR_SQL)} select user_id, case when any_value(result) <> '' then any_value(result)
+      else arg_max(substr(entry, instr(entry, '] AI: ') + 6), seq) filter (contains(entry, '] AI: ')) end as repair_text
+    from g group by user_id""",
+)
+def raw_result_fallback(v: Views):
+    log = F.transform(F.array_sort(F.collect_list(F.struct("seq", "entry"))), lambda r: r["entry"])
+    docs = v.sql(REPAIR_SQL).groupBy("user_id", "result").agg(log.alias("logs"))
+    return findings.raw_result_fallback(docs).select("user_id", "repair_text")
+
+
 @query(
     "classify_error",
     f"""{cte(g=LOGS_SQL)} select class, count(*) as n, class in ('timeout', 'retryable') as retryable from (
@@ -390,17 +437,29 @@ def format_value(v: Views):
 _FIELDS = ["type", "risk_score", "verification_reason", "execution_logic", "component_name", "affected_endpoints"]
 
 
+# Every top-level field of a finding with its text, null where the field is absent.
+TOP_FIELDS = {
+    **{n: f'"{n}"' for n in FINDING_SQL if n not in ("file", "line", "function", "method", "path", "parameter")},
+    "location": "case when file is not null then 'x' end",
+    "trigger": "'x'",
+    "affected_endpoints": "case endpoints when 'items' then 'x' when 'empty' then '' end",
+    "risk_score": "nullif(risk_score, '')",
+}
+KEYED = f""", k as (select unnest([{', '.join(f"'{n}'" for n in TOP_FIELDS)}]) as key,
+  unnest([{', '.join(TOP_FIELDS.values())}]) as val from f)"""
+
+
+def _keyed(v: Views):
+    return findings.stage_findings(v.stages).select(F.explode(jsontext.payload("item")).alias("key", "value"))
+
+
 @query(
     "pretty_label",
-    f"""{FINDINGS}, k as (select unnest(['severity', 'component_name', 'execution_logic']) as key,
-        unnest([severity, component_name, execution_logic]) as val from f)
-    select key, case key when 'severity' then 'Severity' when 'component_name' then 'Component Name' else 'Execution Logic' end as label,
+    f"""{FINDINGS}{KEYED} select key, (select string_agg(upper(w[1]) || w[2:], ' ') from (select unnest(string_split(key, '_')) as w)) as label,
       count(*) as n from k where val is not null group by all""",
 )
 def pretty_label(v: Views):
-    rows = findings.stage_findings(v.stages).select(F.explode(jsontext.payload("item")).alias("key", "value"))
-    wanted = rows.filter(F.col("key").isin("severity", "component_name", "execution_logic"))
-    return _count(wanted, key=F.col("key"), label=labels.pretty_label("key"))
+    return _count(_keyed(v), key=F.col("key"), label=labels.pretty_label("key"))
 
 
 CODE_KEYS = "(" + ", ".join(f"'{k}'" for k in dims.CODE_FIELDS) + ")"
@@ -408,17 +467,11 @@ CODE_KEYS = "(" + ", ".join(f"'{k}'" for k in dims.CODE_FIELDS) + ")"
 
 @query(
     "is_code_field",
-    f"""{FINDINGS}, k as (select unnest(['severity', 'impact', 'execution_logic', 'description']) as key,
-        unnest([severity, impact, execution_logic, description]) as val from f)
-    select key, key in {CODE_KEYS} or contains(val, chr(10)) or strlen(val) > 140 as code, count(*) as n
+    f"""{FINDINGS}{KEYED} select key, key in {CODE_KEYS} or contains(val, chr(10)) or strlen(val) > 140 as code, count(*) as n
     from k where val is not null group by all""",
 )
 def is_code_field(v: Views):
-    rows = findings.stage_findings(v.stages).select(F.explode(jsontext.payload("item")).alias("key", "value"))
-    wanted = rows.filter(F.col("key").isin("severity", "impact", "execution_logic", "description"))
-    return _count(
-        wanted, key=F.col("key"), code=labels.is_code_field("key", jsontext.to_text("value"))
-    )
+    return _count(_keyed(v), key=F.col("key"), code=labels.is_code_field("key", jsontext.to_text("value")))
 
 
 @query(
@@ -464,17 +517,10 @@ def is_read_success(v: Views):
 
 @query(
     "is_meaningful",
-    f"""{FINDINGS}, k as (select unnest(['severity', 'risk_score', 'affected_endpoints', 'trigger', 'reviewed_severity']) as key,
-        unnest([severity, nullif(risk_score, ''), case endpoints when 'items' then 'x' when 'empty' then '' end, 'x',
-          reviewed_severity]) as val from f)
-    select key, trim(val) <> '' as meaningful, count(*) as n from k where val is not null group by all""",
+    f"{FINDINGS}{KEYED} select key, trim(val) <> '' as meaningful, count(*) as n from k where val is not null group by all",
 )
 def is_meaningful(v: Views):
-    rows = findings.stage_findings(v.stages).select(F.explode(jsontext.payload("item")).alias("key", "value"))
-    wanted = rows.filter(
-        F.col("key").isin("severity", "risk_score", "affected_endpoints", "trigger", "reviewed_severity")
-    )
-    return _count(wanted, key=F.col("key"), meaningful=jsontext.meaningful("value"))
+    return _count(_keyed(v), key=F.col("key"), meaningful=jsontext.meaningful("value"))
 
 
 # ---- predicates ----
@@ -517,14 +563,18 @@ def exportable_stages_ui(v: Views):
 
 @query(
     "stage_actions",
-    f"""{cte(r=STAGE_ROWS_SQL, t=TASK_ROWS_SQL)}, x as (select r.*, t.status <> 'running' as idle,
-        lower(r.status) = 'completed' and r.shape not in (2, 3, 4, 5) as done from r join t using (task_id))
-    select stage_id, idle and stage in {KNOWN} as can_run, idle and done as can_gap_check,
-      idle and done and n > 0 as can_revalidate, idle and lower(status) in ('paused', 'failed') as can_resume,
+    f"""{cte(r=STAGE_ROWS_SQL, t=TASK_ROWS_SQL)}, one as (select * from r where stage in {KNOWN}
+        qualify row_number() over (partition by task_id, stage order by created_at, stage_id) = 1),
+      g as (select task_id, status <> 'running' as idle, shape <> 1 as routes,
+        unnest(['init', {', '.join(f"'{k}'" for k, _ in dims.STAGES)}]) as stage from t),
+      x as (select g.*, one.stage_id, one.n, lower(one.status) as own, coalesce(lower(one.status) = 'completed' and {ARRAY_SHAPES}, false) as done
+        from g left join one using (task_id, stage))
+    select task_id, stage, stage_id, idle as can_run, idle and case when stage = 'init' then routes else done end as can_gap_check,
+      idle and done and coalesce(n, 0) > 0 as can_revalidate, idle and coalesce(own in ('paused', 'failed'), false) as can_resume,
       idle as can_delete from x""",
 )
 def stage_actions(v: Views):
-    return findings.stage_actions(v.tasks, v.stages).drop("task_id", "stage")
+    return findings.stage_actions(v.tasks, v.stages)
 
 
 # ---- algebra ----
@@ -625,7 +675,7 @@ DEDUPED = f"{NORMAL}, {_folded('g', 'stage_id, stage', 'd')}"
 def dedupe_findings(v: Views):
     rows = algebra.normalize_findings(algebra.document_findings(_array_docs(v), DOC_KEYS))
     # Without the per-document flag every finding takes the folding path.
-    return _shown(algebra.dedupe_findings(rows.drop("has_dup"), DOC_KEYS), "stage_id", "pos")
+    return _shown(algebra.dedupe_findings(rows, DOC_KEYS), "stage_id", "pos")
 
 
 @query(
@@ -740,21 +790,13 @@ def finalize_run(v: Views):
 
 
 def _of_kind(v: Views, kind: str):
-    keys = ["stage_id"]
     good = findings.where_parsed(_runs(v).filter(F.col("kind") == kind), F.col("error").isNull())
-    current = algebra.existing_findings(
-        good.select("stage_id", "stage", F.col("stored_items").alias("items")), keys
-    )
-    answers = algebra.normalize_findings(
-        algebra.document_findings(good.select("stage_id", "stage", F.col("answer_items").alias("items")), keys),
-        "gap_check" if kind == "gap_check" else "initial",
-    ).drop("has_dup")
-    return current, answers
+    return algebra.run_groups(good, ["stage_id"])
 
 
 @query("gap_check_merge", f"{RUNS} select stage_id, run, pos, sig, {_out('ntype', 'type')}, {_SHOWN_SQL} from gap")
 def gap_check_merge(v: Views):
-    return _shown(algebra.gap_check_merge(*_of_kind(v, "gap_check"), ["stage_id"]), "stage_id", "run", "pos")
+    return _shown(algebra.gap_check_merge(_of_kind(v, "gap_check"), ["stage_id"]), "stage_id", "run", "pos")
 
 
 @query(
@@ -762,7 +804,7 @@ def gap_check_merge(v: Views):
     f"{RUNS} select stage_id, pos, sig, {_out('ntype', 'type')}, {_SHOWN_SQL} from added",
 )
 def unseen_candidates(v: Views):
-    return _shown(algebra.unseen_candidates(*_of_kind(v, "gap_check"), ["stage_id"]), "stage_id", "pos")
+    return _shown(algebra.unseen_candidates(_of_kind(v, "gap_check"), ["stage_id"]), "stage_id", "pos")
 
 
 @query(
@@ -776,13 +818,13 @@ def unseen_candidates(v: Views):
         as review_summary from gap group by all""",
 )
 def added_count(v: Views):
-    merged = algebra.gap_check_merge(*_of_kind(v, "gap_check"), ["stage_id"])
+    merged = algebra.gap_check_merge(_of_kind(v, "gap_check"), ["stage_id"])
     return algebra.gap_check_summary(merged, ["stage_id"])
 
 
 @query("match_reviews", f"{RUNS} select cur.stage_id, cur.pos, x.sig is not null as reviewed, {_out('x.impact', 'impact')}, {_out('x.origin', 'origin')} from cur left join lastr x using (stage_id, sig) where knd = 'revalidate'")
 def match_reviews(v: Views):
-    matched = algebra.match_reviews(*_of_kind(v, "revalidate"), ["stage_id"])
+    matched = algebra.match_reviews(_of_kind(v, "revalidate"), ["stage_id"])
     return matched.select(
         "stage_id",
         "pos",
@@ -794,7 +836,7 @@ def match_reviews(v: Views):
 
 @query("revalidation_merge", f"{RUNS} select stage_id, pos, sig, {_out('ntype', 'type')}, {_SHOWN_SQL} from rev")
 def revalidation_merge(v: Views):
-    return _shown(algebra.revalidation_merge(*_of_kind(v, "revalidate"), ["stage_id"]), "stage_id", "pos")
+    return _shown(algebra.revalidation_merge(_of_kind(v, "revalidate"), ["stage_id"]), "stage_id", "pos")
 
 
 @query(
@@ -806,7 +848,7 @@ def revalidation_merge(v: Views):
       rejected_count, ' rejected.') as review_summary from c""",
 )
 def review_counts(v: Views):
-    merged = algebra.revalidation_merge(*_of_kind(v, "revalidate"), ["stage_id"])
+    merged = algebra.revalidation_merge(_of_kind(v, "revalidate"), ["stage_id"])
     return algebra.revalidation_summary(algebra.review_counts(merged, ["stage_id"]))
 
 
@@ -819,5 +861,36 @@ def review_counts(v: Views):
     select stage_id, cast(pos >= 1000 as int) as run, pos % 1000 as pos, sig, {_out('ntype', 'type')}, {_SHOWN_SQL} from w""",
 )
 def union_dedupe(v: Views):
-    merged = algebra.gap_check_merge(*_of_kind(v, "gap_check"), ["stage_id"], enrich=True)
+    merged = algebra.gap_check_merge(_of_kind(v, "gap_check"), ["stage_id"], enrich=True)
     return _shown(merged, "stage_id", "run", "pos")
+
+
+# Runs of the route inventory: first runs, gap checks and revalidations of task routes stored as `init` stages.
+def _route_runs(v: Views):
+    stages = v.tasks.select(
+        F.concat(F.lit("init-"), "task_id").alias("stage_id"), F.lit("init").alias("name"), "result", "output_json"
+    )
+    kind = F.when(F.length("task_id") % 3 == 0, "initial").when(F.length("task_id") % 3 == 1, "gap_check").otherwise("revalidate")
+    answers = v.tasks.select(
+        F.concat(F.lit("init-"), "task_id").alias("stage_id"),
+        kind.alias("kind"),
+        F.lit('Routes: [{"method":"get","path":"/r/1","source":"new.go"},{"method":"PUT","path":"/new"}]').alias("content"),
+    )
+    return algebra.run_answers(stages, answers)
+
+
+@query(
+    "finalize_routes",
+    f"""{cte(t=TASK_ROWS_SQL)}, k as (select *, concat('init-', task_id) as stage_id, length(task_id) % 3 as m from t),
+      own as (select stage_id, i - 1 as pos, 0 as run, upper(trim({ROUTE_SQL['method']})) as method, {ROUTE_SQL['path']} as path,
+          coalesce({ROUTE_SQL['source']}, '') as source from (select *, unnest(range(1, n + 1)) as i from k where shape <> 1 and m = 1)),
+      new as (select stage_id, 0 as pos, case m when 1 then 1 else 0 end as run, 'GET' as method, '/r/1' as path, 'new.go' as source from k
+          where m = 0 or (m = 1 and shape <> 1)
+        union all select stage_id, 1, case m when 1 then 1 else 0 end, 'PUT', '/new', '' from k where m = 0 or (m = 1 and shape <> 1)),
+      u as (select *, concat_ws('|', method, path, source) as sig from (select * from own union all select * from new))
+    select stage_id, sig, min((run, pos))[1] as run, min((run, pos))[2] as pos from u group by stage_id, sig""",
+)
+def finalize_routes(v: Views):
+    return algebra.finalize_routes(_route_runs(v)).select(
+        "stage_id", "sig", F.col("pos.run").alias("run"), F.col("pos.pos").alias("pos")
+    )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake import dims
@@ -14,6 +17,7 @@ from siftlake.plans.finding_queries import (
     KNOWN,
     LOCATION,
     RANK,
+    RAW_HEAD,
     STAGES,
     TASK_STATUS,
     TASKS,
@@ -22,7 +26,7 @@ from siftlake.plans.finding_queries import (
 )
 from siftlake.plans.registry import query
 from siftlake.plans.views import STAGE_ROWS_SQL, TASK_ROWS_SQL, Views, cte, flat_findings_sql
-from siftlake.session import work_folder
+from siftlake.session import drop_at_end, work_folder
 from siftlake.sources import tables
 
 BOTH = cte(r=STAGE_ROWS_SQL, t=TASK_ROWS_SQL)
@@ -233,20 +237,23 @@ def report_findings(v: Views):
 _SHOWN_FIELDS = ["vulnerable_code", "impact", "execution_logic", "proof_type", "file_operation", "storage_point",
                  "component_name", "component_version"]
 _FIELD_DIM = ", ".join(
-    f"('{s}', '{k}', {i}, '{dims.REPORT_FIELD_LABEL_OVERRIDES.get((s, k), dims.REPORT_FIELD_LABELS[k])}', {str(k in dims.CODE_FIELDS).lower()})"
-    for s, keys in dims.REPORT_FIELDS.items()
-    for i, k in enumerate(keys)
+    f"('{s}', '{k}', {i}, '{label}', {str(code).lower()})"
+    for s, fields in dims.REPORT_FIELDS.items()
+    for i, (k, label, code) in enumerate(fields)
 )
 
 
-@query(
-    "report_fields",
-    f"""{REPORT}, d(stage, key, ordinal, label, code) as (values {_FIELD_DIM}),
-      k as (select stage_id, task_id, stage, rejected, number, {COMPONENT} as component,
+_FIELD_ROWS = f"""k as (select stage_id, task_id, stage, rejected, number, {COMPONENT} as component,
         unnest([{', '.join(f"'{n}'" for n in _SHOWN_FIELDS)}, 'affected_endpoints', 'risk_score']) as key,
         unnest([{', '.join(_SHOWN_FIELDS)}, case endpoints when 'items' then concat('/a', chr(10), '/b') end, risk_score]) as val
         from num),
-      z as (select * from k where trim(coalesce(val, '')) <> '' and not (stage = 'config' and component <> '' and key like 'component_%'))
+      z as (select * from k where trim(coalesce(val, '')) <> '' and not (stage = 'config' and component <> '' and key like 'component_%'))"""
+
+
+@query(
+    "report_fields",
+    f"""{REPORT}, d(stage, key, ordinal, label, code) as (values {_FIELD_DIM}),
+      {_FIELD_ROWS}
     select stage_id, task_id, z.stage, rejected, number, case when d.key is null then 2 else 1 end as section,
       coalesce(d.ordinal, 0) as ordinal, z.key,
       coalesce(d.label, (select string_agg(upper(w[1]) || w[2:], ' ') from (select unnest(string_split(z.key, '_')) as w))) as label,
@@ -271,14 +278,14 @@ def report_fields(v: Views):
       fc as finding_count, rc as rejected_count, shape in (2, 4, 5) as raw_only, shape not in (2, 4, 5) and fc = 0 as zero_findings,
       coalesce(unique_files, 0) as unique_files, coalesce(unique_interfaces, 0) as unique_interfaces,
       {', '.join(f"coalesce({s.lower()}, 0) as {s.lower()}" for s in dims.SEVERITY_RANK)},
-      case shape when 2 then 'Raw note wi' when 4 then 'not json' when 5 then 'First draft' end as raw_start,
+      {RAW_HEAD},
       case when shape in (2, 4, 5) then '{dims.SUMMARY_RAW}' when fc = 0 and rc > 0 then '{dims.SUMMARY_ALL_REJECTED}'
         when fc = 0 then '{dims.SUMMARY_CLEAN}' else printf('{dims.SUMMARY_FINDINGS}', fc) end as summary,
       strftime(created_at + to_hours(ln), '%Y-%m-%d %H:%M:%S') as completed_at from x""",
 )
 def report_stages(v: Views):
     shown = report.report_stages(_reported(v))
-    return shown.withColumn("raw_start", F.substring("raw_text", 1, 11)).drop("raw_text")
+    return shown.withColumn("raw_head", F.substring_index("raw_text", "```json", 1)).drop("raw_text")
 
 
 @query(
@@ -347,6 +354,7 @@ def write_stage_result(v: Views):
     items = found.select("stage_id", "stage", "pos", F.to_json("item").alias("item"))
     path = work_folder(v.spark, "stage-results")
     tables.write_stage_result(tables.stage_documents(items, ["stage_id", "stage"]), path)
+    drop_at_end(v.spark, path)
     back = v.spark.read.parquet(path).withColumn("items", jsontext.decode_array("output_json"))
     return back.groupBy("stage").agg(
         F.count("*").alias("documents"), F.sum(F.size("items")).cast("long").alias("findings")
@@ -355,16 +363,26 @@ def write_stage_result(v: Views):
 
 @query(
     "write_report_tables",
-    f"""{REPORT} select 'findings' as name, count(*) as n from num union all select 'stages', count(*) from doc
-    union all select 'overview', count(distinct task_id) from doc union all select 'tasks', count(*) from t""",
+    f"""{REPORT}, d(stage, key, ordinal, label, code) as (values {_FIELD_DIM}),
+      {_FIELD_ROWS} select 'findings' as name, count(*) as n, count(distinct stage_id) as documents from num
+    union all select 'stages', count(*), count(distinct stage_id) from doc
+    union all select 'overview', count(distinct task_id), count(distinct task_id) from doc
+    union all select 'tasks', count(*), count(distinct task_id) from t
+    union all select 'fields', (select count(*) from z)
+        + (select count(*) from num where stage = 'config' and component_name is not null), count(distinct stage_id)
+      from (select stage_id from z union all select stage_id from num where stage = 'config' and component_name is not null)""",
 )
 def write_report_tables(v: Views):
     path = work_folder(v.spark, "report")
-    written = report.report_tables(v.tasks, v.stages)
-    names = ["findings", "stages", "overview", "tasks"]
-    tables.write_report_tables({n: written[n] for n in names}, path)
-    counts = [
-        v.spark.read.parquet(f"{path}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n")
-        for n in names
-    ]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+    tables.write_report_tables(report.report_tables(v.tasks, v.stages), path)
+    drop_at_end(v.spark, path)
+    counts = []
+    for name in ("findings", "stages", "overview", "tasks", "fields"):
+        back = v.spark.read.parquet(f"{path}/{name}")
+        key = "task_id" if name in ("overview", "tasks") else "stage_id"
+        counts.append(
+            back.agg(F.count("*").alias("n"), F.count_distinct(key).alias("documents")).select(
+                F.lit(name).alias("name"), "n", "documents"
+            )
+        )
+    return functools.reduce(DataFrame.unionByName, counts)

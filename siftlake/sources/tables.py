@@ -139,20 +139,26 @@ def read_transcript(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.MESSAGES).option("mode", "FAILFAST").json(path)
 
 
-def read_states(spark: SparkSession, root: str) -> DataFrame:
-    """All `<root>/<task_id>/<stage>/state.json`; invalid ones are skipped."""
+def read_states(spark: SparkSession, root: str, glob: str = "state.json") -> DataFrame:
+    """All `<root>/<task_id>/<stage>/state.json`; invalid ones are skipped.
+
+    `session` is the state's own or `task_id/stage`, the key of its messages and artifacts.
+    """
     raw = (
         spark.read.schema(f"{schemas.STATES}, _corrupt_record string")
         .option("multiLine", True)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "state.json")
+        .option("pathGlobFilter", glob)
         .json(root)
     )
     folder = F.split(F.col("_metadata.file_path"), "/")
+    # Folders may carry their column's name, as partitioned writers make them.
+    name = F.regexp_replace(F.element_at(folder, -2), "^stage=", "")
     return (
-        raw.withColumn("folder", F.element_at(folder, -2))
+        raw.withColumn("folder", name)
         .filter(F.col("_corrupt_record").isNull() & F.col("status").isNotNull())
         .withColumn("stage", F.col("folder"))
+        .withColumn("session", F.coalesce("session", F.concat_ws("/", "task_id", "stage")))
         .drop("_corrupt_record", "folder")
     )
 
@@ -181,21 +187,17 @@ def append_messages(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def write_messages(messages: DataFrame, path: str) -> None:
-    messages.write.mode("append").json(path)
-
-
 # ---- results ----
 
 
-def stage_documents(findings: DataFrame, keys: list[str], part_rows: int = 5000) -> DataFrame:
-    """Findings as JSON arrays, at most `part_rows` per document: (keys, part, n, output_json).
+def stage_documents(findings: DataFrame, keys: list[str], part_rows: int | None = None) -> DataFrame:
+    """Findings (keys, pos, item) as one JSON array for each group of keys: (keys, part, n, output_json).
 
-    A group is cut into parts by position, so no task ever holds more than one
-    part; reading all parts in order gives the whole array back.
+    A stage's result is one document, as every reader takes it. A writer that must bound its documents
+    may ask for parts of `part_rows` findings by position; `whole_documents` puts parts together again.
     """
-    part = F.floor(F.col("pos") / part_rows).alias("part")
-    rows = findings.select(*keys, part, "pos", F.col("item"))
+    part = F.lit(0).cast("long") if part_rows is None else F.floor(F.col("pos") / part_rows)
+    rows = findings.select(*keys, part.alias("part"), "pos", F.col("item"))
     return (
         rows.groupBy(*keys, "part")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("items"))
@@ -210,6 +212,17 @@ def stage_documents(findings: DataFrame, keys: list[str], part_rows: int = 5000)
     )
 
 
+def whole_documents(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Parts of documents joined in order: (keys, n, output_json)."""
+    inner = F.substring(F.col("output_json"), F.lit(2), F.length("output_json") - 2)
+    filled = parts.filter(F.col("n") > 0).select(*keys, "part", "n", inner.alias("body"))
+    whole = filled.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("part", "body"))).alias("bodies")
+    )
+    joined = F.array_join(F.transform("bodies", lambda b: b["body"]), ",")
+    return whole.select(*keys, "n", F.concat(F.lit("["), joined, F.lit("]")).alias("output_json"))
+
+
 def write_stage_result(documents: DataFrame, path: str) -> None:
     """Replace the results of the stages present in `documents`; other stages stay."""
     (

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -17,6 +18,7 @@ def make_session() -> SparkSession:
         .appName("siftlake-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.warehouse.dir", f"{tempfile.mkdtemp(prefix='siftlake-tests-')}/warehouse")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )

@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftlake import schemas
@@ -14,6 +15,7 @@ from siftlake.operators import algebra, findings, lines, report, rollup, scans,
 from siftlake.operators.running import running
 from siftlake.session import work_folder
 from siftlake.sources import tables
+from siftlake.streaming import streams
 
 T0 = dt.datetime(2024, 5, 1, 12, 0, 0)
 ROUTES = '[{"method":"GET","path":"/a"},{"method":"POST","path":"/b"}]'
@@ -154,6 +156,7 @@ def test_static_scan(spark):
     got = sorted((r.path, r.line, r.subtype) for r in scans.static_scan(files).collect())
     assert got == [
         ("a.php", 2, "Command Injection"),
+        ("a.php", 3, "Command Injection"),
         ("a.php", 4, "Command Injection"),
         ("a.php", 4, "Weak Cryptography"),
     ]
@@ -205,15 +208,16 @@ def test_dedupe_and_normalise(spark):
 
 def test_gap_check_and_revalidation(spark):
     keys = ["stage_id"]
-    current = algebra.existing_findings(finding_docs(spark, [{**A, "verification_status": "confirmed"}]), keys)
+    stored = finding_docs(spark, [{**A, "verification_status": "confirmed"}]).withColumnRenamed("items", "stored_items")
     answer = finding_docs(spark, [{**A, "impact": "richer"}, {**A, "subtype": "fresh"}, {**A, "subtype": "fresh", "n": 1}])
-    candidates = algebra.normalize_findings(algebra.document_findings(answer, keys), "gap_check")
-    merged = algebra.gap_check_merge(current, candidates.drop("has_dup"), keys)
+    groups = algebra.run_groups(stored.join(answer.withColumnRenamed("items", "answer_items"), ["stage_id", "stage"]), keys)
+    merged = algebra.gap_check_merge(groups, keys)
     got = as_dicts(merged, "run", "pos")
     assert [g["impact"] for g in got] == ["old", "old"] and got[1]["origin"] == "gap_check" and "n" not in got[1]
     assert algebra.gap_check_summary(merged, keys).first().added == 1
-    reviews = algebra.normalize_findings(algebra.document_findings(answer, keys), "initial").drop("has_dup")
-    reviewed = as_dicts(algebra.revalidation_merge(current, reviews, keys), "pos")
+    richer = as_dicts(algebra.gap_check_merge(groups, keys, enrich=True), "run", "pos")
+    assert [g["impact"] for g in richer] == ["richer", "old"] and richer[1]["n"] == 1
+    reviewed = as_dicts(algebra.revalidation_merge(groups, keys), "pos")
     # A review without a status overwrites the stored one.
     assert [(r["impact"], r["verification_status"]) for r in reviewed] == [("richer", "unreviewed")]
 
@@ -256,13 +260,27 @@ def test_tool_rounds(spark):
 
 def test_boundary_and_memory(spark):
     m = messages_df(spark, {"id": "old-a"}, {"id": "old-b"}, {"id": "bnd", "kind": "compact_boundary"}, {"id": "sum"})
+    m = m.withColumn("boundary", F.when(F.col("id") == "bnd", F.expr(
+        "named_struct('source', 'auto', 'pre_bytes', 1L, 'post_bytes', 1L, 'summarized_message_count', 0L, "
+        "'head_id', 'old-a', 'anchor_id', 'old-a', 'tail_id', 'old-b')")))
     states = spark.createDataFrame(
-        [("s", "bnd", "old-a", "old-b", "old-b")],
-        "session string, active_boundary_id string, head_id string, tail_id string, last_memory_message_id string",
+        [("s", "bnd", "old-b", "notes"), ("t", None, None, " ")],
+        "session string, active_boundary_id string, last_memory_message_id string, memory_text string",
     )
-    active = transcript.chat_view(transcript.active_messages(m, states))
-    assert [r.id for r in active.orderBy("seq").collect()] == ["old-a", "old-b", "sum"]
+    prompts = spark.createDataFrame([("s", "do it")], "session string, prompt string")
+    again = m.unionByName(m.filter("id = 'old-a'").selectExpr(*[
+        {"content": "'do it' as content", "id": "'again' as id", "seq": "5L as seq"}.get(c, c) for c in m.columns]))
+    view = transcript.chat_view(transcript.active_messages(again, states), prompts=prompts)
+    assert [r.id for r in view.orderBy("seq").collect()] == ["root-prompt", "old-a", "old-b", "sum"]
     assert seqs(transcript.memory_tail(m, states)) == [2, 3]
+    assert seqs(transcript.memory_tail(m, states.withColumn("memory_text", F.lit("")))) == []
+    grown = transcript.memory_delta(m, states.withColumns({
+        "consecutive_memory_failures": F.lit(1), "last_memory_failure_at": F.lit(T0)}), 0, 0, F.lit(T0), 60)
+    assert [r.fires for r in grown.collect()] == [False]
+    late = F.lit(T0 + dt.timedelta(seconds=61))
+    grown = transcript.memory_delta(m, states.withColumns({
+        "consecutive_memory_failures": F.lit(1), "last_memory_failure_at": F.lit(T0)}), 0, 0, late, 60)
+    assert [r.fires for r in grown.collect()] == [True]
 
 
 def test_microcompact(spark):
@@ -273,6 +291,43 @@ def test_microcompact(spark):
     )
     got = transcript.microcompact(m, keep=1).collect()
     assert [(r.seq, r.artifact_id) for r in got] == [(2, "art-1")] and 'get_artifact("art-1")' in got[0].placeholder
+    # Numbers go on from the session's highest, in its messages or in its state.
+    owned = m.withColumn("artifact_id", F.when(F.col("seq") == 4, "art-6"))
+    assert [r.artifact_id for r in transcript.microcompact(owned, keep=1).collect()] == ["art-7"]
+    states = spark.createDataFrame([("s", 9)], "session string, next_artifact_id long")
+    assert [r.artifact_id for r in transcript.microcompact(owned, keep=1, states=states).collect()] == ["art-10"]
+
+
+def test_state_feeds_the_transcript(spark, tmp_path):
+    folder = tmp_path / "t" / "rce"
+    folder.mkdir(parents=True)
+    (folder / "state.json").write_text(json.dumps(
+        {"task_id": "t", "status": "paused", "active_boundary_id": "m3", "memory_text": "notes", "next_artifact_id": 4}))
+    states = tables.read_states(spark, str(tmp_path))
+    call = {"role": "assistant", "calls": ["a"]}
+    answer = {"role": "tool", "answer": "a", "tool": "read_file", "content": "x" * 200}
+    m = messages_df(spark, {}, call, answer, {"kind": "compact_boundary"}, call, answer, call, answer, {}).withColumn("session", F.lit("t/rce"))
+    ends = "named_struct('source', 'auto', 'pre_bytes', 1L, 'post_bytes', 1L, 'summarized_message_count', 1L, 'head_id', 'm1', 'anchor_id', 'm1', 'tail_id', 'm2')"
+    m = m.withColumn("boundary", F.when(F.col("id") == "m3", F.expr(ends)))
+    active = transcript.active_messages(m, states)
+    assert seqs(active) == [1, 2, 4, 5, 6, 7, 8]
+    view = transcript.chat_view(active)
+    cleared = transcript.microcompact(view, keep=1, states=states)
+    assert sorted((r.seq, r.artifact_id) for r in cleared.collect()) == [(2, "art-5"), (5, "art-6")]
+    shown = transcript.chat_view(active, cleared)
+    got = transcript.compaction_boundary(shown, size=2).first()
+    assert (got.source, got.summarized_message_count, got.head_id, got.anchor_id, got.tail_id) == ("auto", 4, "m6", "m7", "m8")
+    assert got.post_bytes == got.kept_bytes and got.pre_bytes > got.post_bytes
+
+
+def test_messages_are_read_twice(spark, tmp_path):
+    """Once for the narrow table that rounds and windows are judged on, once for the result."""
+    path = str(tmp_path / "messages")
+    call, answer = {"role": "assistant", "calls": ["a"]}, {"role": "tool", "answer": "a"}
+    messages_df(spark, {}, call, answer, {}, {}, call, answer).write.parquet(path)
+    for run in (transcript.sanitize_rounds, transcript.tail_split, transcript.compression_window):
+        out = run(spark.read.schema(schemas.MESSAGES).parquet(path))
+        assert out._jdf.queryExecution().optimizedPlan().collectLeaves().mkString().count("artifact_id") == 1
 
 
 def test_latest_resumable_stage(spark):
@@ -296,7 +351,7 @@ def test_running_matches_a_loop(spark):
     rows = [("hot" if rng.random() < 0.8 else "cold", s, rng.randint(0, 5)) for s in range(0, 900, 3)]
     df = spark.createDataFrame(rows, "k string, seq long, x int").repartition(5)
     out = running(df, ["k"], "seq", sums={"s": F.col("x")}, lasts={"last_big": F.when(F.col("x") > 3, F.col("seq"))},
-                  totals={"n": F.lit(1)}, chunk=50)
+                  totals={"n": F.lit(1)}, parts=7)
     got = {(r.k, r.seq): (r.s, r.last_big, r.n) for r in out.collect()}
     sums, big = {}, {}
     for k, seq, x in rows:
@@ -342,3 +397,86 @@ def test_schema_check(spark):
     stages = stages_df(spark, ("t", "xss", "completed", json.dumps([item]), ""))
     got = {(r.field, r.rule) for r in findings.schema_check(findings.stage_findings(stages)).collect()}
     assert got == {("storage_point", "required")}
+
+
+def test_no_line_or_document_is_lost(spark, monkeypatch):
+    long_line = "x" * (3 << 20)
+    secret = '"password": "hunter2"'
+    files = files_df(spark, **{"a.json": f"{long_line}\n{secret}\n", "b.php": f"{long_line} eval(1)\nmd5(2)", "c.go": "needle\n" * 300})
+    assert [(r.path, r.line) for r in scans.secret_scan(files).collect()] == [("a.json", 2)]
+    assert [r.passes for r in scans.secret_gate(files).collect()] == [False]
+    assert sorted((r.path, r.line) for r in scans.static_scan(files).collect()) == [("b.php", 1), ("b.php", 2)]
+    assert lines.grep_lines(files, "needle").count() == 300
+    assert lines.grep_lines(files, "needle", max_results=5, offset=2).count() == 5
+    asked = spark.createDataFrame([(1, "t", "c.go", 0, 0), (2, "t", "c.go", 299, 0), (3, "t", "no", 1, 2), (4, "t", "c.go", 5, 3)],
+                                  "request_id int, task_id string, path string, start_line int, end_line int")
+    got = {r.request_id: r.n for r in lines.read_range(asked, files).groupBy("request_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {1: 300, 2: 2}
+    plan = lines.read_range(asked, files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # lines are made after the last shuffle
+    monkeypatch.setattr(findings, "VARIANT_LIMIT_BYTES", 1000)
+    stages = stages_df(spark, ("t", "rce", "completed", "[" + "1" * 2000, ""), ("t", "auth", "completed", "{}", "prose"))
+    assert {r.name: (r.state, r.raw_text) for r in findings.parse_findings(stages).collect()} == {
+        "rce": ("too_large", None), "auth": ("raw", "prose"),
+    }
+    shown = {r.stage: (r.raw_only, r.zero_findings) for r in report.report_stages(report.report_documents(stages)).collect()}
+    assert shown == {"rce": (False, False), "auth": (True, False)}
+
+
+def test_large_stage_is_one_document(spark):
+    items = spark.range(6000).select(F.lit("t").alias("task_id"), F.lit("rce").alias("name"), F.col("id").alias("pos"),
+                                     F.format_string('{"severity":"low","description":"%d"}', "id").alias("item"))
+    for documents in (
+        tables.stage_documents(items, ["task_id", "name"]),
+        tables.whole_documents(tables.stage_documents(items, ["task_id", "name"], part_rows=700), ["task_id", "name"]),
+    ):
+        stages = documents.select(
+            F.lit("s").alias("stage_id"), "task_id", "name", F.lit("completed").alias("status"), F.lit("").alias("result"),
+            "output_json", F.lit(T0).alias("created_at"), F.lit(T0).alias("updated_at"),
+        )
+        tasks = tasks_df(spark, ("t", "completed", ROUTES, ""))
+        assert rollup.task_list(tasks, stages).first().completed_stage_count == 1
+        anchors = [r.anchor for r in report.report_findings(report.report_documents(stages)).select("anchor").collect()]
+        assert len(anchors) == len(set(anchors)) == 6000
+
+
+def test_static_scan_becomes_a_stage(spark):
+    files = files_df(spark, **{"a.php": "eval(1)\nmd5(2)", "b.php": "ok"})
+    items = scans.static_stage_items(scans.static_scan(files))
+    document = tables.stage_documents(items, ["task_id", "stage"]).first()
+    got = [(x["location"]["file"], x["location"]["line"], x["severity"]) for x in json.loads(document.output_json)]
+    assert (document.n, got) == (2, [("a.php", "1", "CRITICAL"), ("a.php", "2", "MEDIUM")])
+
+
+def test_running_on_sparse_sequences(spark):
+    rows = [("hot" if s % 10 else "cold", s * 1_000_003, 1) for s in range(20_000)]
+    df = spark.createDataFrame(rows, "k string, seq long, x int")
+    out = running(df, ["k"], "seq", sums={"n": F.col("x")}, totals={"all": F.col("x")}, parts=8)
+    sizes = {r.k: (r.top, r.all, r.n) for r in out.groupBy("k").agg(F.max("n").alias("top"), F.max("all").alias("all"), F.count("*").alias("n")).collect()}
+    assert sizes == {"hot": (18_000, 18_000, 18_000), "cold": (2_000, 2_000, 2_000)}
+
+
+def test_actions_for_stages_that_have_not_run(spark):
+    tasks, stages = audit(spark)
+    got = {(r.task_id, r.stage): r for r in findings.stage_actions(tasks, stages).collect()}
+    assert len(got) == 20
+    assert got["task-1", "xss"].can_run and got["task-1", "xss"].stage_id is None and not got["task-1", "xss"].can_gap_check
+    assert got["task-1", "init"].can_gap_check and not got["task-1", "init"].can_revalidate
+    assert got["task-1", "rce"].can_revalidate and not got["task-1", "auth"].can_revalidate
+    assert not got["task-2", "init"].can_run
+
+
+@pytest.mark.parametrize("files", [1, 3, 10])
+def test_memory_stream_equals_batch(spark, files, tmp_path):
+    rng = random.Random(files)
+    rows = [{"role": rng.choice(["user", "assistant"]), "content": "y" * rng.randint(0, 90), "calls": ["a"] * rng.randint(0, 1),
+             "kind": rng.choice(["normal", "normal", "compact_boundary"])} for _ in range(200)]
+    m = messages_df(spark, *rows).withColumn("session", F.when(F.col("seq") % 7 == 0, "small").otherwise("hot"))
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    m.repartition(files).write.json(source)
+    arrived = streams.stream_transcript(spark, source, files_per_trigger=1)
+    streams.stream_memory_delta(arrived, path, 3000, 30, restart=False).trigger(availableNow=True).start().awaitTermination()
+    got = {r.session: (r.growth_bytes, r.tool_calls, r.last_seq, r.fires) for r in streams.memory_rows(spark, path).collect()}
+    states = spark.createDataFrame([], schemas.STATES)
+    want = {r.session: (r.growth_bytes, r.tool_calls, int(r.last_id[1:]), r.fires) for r in transcript.memory_delta(m, states, 3000, 30).collect()}
+    assert got == want
