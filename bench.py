@@ -28,9 +28,14 @@ HEADLINE = [
     "severity_breakdown",
     "report_overview",
     "report_findings",
+    "report_fields",
     "initial_findings",
+    "gap_check_merge",
+    "finalize_run",
+    "read_range",
     "tool_rounds",
     "sanitize_rounds",
+    "compression_window",
     "memory_delta",
     "repeated_tool_calls",
 ]
@@ -45,6 +50,8 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", cpus)
+        # The test tables are files of one row group, which a scan can't split.
+        .config("spark.siftlake.spread", cpus)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
