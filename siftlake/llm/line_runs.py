@@ -113,11 +113,13 @@ def removed_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     runs = written(_windows(rows, doublings, min_words), "run-windows")
     key = ["n", "first", "last"]
     where = F.struct(*DOC, "start")
-    groups = (
+    # A table of its own, so that the join on a run that many documents share can be split.
+    groups = written(
         runs.groupBy(*key)
         .agg(F.min(where).alias("_first"), F.count(F.lit(1)).alias("_copies"))
         .where("_copies > 1")
-        .select(*key, "_first")
+        .select(*key, "_first"),
+        "run-groups",
     )
     later = runs.join(groups, key).where(~where.eqNullSafe(F.col("_first")))
     spans = later.select(*DOC, F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("at")).distinct()
