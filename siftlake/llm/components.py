@@ -33,6 +33,7 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select(
             "node", F.col("label").alias("old"), F.least("label", "low").alias("label")
         )
+        step = written(step, "labels")  # so that the join on a label of many nodes can be split
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
         moved = written(
             step.join(jump, "label", "left").select("node", "old", F.coalesce("further", "label").alias("label")),

@@ -13,19 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from siftlake.llm.common import ARROW_CONF, arrow_map, written  # noqa: F401
+from siftlake.llm.common import arrow_map, written
 from siftlake.llm.components import components
 
 SHINGLE = 5
 BANDS, ROWS = 40, 8
-K = BANDS * ROWS
+#: Coordinates of a signature: the first BANDS * ROWS make the bands, all of them the estimate.
+K = 480
 #: Size of the circle that both permutations act on.
 CIRCLE = 1 << 22
 #: Members of a bucket that are compared with each other in one task.
 BLOCK = 256
-#: Pairs whose signatures agree in less than this share below the limit are not verified: over six
-#: standard deviations of the estimate with K coordinates.
-MARGIN = 0.12
+#: Pairs whose signatures agree in less than the limit minus this share are not verified: nearly five
+#: standard deviations of the estimate at the limit of 0.85 (0.0163 with 480 coordinates).
+MARGIN = 0.08
 WORDS_REMEMBERED = 500_000
 
 
@@ -108,7 +109,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 out["_sig"].append(sig.astype(np.uint8).tobytes())
                 bands = salt.copy()
                 for j in range(ROWS):
-                    bands = _mixed(bands * np.uint64(0x9E3779B97F4A7C15) + sig[j::ROWS])
+                    bands = _mixed(bands * np.uint64(0x9E3779B97F4A7C15) + sig[j : BANDS * ROWS : ROWS])
                 out["_bands"].append(bands.view(np.int64).tolist())
             return {"doc_id": rows["doc_id"], "_content": rows["_content"]} | out
 
@@ -154,8 +155,9 @@ def _close_pairs(members: DataFrame, percent: int, hubs: bool) -> DataFrame:
     """Pairs of different components in one bucket whose signatures and sizes may be similar enough.
 
     Members of a bucket are dealt to blocks of about BLOCK; every two blocks meet in one
-    task. With `hubs`, each member is paired only with the member of its block pair that is close
-    to the most others, so a group around one text gives as many pairs as members.
+    task. A pair is given in the first of its common buckets alone. With `hubs`, each member is paired only with
+    the member of its block pair that is close to the most others, so a group around one text gives about as many
+    pairs as members.
     """
     size = members.groupBy("_bucket").agg(
         F.count(F.lit(1)).alias("_m"), F.min("_comp").alias("_c0"), F.max("_comp").alias("_c1")
@@ -166,7 +168,7 @@ def _close_pairs(members: DataFrame, percent: int, hubs: bool) -> DataFrame:
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     rows = rows.select(
         "_bucket", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"),
-        "_own", "node", "_comp", "n_shingles", "_sig",
+        "_own", "node", "_comp", "n_shingles", "_sig", "_bands",
     )
     key = ["_bucket", "_i", "_j"]
     rows = rows.repartition(*key).sortWithinPartitions(*key)
@@ -181,6 +183,8 @@ def _close_pairs(members: DataFrame, percent: int, hubs: bool) -> DataFrame:
         comp = group.column("_comp").to_numpy()
         n = group.column("n_shingles").to_numpy()
         sig = np.frombuffer(b"".join(group.column("_sig").to_pylist()), np.uint8).reshape(len(nodes), K)
+        bands = group.column("_bands").combine_chunks().flatten().to_numpy().reshape(len(nodes), BANDS)
+        here = int(np.flatnonzero(bands[0] == group.column("_bucket")[0].as_py())[0])
         two = group.column("_i")[0].as_py() != group.column("_j")[0].as_py()
         close = np.zeros((len(nodes), len(nodes)), bool)
         for x in range(len(nodes)):
@@ -192,6 +196,8 @@ def _close_pairs(members: DataFrame, percent: int, hubs: bool) -> DataFrame:
             ys = ys[ok]
             if len(ys):
                 ys = ys[(sig[ys] == sig[x]).mean(axis=1) >= least]
+                if not hubs:
+                    ys = ys[~(bands[ys, :here] == bands[x, :here]).any(axis=1)]
                 close[x, ys] = close[ys, x] = True
         if hubs:
             degree = close.sum(axis=1)
@@ -240,7 +246,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = written(_signed(docs), "near-rows")
     linked = rows.where(F.col("_set").isNotNull() & F.col("doc_id").isNotNull())
-    classes = linked.groupBy("_set").agg(F.min("doc_id").alias("node"))
+    # A table of its own, so that joins on a set that many documents share can be split.
+    classes = written(linked.groupBy("_set").agg(F.min("doc_id").alias("node")), "near-classes")
     heads = (
         linked.join(classes.select(F.col("_set").alias("_s"), "node"), (F.col("_set") == F.col("_s")) & (F.col("doc_id") == F.col("node")))
         .select("node", "n_shingles", "_sig", "_bands")
@@ -268,6 +275,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     sets = written(_sets(docs, nodes), "near-sets")
     links = written(_verified(stars, sets, percent), "near-links")
     labels = components(links)
+    tested = stars
     for hubs in (True, False):
         known = labels.select(F.col("node").alias("_n"), "label")
         open_ = (
@@ -277,9 +285,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         )
         mixed = open_.groupBy("_bucket").agg(F.min("_comp").alias("_c0"), F.max("_comp").alias("_c1")).where("_c0 != _c1")
         open_ = open_.join(mixed.select("_bucket"), "_bucket").join(
-            heads.select("node", "n_shingles", "_sig"), "node"
+            heads.select("node", "n_shingles", "_sig", "_bands"), "node"
         )
-        pairs = _close_pairs(open_, percent, hubs).join(links, ["a", "b"], "left_anti")
+        # An id with several texts has several heads: each stands for its own buckets.
+        open_ = open_.where(F.array_contains("_bands", F.col("_bucket")))
+        pairs = _close_pairs(open_, percent, hubs).join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "near-pairs")
+        tested = tested.union(pairs)
         links = written(links.union(_verified(pairs, sets, percent)), "near-links")
         labels = components(links)
     known = labels.select(F.col("node").alias("_n"), "label")

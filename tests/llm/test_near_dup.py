@@ -67,6 +67,17 @@ def test_odd_rows(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_one_id_with_several_texts(spark):
+    rows = groups(5, True)[:60]
+    again = [(rows[0][0], t + " more") for _, t in rows[40:50]]
+    df = spark.createDataFrame(rows + again, "doc_id long, text string")
+    got = near_dup.near_duplicates(df).collect()
+    assert len(got) == len(rows) + len(again)
+    want = brute.near(rows)
+    merged = {r.doc_id: r.component_id for r in got}
+    assert all(merged[d] <= c for d, (_, c) in want.items())
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
