@@ -128,20 +128,24 @@ def _first_valid(candidates: Column) -> Column:
 
 
 def _slices(text: Column, opener: str, closer: str) -> Column:
-    """Valid text from the leftmost possible opener to the last closer."""
+    """Valid text from the leftmost possible opener to the last closer.
 
-    def candidates(pieces: Column) -> Column:
-        count = F.size(pieces)
-        starts = F.when(count > 1, F.sequence(F.lit(2), count)).otherwise(F.array().cast("array<int>"))
-        none = F.lit(None).cast("string")
+    Only openers before a sign that may start or end their content are tried, and none after the first success.
+    """
+    may_follow = r'^\s*(?:[\[\]{"0-9tfn-]|$)' if opener == "[" else r'^\s*(?:["}]|$)'
+
+    def tried(upto: Column) -> Column:
+        # `at` is the place of the opener before the piece, 0 for the first piece.
+        none = F.struct(F.lit(None).cast("string").alias("found"), F.lit(0).alias("at"))
 
-        def rest(k: Column) -> Column:
-            return F.concat(F.lit(opener), F.array_join(F.slice(pieces, k, count - k + 1), opener))
+        def step(acc: Column, piece: Column) -> Column:
+            rest = _if_valid(F.substring(upto, acc["at"], F.length(upto)))
+            found = F.coalesce(acc["found"], F.when((acc["at"] > 0) & piece.rlike(may_follow), rest))
+            return F.struct(found.alias("found"), (acc["at"] + F.length(piece) + 1).alias("at"))
 
-        return F.aggregate(starts, none, lambda found, k: F.coalesce(found, _if_valid(rest(k))))
+        return F.aggregate(F.split(upto, "\\" + opener), none, step, lambda acc: acc["found"])
 
-    upto = F.substring(text, F.lit(1), last_index(text, closer))
-    return let(F.split(upto, "\\" + opener), candidates)
+    return let(F.substring(text, F.lit(1), last_index(text, closer)), tried)
 
 
 def extract_json_best(value: Column | str) -> Column:

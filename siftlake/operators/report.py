@@ -17,6 +17,7 @@ from siftlake.operators.findings import (
     where_parsed,
 )
 from siftlake.operators.rollup import latest_stage_by_name, severity_counts
+from siftlake.session import written_table
 
 REPORT_KEYS = [key for key, _, _ in dims.REPORT_STAGES]
 
@@ -238,8 +239,11 @@ def report_task_header(tasks: DataFrame) -> DataFrame:
 
 
 def report_tables(tasks: DataFrame, stages: DataFrame) -> dict[str, DataFrame]:
-    """The tables of a report: header, overview, stages, findings and detail fields."""
-    documents = report_documents(stages)
+    """The tables of a report: header, overview, stages, findings and detail fields.
+
+    The parsed documents are written once, as four of the tables are made from them.
+    """
+    documents = written_table(report_documents(stages), "report-documents")
     return {
         "tasks": report_task_header(tasks),
         "overview": report_overview(tasks, documents),
