@@ -63,7 +63,7 @@ b as (
   from d left join rep using (doc_id) left join gone using (doc_id)),
 v as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed, n_words - n_removed_words rest from b)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_lines,
-  n_removed_words, not base_failed and not (n_removed_words > 0 and (rest < 20 or rest < n_words * 0.2)) kept
+  n_removed_words, not base_failed and not (n_removed_words > 0 and ((rest < 20 and rest < n_removed_words) or rest < n_words * 0.2)) kept
 from v
 """
 

@@ -49,7 +49,7 @@ def quality(rows, min_docs=20, share=0.001, most=30):
         ]
         lost = sum(len(words(x)) for x in gone)
         failed = n[0] < 20 or 100 * n[4] > 30 * n[0]
-        depleted = lost > 0 and (n[0] - lost < 20 or n[0] - lost < n[0] * 0.2)
+        depleted = lost > 0 and (n[0] - lost < min(20, lost) or n[0] - lost < n[0] * 0.2)
         clean = t if not gone else "\n".join(x for x in t.split("\n") if x not in set(gone))
         out.append((n, failed, len(gone), lost, not failed and not depleted, clean))
     return out
