@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from siftlake.session import configure, work_folder
+from siftlake.session import configure, written_table
 
 # An Arrow batch holds at most so many bytes and rows, so a task's memory does not follow the table.
 ARROW_CONF = {
@@ -31,18 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str, clustered: bool = False) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: its lineage ends here.
-
-    A lost executor loses nothing of it. The folder goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = work_folder(spark, f"llm-{name}")
-    df.write.option("compression", "zstd").parquet(path)
-    gateway = spark.sparkContext._jvm
-    target = gateway.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: its lineage ends here."""
+    return written_table(df, f"llm-{name}")
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

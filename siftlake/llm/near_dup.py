@@ -27,7 +27,7 @@ BLOCK = 256
 #: Pairs whose signatures agree in less than the limit minus this share are not verified: nearly five
 #: standard deviations of the estimate at the limit of 0.85 (0.0163 with 480 coordinates).
 MARGIN = 0.08
-WORDS_REMEMBERED = 500_000
+WORDS_REMEMBERED = 300_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -151,7 +151,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.where(F.lit(100) * F.col("_both") >= F.lit(percent) * union).select("a", "b").distinct()
 
 
-def _close_pairs(members: DataFrame, percent: int, hubs: bool) -> DataFrame:
+def _close_pairs(members: DataFrame, heads: DataFrame, percent: int, hubs: bool) -> DataFrame:
     """Pairs of different components in one bucket whose signatures and sizes may be similar enough.
 
     Members of a bucket are dealt to blocks of about BLOCK; every two blocks meet in one
@@ -163,7 +163,10 @@ def _close_pairs(members: DataFrame, percent: int, hubs: bool) -> DataFrame:
         F.count(F.lit(1)).alias("_m"), F.min("_comp").alias("_c0"), F.max("_comp").alias("_c1")
     )
     size = size.where("_c0 != _c1").select("_bucket", F.ceil(F.col("_m") / BLOCK).cast("int").alias("_blocks"))
-    rows = members.join(size, "_bucket")
+    # Both sides are tables, so that the join on a bucket of many members can be split.
+    rows = members.join(written(size, "near-sizes"), "_bucket").join(heads, "node")
+    # An id with several texts has several heads: each stands for its own buckets.
+    rows = rows.where(F.array_contains("_bands", F.col("_bucket")))
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     rows = rows.select(
@@ -283,13 +286,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             .join(known, F.col("node") == F.col("_n"), "left")
             .select("_bucket", "node", F.coalesce("label", "node").alias("_comp"))
         )
-        mixed = open_.groupBy("_bucket").agg(F.min("_comp").alias("_c0"), F.max("_comp").alias("_c1")).where("_c0 != _c1")
-        open_ = open_.join(mixed.select("_bucket"), "_bucket").join(
-            heads.select("node", "n_shingles", "_sig", "_bands"), "node"
-        )
-        # An id with several texts has several heads: each stands for its own buckets.
-        open_ = open_.where(F.array_contains("_bands", F.col("_bucket")))
-        pairs = _close_pairs(open_, percent, hubs).join(tested, ["a", "b"], "left_anti")
+        open_ = written(open_, "near-open")
+        pairs = _close_pairs(open_, heads.select("node", "n_shingles", "_sig", "_bands"), percent, hubs).join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "near-pairs")
         tested = tested.union(pairs)
         links = written(links.union(_verified(pairs, sets, percent)), "near-links")

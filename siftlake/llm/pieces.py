@@ -19,7 +19,7 @@ from siftlake.llm.common import arrow_map, without
 
 BLANK = "▁"
 #: Segments that a worker remembers in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Up to this length a segment's pairs are kept as a plain list, beyond it as a heap.
 PLAIN = 40
 OUT = ["ids", "decoded", "as_library"]
