@@ -60,6 +60,23 @@ def test_quality_rules_empty_and_bare(spark):
     assert line_quality.quality_rules(bare, with_text=False).first().base_failed
 
 
+def test_quality_long_and_very_common_lines(spark):
+    def rows(n_words, host):
+        line = " ".join(f"notice{k}" for k in range(n_words))
+        return [(i, f"{line}\n" + " ".join(f"{host}x{i}y{k}" for k in range(60)), host) for i in range(25)]
+
+    schema = "doc_id long, text string, source string"
+    for n_words, gone in ((31, 1), (49, 1), (50, 0)):  # from 50 words on the line dedup takes a line alone
+        df = spark.createDataFrame(rows(n_words, "a"), schema)
+        assert {r.n_removed_lines for r in line_quality.quality_rules(df).collect()} == {gone}
+        left = line_runs.dedup_lines(df).collect()
+        assert sum(r.n_removed_lines for r in left) == (0 if gone else 24)
+    # In a large host the share alone would ask for more texts than any bound.
+    df = spark.createDataFrame(rows(9, "a"), schema)
+    judged = line_quality.quality_rules(df, share=1.0, max_docs=24)
+    assert {r.n_removed_lines for r in judged.collect()} == {1}
+
+
 def test_quality_plan_is_native(spark):
     plan = QUERIES["op6_line_quality"](spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
