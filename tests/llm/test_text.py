@@ -163,6 +163,28 @@ def test_secret_layers(wrap):
         assert kind == 0 and text[:start].startswith("pré é ") and end <= len(text) - len(" post")
 
 
+B64 = base64.b64encode(PLAIN.encode()).decode()
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        *(base64.b64encode(f"{sign}{PLAIN}".encode()).decode() for sign in "\ufeff\xa0\u3000\xad\u200b\f\x1b\0"),
+        base64.b64encode(b"caf\xe9 \xff" + PLAIN.encode()).decode(),
+        *(base64.b64encode(PLAIN.encode(kind)).decode() for kind in ("utf-16", "utf-16-le", "utf-16-be")),
+        base64.b64encode(b"\x01" + PLAIN.encode("utf-16-le")).decode(),
+        f"https://h.example/api/v1/{B64}",
+        *(f"https://h.example/{'a' * k}/{base64.b64encode(B64.encode()).decode()}/x" for k in range(4)),
+        f"https://h.example/api/v1/{base64.b64encode(gzip.compress(PLAIN.encode())).decode()}",
+        "\n".join("    " + B64[k : k + 10] for k in range(0, len(B64), 10)),
+        "\r\n".join("\t" + B64[k : k + 7] for k in range(0, len(B64), 7)),
+    ],
+)
+def test_secret_base64_of_any_bytes_and_place(text):
+    base, spans, _, _ = secret_layers.scan(f"pre: {text}\n. post")
+    assert not base and {s[1] for s in spans} >= {0}
+
+
 def test_secret_spans_are_exact():
     text = "a pass%77ord=%22abc%64efg%22 b"
     _, spans, _, _ = secret_layers.scan(text)
