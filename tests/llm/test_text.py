@@ -12,6 +12,7 @@ import zlib
 
 import pytest
 import sentencepiece
+import zstandard
 
 from siftlake.llm import decontam, html_text, pieces, secret_layers, token_count
 from tests.llm import brute
@@ -185,6 +186,30 @@ def test_secret_base64_of_any_bytes_and_place(text):
     assert not base and {s[1] for s in spans} >= {0}
 
 
+def joined(pack):
+    return pack(b"first member") + pack(b"\n" + PLAIN.encode())
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, zlib.compress, zstandard.compress])
+def test_secret_later_members(pack):
+    for layer in (base64.b64encode(joined(pack)).decode(), urllib.parse.quote(joined(pack)), urllib.parse.quote_plus(joined(pack))):
+        _, spans, _, refused = secret_layers.scan(f"pre: {layer} post")
+        assert {s[1] for s in spans} == {0} and not refused
+
+
+def test_secret_long_lines_and_wrapped_runs(monkeypatch):
+    monkeypatch.setattr(secret_layers, "PIECE", 1 << 12)
+    monkeypatch.setattr(secret_layers, "LONGEST", 1 << 16)
+    rng = random.Random(9)
+    line = "".join(rng.choice("ghijklmn_") for _ in range(200_000))
+    tail = PLAIN.replace("=", " " * 9000 + "=").replace("x ", "x.")
+    _, spans, _, refused = secret_layers.scan(base64.b64encode(gzip.compress(f"{line}.{tail}".encode())).decode())
+    assert {s[1] for s in spans} == {0} and refused  # a part of the line is counted, what follows is found
+    inner = base64.encodebytes(gzip.compress(rng.randbytes(20_000) + b"\n" + PLAIN.encode())).decode()
+    _, spans, _, refused = secret_layers.scan(base64.b64encode(gzip.compress(inner.encode())).decode())
+    assert {s[1] for s in spans} == {0} and not refused
+
+
 def test_secret_spans_are_exact():
     text = "a pass%77ord=%22abc%64efg%22 b"
     _, spans, _, _ = secret_layers.scan(text)
