@@ -85,6 +85,37 @@ def propagated(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> Data
     return scores.select("host", "score")
 
 
+def standing(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(host, standing): distrust on a scale that no number of links to a host or hosts of a farm shrinks.
+
+    A host has its seed (host, seed), or 0.85 of the mean standing of the hosts its links (src, dst, n) go to where
+    that is more. Scores are rounded to 9 digits and only rise, each round by at most 0.85 of the round
+    before, so rounds end when no score moves.
+    """
+    scores = written(seeds.select("host", "seed", F.col("seed").alias("score")), "host-scores")
+    if links.isEmpty() or scores.where("score > 0").isEmpty():
+        return scores.select("host", F.col("score").alias("standing"))
+    total = links.groupBy("src").agg(F.sum("n").alias("all"))
+    edges = written(
+        links.join(total, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("part")), "host-links"
+    )
+    while True:
+        got = (
+            edges.join(scores.where("score > 0").select(F.col("host").alias("dst"), "score"), "dst")
+            .groupBy(F.col("src").alias("host"))
+            .agg(F.round(DAMPING * F.sum(F.col("part") * F.col("score")), DIGITS).alias("got"))
+        )
+        moved = written(
+            scores.withColumnRenamed("score", "old")
+            .join(got, "host", "left")
+            .select("host", "seed", "old", F.greatest("old", "seed", F.coalesce("got", F.lit(0.0))).alias("score")),
+            "host-scores",
+        )
+        scores = moved.select("host", "seed", "score")
+        if moved.where("score != old").isEmpty():
+            return scores.select("host", F.col("score").alias("standing"))
+
+
 def filter_pages(
     pages: DataFrame, rules: list[tuple[str, str]] | None = None, block_at: float = 0.5, rounds: int = ROUNDS
 ) -> DataFrame:
@@ -92,7 +123,8 @@ def filter_pages(
     `html` is left out.
 
     A page takes the verdict of the longest rule that fits. Other pages take the verdict of their host: `block` where
-    distrust is above trust and at least `block_at`, else `allow`. Trust starts as the share of a host's
+    distrust is above trust and at least `block_at`, or where the host's standing (see `standing`) is above its
+    trust and its share of allowed pages and at least `block_at`, else `allow`. Trust starts as the share of a host's
     pages that rules allow and follows links; distrust starts as the share they block and follows links
     backwards, to the hosts that link to it. Links are the absolute ones in the html.
 
@@ -121,10 +153,19 @@ def filter_pages(
     trust = propagated(links, seed("allowed"), rounds).select(F.col("host").alias("_th"), F.col("score").alias("trust"))
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = propagated(back, seed("blocked"), rounds).select("host", F.col("score").alias("distrust"))
-    ranked = trust.join(distrust, F.col("_th") == F.col("host")).select("_th", "trust", "distrust")
+    bad = standing(links, seed("blocked")).select(F.col("host").alias("_sh"), F.col("standing").alias("_standing"))
+    good = seed("allowed").select(F.col("host").alias("_gh"), F.col("seed").alias("_allowed"))
+    ranked = (
+        trust.join(distrust, F.col("_th") == F.col("host"))
+        .join(bad, F.col("_th") == F.col("_sh"))
+        .join(good, F.col("_th") == F.col("_gh"))
+        .select("_th", "trust", "distrust", "_standing", "_allowed")
+    )
     out = rows.drop("html").join(ranked, F.col("_host") == F.col("_th"), "left")
     by_score = F.when(
-        (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= block_at), F.lit("block")
+        ((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= block_at))
+        | ((F.col("_standing") > F.greatest("trust", "_allowed")) & (F.col("_standing") >= block_at)),
+        F.lit("block"),
     ).otherwise(F.lit("allow"))
     return out.select(
         *[F.col(f"`{c}`") for c in keep],

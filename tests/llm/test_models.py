@@ -170,3 +170,13 @@ def test_distrust_follows_links_back(spark):
     bare = host_rank.filter_pages(df.drop("html"))
     assert {r.page_id: r.verdict for r in bare.collect()} == {0: "allow", 1: "allow", 20: "allow", 10: "block", 11: "block", 12: "block"}
     assert host_rank.filter_pages(df.limit(0)).count() == 0
+
+
+def test_distrust_blocks_at_the_production_threshold(spark):
+    to = lambda *hosts: "".join(f"<a href='http://{h}/x'>x</a>" for h in hosts)
+    rows = [(i, f"http://farm{i}.org/", to("bad.net")) for i in range(9)]
+    rows += [(9, "http://far.org/", to("farm1.org", "farm2.org")), (10, "http://mixed.org/", to("bad.net", "good.org", "other.org"))]
+    rows += [(20 + i, "http://bad.net/es/", to("good.org")) for i in range(9)] + [(30, "http://bad.net/", None), (31, "http://good.org/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in host_rank.filter_pages(df).collect() if r.rule is None}
+    assert {k for k, v in got.items() if v == "block"} == {*range(9), 9, 30}
