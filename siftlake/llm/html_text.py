@@ -52,8 +52,8 @@ MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)",
     re.S,
 )
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
 # Thresholds of the rules: characters of a short and a long block, shares of stop words, share of
@@ -78,12 +78,22 @@ class Block:
 
 
 def _names_furniture(attributes: str) -> bool:
-    for m in NAMED.finditer(attributes):
-        named = re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "")
-        words = re.split(r"[^A-Za-z]+", named.lower())
-        if not FURNITURE_WORDS.isdisjoint(words):
+    """Whether class, id or role name furniture, or the element isn't shown: hidden, aria-hidden=true, display:none."""
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
+        if name in ("class", "id", "role"):
+            named = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
+            if not FURNITURE_WORDS.isdisjoint(re.split(r"[^A-Za-z]+", named.lower())):
+                return True
+        elif name == "hidden":
+            if value.strip().lower() != "until-found":
+                return True
+        elif name == "aria-hidden":
+            if value.strip().lower() == "true":
+                return True
+        elif name == "style" and NO_DISPLAY.search(value):
             return True
-    return bool(HIDDEN.search(attributes))
+    return False
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -171,18 +181,22 @@ def classify(blocks: list[Block]) -> None:
     """Pass one decides by stop words, length and links; pass two lets the ambiguous inherit.
 
     Kinds after pass one: good, bad, or short (ambiguous). Inside an article element a block that the
-    rules would reject for its words alone is ambiguous. An ambiguous block takes the label of
+    rules would reject for its words alone is ambiguous, and so is one with many links that has words outside
+    them. Outside, a block of `SHORT` characters or more with few stop words is ambiguous when it has no links. An ambiguous block takes the label of
     its nearest decided neighbours: of both where they agree, of the nearer one where they don't (good at
     equal distance). Neighbours are sought in the same article, or else among blocks outside
-    articles; an article without any decided block is good.
+    articles; an article without any decided block is good. Where a page has neither an article nor a
+    good block, ambiguous blocks of `SHORT` characters or more without links are good: it may be in another language.
     """
     for b in blocks:
         size = len(b.text)
         words = WORD.findall(b.text.lower())
         stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         links = b.linked / size
-        if b.furniture or links > LINKS or ("\xa9" in b.text and size < LONG):
+        if b.furniture or ("\xa9" in b.text and size < LONG):
             b.kind = "bad"
+        elif links > LINKS:
+            b.kind = "short" if b.article and links < 1 - LINKS else "bad"
         elif size < SHORT:
             b.kind = "bad" if links > 0 and not b.article else "short"
         elif stops >= STOPS_HIGH or (stops >= STOPS_LOW and size <= LONG):
@@ -190,7 +204,8 @@ def classify(blocks: list[Block]) -> None:
         elif stops >= STOPS_LOW:
             b.kind = "good"
         else:
-            b.kind = "short" if b.article else "bad"
+            b.kind = "short" if b.article or not b.linked else "bad"
+    plain = not any(b.article or b.kind == "good" for b in blocks)
     groups: dict[int, list[Block]] = {}
     for b in blocks:
         # Furniture inside an article decides nothing for the text around it.
@@ -217,6 +232,8 @@ def classify(blocks: list[Block]) -> None:
             else:
                 near = (i - at_left) - (at_right - i)
                 label = "good" if near == 0 else left if near < 0 else right
+            if plain and not group[i].linked and len(group[i].text) >= SHORT:
+                label = "good"
             labels.append((group[i], label))
         for b, label in labels:
             b.kind = label

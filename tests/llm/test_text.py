@@ -242,6 +242,29 @@ def test_page_text():
     assert html_text.main_text(PAGE % plain)[0] == f"Short head\n{prose.strip()}\nEnd."
 
 
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'class="overflow-hidden"', 'class="hidden-print"', 'aria-hidden="false"', "hidden=until-found", 'data-x="display:none"'])
+def test_page_shown_blocks_stay(attributes):
+    text = "It is the first of the paragraphs."
+    assert html_text.main_text(PAGE % f"<article {attributes}><p>{text}</p></article>")[0] == text
+    assert html_text.main_text(PAGE % f"<article><div {attributes}>{text}</div></article>")[0] == text
+
+
+@pytest.mark.parametrize("attributes", ["hidden", 'HIDDEN=""', "aria-hidden=true", 'style="color:red; Display : none"'])
+def test_page_hidden_blocks_go(attributes):
+    assert html_text.main_text(PAGE % f"<article><p>One of the blocks.</p><div {attributes}>It is not shown.</div></article>")[0] == "One of the blocks."
+
+
+def test_page_links_and_languages():
+    linked = "It is said in <a href=x>a long report of the year</a> as well."
+    body = f"<article><p>One of the blocks is this.</p><p>{linked}</p><ul><li><a href=y>Read all of the reports</a></li></ul></article>"
+    assert html_text.main_text(PAGE % body)[0] == "One of the blocks is this.\nIt is said in a long report of the year as well."
+    russian = "Это текст страницы, ради которого читатель пришёл сюда, и он достаточно длинный для правил этой проверки. " * 3
+    assert html_text.main_text(PAGE % f"<div><p>{russian}</p><p>{russian}</p></div>")[0] == f"{russian.strip()}\n{russian.strip()}"
+    prose = "This is the text that a reader of the page came for, and it is as long as it has to be for the rules of this test. " * 3
+    terse = "Contributors grant recipients worldwide, royalty-free patent licenses covering essential claims; downstream recipients automatically receive licenses."
+    assert html_text.main_text(PAGE % f"<div><p>{prose}</p><p>{terse}</p><p>{prose}</p></div>")[0].split("\n")[1] == terse
+
+
 @pytest.mark.parametrize("page", [None, "", "plain", "<", "<p", "<article><p>It is the end <b", "<script>x", "<!--", "</p></div>", "<a href='", "&#0;&#xD800;&bogus;"])
 def test_page_odd(page):
     text, n = html_text.main_text(page)
