@@ -169,8 +169,32 @@ select page_id, r.host, path, split_part(rule, ' ', 2) rule,
 from r join t{rounds} t on t.host = r.host join b{rounds} b on b.host = r.host
 """
 
+LEXICAL_SEARCH = rf"""
+with d as (
+  select row_number() over () id, doc_id,
+    regexp_extract_all({LOWER_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+whole as (select count(*)::bigint n_docs, sum(len(w))::bigint n_terms from d where len(w) > 0),
+q as (
+  select distinct item_id, unnest(regexp_extract_all({LOWER_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) term
+  from benchmark),
+tf as (select id, term, count(*)::bigint tf from (select id, unnest(w) term from d) group by id, term),
+weight as (
+  select term, floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1)::double))::bigint w
+  from tf, whole group by term),
+m as (select id, doc_id, 100 - 90 + ((90 * len(w)::bigint * n_docs) // n_terms) m from d, whole where len(w) > 0),
+score as (
+  select item_id, id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score
+  from q join tf using (term) join weight using (term) join m using (id) group by item_id, id),
+ranked as (
+  select item_id, doc_id, score,
+    row_number() over (partition by item_id order by score desc, doc_id nulls last)::int "rank"
+  from score join m using (id) where score > 0)
+select item_id, "rank", doc_id, score from ranked where "rank" <= 10
+"""
+
 
 ORACLE = {
+    "op13_lexical_search": LEXICAL_SEARCH,
     "op3_decontamination": DECONTAMINATION,
     "op6_line_quality": LINE_QUALITY,
     "op7_near_dup": NEAR_DUP,

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from siftlake.llm import (
     byte_cnn,
+    conversation_repair,
     decontam,
     host_rank,
     html_text,
+    lexical_search,
+    license_scan,
     line_quality,
     line_runs,
     near_dup,
@@ -122,3 +125,34 @@ def op10_host_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts for all pages."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return host_rank.filter_pages(pages).select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+@query
+def op11_repair_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, the cheapest edits that repair them, and what they become."""
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repair_report(convs, conversation_repair.damage(convs))
+
+
+@query
+def op12_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and template spans of all documents."""
+    found = license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+        F.size("spans").cast("long").alias("n_spans"),
+    )
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical_search.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
