@@ -7,6 +7,7 @@ import bz2
 import gzip
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -176,6 +177,9 @@ B64 = base64.b64encode(PLAIN.encode()).decode()
         base64.b64encode(b"\x01" + PLAIN.encode("utf-16-le")).decode(),
         f"https://h.example/api/v1/{B64}",
         *(f"https://h.example/{'a' * k}/{base64.b64encode(B64.encode()).decode()}/x" for k in range(4)),
+        *(f"{'x+y/z-' * 2}{'a' * k}+{B64}" for k in range(4)),
+        *(f"{'ab+cd' * 9}{'a' * k}+{base64.b64encode(B64.encode()).decode()}" for k in range(4)),
+        *("/".join(base64.b64encode((w + B64).encode()).decode().rstrip("=") for w in ("", " x", ";")) + "b" * k for k in range(3)),
         f"https://h.example/api/v1/{base64.b64encode(gzip.compress(PLAIN.encode())).decode()}",
         "\n".join("    " + B64[k : k + 10] for k in range(0, len(B64), 10)),
         "\r\n".join("\t" + B64[k : k + 7] for k in range(0, len(B64), 7)),
@@ -186,6 +190,14 @@ def test_secret_base64_of_any_bytes_and_place(text):
     assert not base and {s[1] for s in spans} >= {0}
 
 
+def test_secret_layers_take_linear_time():
+    part = base64.b64encode(base64.b64encode(b"nothing to be seen here, and so on, " * 2)).decode().rstrip("=")
+    text = "/".join([part] * 4000)
+    begin = time.time()
+    spans = secret_layers.scan(f"{text}/{base64.b64encode(B64.encode()).decode()}")[1]
+    assert {s[1] for s in spans} == {0} and time.time() - begin < 20
+
+
 def joined(pack):
     return pack(b"first member") + pack(b"\n" + PLAIN.encode())
 
@@ -216,6 +228,10 @@ def test_secret_spans_are_exact():
     assert [text[s:e] for s, _, e in sorted(spans)] == ["pass%77ord=%22abc%64efg"]
 
 
+def test_secrets_of_an_empty_table(spark):
+    assert secret_layers.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_secret_cycles_end():
     text = "%25" * 2000 + "41"
     assert secret_layers.scan(text)[2] < 2003
