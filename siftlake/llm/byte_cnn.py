@@ -9,10 +9,10 @@ from pyspark.sql import types as T
 
 from siftlake.llm.common import arrow_map, without
 
-WIDTH, STRIDE = 8, 2
+WIDTH = 8
 FILTERS, HIDDEN = 24, 16
 #: Places of the filters in one chunk, and from one chunk to the next: chunks overlap by an eighth.
-CHUNK, HOP = 128, 112
+CHUNK, HOP = 256, 224
 #: Bounds of the labelled sample that the network learns from: documents, and bytes of one.
 TRAIN_DOCS, TRAIN_BYTES = 4000, 65_536
 OUT = ["held_out", "score", "predicted"]
@@ -31,7 +31,7 @@ def _chunk_starts(places: int) -> np.ndarray:
 
 
 class Network:
-    """Filters over 8 bytes at every second byte; their maxima over each chunk; a hidden layer for each
+    """Filters over 8 bytes, at every byte; their maxima over each chunk; a hidden layer for each
     chunk; maxima and means of that over the document; one logistic unit.
 
     The share of a chunk that text fills goes into its hidden layer, as maxima over fewer places are lower.
@@ -55,9 +55,8 @@ class Network:
 
     def _pooled(self, data: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Maxima of the filters over each chunk of one text, and how full each chunk is."""
-        two = data[: len(data) // 2 * 2].reshape(-1, 2)
-        codes = two[:, 0].astype(np.int32) * 256 + two[:, 1]
-        places = len(codes) - WIDTH // 2 + 1
+        codes = data[:-1].astype(np.int32) * 256 + data[1:]
+        places = len(data) - WIDTH + 1
         starts = _chunk_starts(places)
         ends = np.minimum(starts + CHUNK, places)
         out = np.empty((len(starts), FILTERS), np.float32)
@@ -66,7 +65,7 @@ class Network:
             lo, hi = int(s[0]), int(e[-1])
             got = pairs[0].take(codes[lo:hi], axis=0)
             for j in range(1, WIDTH // 2):
-                got += pairs[j].take(codes[lo + j : hi + j], axis=0)
+                got += pairs[j].take(codes[lo + 2 * j : hi + 2 * j], axis=0)
             cuts = np.stack([s - lo, e - lo], axis=1).ravel()
             if cuts[-1] == len(got):
                 cuts = cuts[:-1]
@@ -120,19 +119,19 @@ class Network:
         self.__dict__.pop("_ready", None)
 
     def _gradients(self, data: list[np.ndarray], y: np.ndarray) -> dict[str, np.ndarray]:
-        span = (CHUNK - 1) * STRIDE + WIDTH
+        span = CHUNK - 1 + WIDTH
         windows, lengths, owner = [], [], []
         for n, text in enumerate(data):
-            places = (len(text) - WIDTH) // STRIDE + 1
+            places = len(text) - WIDTH + 1
             for s in _chunk_starts(places):
-                part = text[s * STRIDE : s * STRIDE + span]
+                part = text[s : s + span]
                 lengths.append(min(CHUNK, places - s))
                 windows.append(np.pad(part, (0, span - len(part))))
                 owner.append(n)
         bytes_, lengths, owner = np.array(windows), np.array(lengths), np.array(owner)
         got = np.zeros((len(bytes_), CHUNK, FILTERS), np.float32)
         for j in range(WIDTH):
-            got += self.filters[j].take(bytes_[:, j : j + CHUNK * STRIDE : STRIDE][:, :CHUNK], axis=0)
+            got += self.filters[j].take(bytes_[:, j : j + CHUNK], axis=0)
         got[np.arange(CHUNK)[None, :] >= lengths[:, None]] = -np.inf
         where = got.argmax(axis=1)
         pooled = np.take_along_axis(got, where[:, None], axis=1)[:, 0] + self.bias
@@ -156,7 +155,7 @@ class Network:
         chunk = np.arange(len(bytes_))[:, None]
         column = np.arange(FILTERS)[None, :]
         for j in range(WIDTH):
-            cell = bytes_[chunk, where * STRIDE + j].astype(np.int64) * FILTERS + column
+            cell = bytes_[chunk, where + j].astype(np.int64) * FILTERS + column
             out[j] = np.bincount(cell.ravel(), d_pool.ravel(), 256 * FILTERS).reshape(256, FILTERS)
         grads["filters"] = out
         return grads
