@@ -11,8 +11,6 @@ from siftlake.llm.common import without, written
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
 WINDOW = 8
-#: The least words of a run in the line dedup (`line_runs.dedup_lines`).
-RUN_WORDS = 50
 
 OUT = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -93,14 +91,14 @@ def narrow(docs: DataFrame) -> DataFrame:
     )
 
 
-def boilerplate(rows: DataFrame, min_docs: int, share: float, max_line_words: int, max_docs: int) -> DataFrame:
-    """(_host, _line) of lines of at most `max_line_words` words in more than `min_docs` different texts of a host and
-    more than `share` of them, or in more than `max_docs`.
+def boilerplate(rows: DataFrame, min_docs: int, share: float, max_docs: int) -> DataFrame:
+    """(_host, _line) of lines in more than `min_docs` different texts of a host and more than `share` of them, or in
+    more than `max_docs`.
 
     Copies of one text count once. The first grouping is by host, line and text, so no key is
     hot; the second adds up in each task before its shuffle.
     """
-    own = F.transform(F.filter("_lines", lambda x: x["w"] <= max_line_words), lambda x: x["h"])
+    own = F.transform("_lines", lambda x: x["h"])
     lines = rows.select("_host", "_content", F.explode(F.array_distinct(own)).alias("_line"))
     per_line = (
         lines.distinct()
@@ -119,7 +117,6 @@ def quality_rules(
     max_repeat_percent: int = 30,
     min_docs: int = 20,
     share: float = 0.001,
-    max_line_words: int = RUN_WORDS - 1,
     keep_share: float = 0.2,
     with_text: bool = True,
     max_docs: int = 1000,
@@ -127,9 +124,9 @@ def quality_rules(
     """Base counts of every text, lines removed by their frequency in a host, and the verdict.
 
     A normalised line that more than `min_docs` different texts of its host (column `source`) contain, and
-    more than `share` of them or more than `max_docs`, is removed wherever the host has it. Longer lines than
-    `max_line_words` are left to the line dedup, whose runs they make alone and which keeps a first copy. A document is rejected when it fails the base rules, or when it is depleted: removal leaves fewer
-    than `min_words` words and fewer than it takes, or less than `keep_share` of its words.
+    more than `share` of them or more than `max_docs`, is removed wherever the host has it, whatever its length. A
+    document is rejected when it fails the base rules, or when it is depleted: removal leaves fewer than
+    `min_words` words and fewer than it takes, or less than `keep_share` of its words.
 
     Returns all columns of `docs` and `OUT`; input columns with those names give way. `clean_text` is
     the text less removed lines (`with_text=False` leaves it and the input text out).
@@ -139,7 +136,7 @@ def quality_rules(
     """
     docs = without(docs, OUT)
     rows = written(narrow(docs), "line-quality")
-    frequent = boilerplate(rows, min_docs, share, max_line_words, max_docs)
+    frequent = boilerplate(rows, min_docs, share, max_docs)
     # The lines of a document that are removed, as one small array for each document with any.
     flagged = (
         rows.select("doc_id", "_host", F.explode(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("_line"))

@@ -31,13 +31,13 @@ def normal_line(line):
     return " ".join(WORD.findall(re.sub(r"[0-9]", "0", line.lower())))
 
 
-def quality(rows, min_docs=20, share=0.001, most=30):
+def quality(rows, min_docs=20, share=0.001, max_docs=1000):
     """rows: (doc_id, text, source). Returns (base counts, base_failed, removed lines, words, kept, text)."""
     texts, every = defaultdict(set), defaultdict(set)
     for _, t, s in rows:
         every[s or ""].add(t or "")
         for line in (t or "").split("\n"):
-            if words(line) and len(words(line)) <= most:
+            if words(line):
                 texts[s or "", normal_line(line)].add(t or "")
     out = []
     for _, t, s in rows:
@@ -45,7 +45,7 @@ def quality(rows, min_docs=20, share=0.001, most=30):
         gone = [
             x
             for x in (t or "").split("\n")
-            if words(x) and (c := len(texts.get((s or "", normal_line(x)), ()))) > min_docs and c > len(every[s or ""]) * share
+            if words(x) and (c := len(texts.get((s or "", normal_line(x)), ()))) > min_docs and c > min(len(every[s or ""]) * share, max_docs)
         ]
         lost = sum(len(words(x)) for x in gone)
         failed = n[0] < 20 or 100 * n[4] > 30 * n[0]

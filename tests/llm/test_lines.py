@@ -27,6 +27,9 @@ def odd_rows():
     rows += [(50, "subscribe now 4!\n" + prose(6), "a"), (51, "subscribe now 4!\n" * 4 + prose(30), "a")]
     rows.append((52, "".join(f"subscribe now {i}!\n" for i in range(6)) + prose(10), "a"))
     rows += [(60 + i, "a copied line\n" + "copy " * 40, "c") for i in range(40)]  # one text: counts once
+    for n in (31, 45, 49, 50, 55, 300):  # notices of any length
+        notice = " ".join(f"n{n}x{k}" for k in range(n))
+        rows += [(1000 * n + i, f"{notice}\n" + " ".join(f"z{i}y{k}" for k in range(60)), "e") for i in range(21 + n % 2)]
     rows.append((120, ("again and again it says the very same thing " * 9), "d"))
     rows.append((121, "x " * 5000 + "\n" + prose(6000), "d"))
     rows += [(122, "tie\x0bté ß x # *\r\n" + prose(30), "d")] * 2
@@ -66,11 +69,9 @@ def test_quality_long_and_very_common_lines(spark):
         return [(i, f"{line}\n" + " ".join(f"{host}x{i}y{k}" for k in range(60)), host) for i in range(25)]
 
     schema = "doc_id long, text string, source string"
-    for n_words, gone in ((31, 1), (49, 1), (50, 0)):  # from 50 words on the line dedup takes a line alone
+    for n_words in (31, 49, 50, 55, 4000):
         df = spark.createDataFrame(rows(n_words, "a"), schema)
-        assert {r.n_removed_lines for r in line_quality.quality_rules(df).collect()} == {gone}
-        left = line_runs.dedup_lines(df).collect()
-        assert sum(r.n_removed_lines for r in left) == (0 if gone else 24)
+        assert {r.n_removed_lines for r in line_quality.quality_rules(df).collect()} == {1}
     # In a large host the share alone would ask for more texts than any bound.
     df = spark.createDataFrame(rows(9, "a"), schema)
     judged = line_quality.quality_rules(df, share=1.0, max_docs=24)
