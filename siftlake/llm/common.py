@@ -36,6 +36,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return written_table(df, f"llm-{name}")
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the folder of a written table that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        context = df.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """`df` less the columns that an operator is about to add, whatever their case."""
     taken = {n.lower() for n in names}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import without, written
+from siftlake.llm.common import forget, without, written
 
 # The rules of the query, as (verdict, host and path).
 RULES = [
@@ -18,7 +20,11 @@ RULES = [
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 OUT = ["host", "path", "rule", "verdict", "trust", "distrust"]
-DAMPING, ROUNDS, DIGITS = 0.85, 20, 9
+DAMPING, DIGITS, BLOCK_AT = 0.85, 9, 0.5
+#: What is still on its way after the last round, as a share of all that the seeds give.
+TOLERANCE = 1e-6
+#: The rounds after which that holds for any links: each passes on at most 0.85 of the one before.
+ROUNDS = math.ceil(math.log(TOLERANCE) / math.log(DAMPING))
 
 
 def host_of(url: Column) -> Column:
@@ -50,83 +56,54 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagated(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(host, score): personalised PageRank from `seeds` (host, seed) along `links` (src, dst, n).
+def propagated(links: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(host, trust, distrust): personalised PageRank from the seeds (host, good, bad), trust along `links`
+    (src, dst, n) and distrust against them.
 
-    A host passes 0.85 of its score on, by numbers of links, and each host gets 0.15 of its seed. A host without links
-    keeps what it has. Scores are rounded to 9 digits in each round, so the order of sums doesn't
-    show; rounds end when no score moves. Sums are added up before their shuffle.
+    A host keeps 0.15 of its seed and of what it gets, and passes 0.85 on by numbers of links; what a host without
+    links would pass on is gone. Both scores are summed as a series: each round passes on what the one before
+    brought. It ends when nothing is on its way, or after the `ROUNDS` that leave at most `TOLERANCE` of it, a bound
+    that holds for any links. Sums are added up before their shuffle; tables of finished rounds are dropped.
     """
-    total = links.groupBy("src").agg(F.sum("n").alias("all"))
-    edges = written(
-        links.join(total, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("part")), "host-links"
-    )
-    loose = seeds.join(total.select(F.col("src").alias("host")), "host", "left_anti").select(
-        F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("part")
-    )
-    scores = written(seeds.select("host", "seed", F.col("seed").alias("score")), "host-scores")
-    if edges.isEmpty():  # nothing is passed on
-        return scores.select("host", "score")
-    edges = written(edges.union(loose), "host-links")
-    for _ in range(rounds):
-        got = (
-            edges.join(scores.select(F.col("host").alias("src"), "score"), "src")
-            .groupBy(F.col("dst").alias("host"))
-            .agg(F.sum(F.col("part") * F.col("score")).alias("got"))
-        )
-        score = F.round((1 - DAMPING) * F.col("seed") + DAMPING * F.coalesce("got", F.lit(0.0)), DIGITS)
-        moved = written(
-            scores.withColumnRenamed("score", "old").join(got, "host", "left").select("host", "seed", "old", score.alias("score")),
-            "host-scores",
-        )
-        scores = moved.select("host", "seed", "score")
-        if moved.where("score != old").isEmpty():
-            break
-    return scores.select("host", "score")
-
-
-def standing(links: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(host, standing): distrust on a scale that no number of links to a host or hosts of a farm shrinks.
-
-    A host has its seed (host, seed), or 0.85 of the mean standing of the hosts its links (src, dst, n) go to where
-    that is more. Scores are rounded to 9 digits and only rise, each round by at most 0.85 of the round
-    before, so rounds end when no score moves.
-    """
-    scores = written(seeds.select("host", "seed", F.col("seed").alias("score")), "host-scores")
-    if links.isEmpty() or scores.where("score > 0").isEmpty():
-        return scores.select("host", F.col("score").alias("standing"))
-    total = links.groupBy("src").agg(F.sum("n").alias("all"))
-    edges = written(
-        links.join(total, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("part")), "host-links"
-    )
-    while True:
-        got = (
-            edges.join(scores.where("score > 0").select(F.col("host").alias("dst"), "score"), "dst")
-            .groupBy(F.col("src").alias("host"))
-            .agg(F.round(DAMPING * F.sum(F.col("part") * F.col("score")), DIGITS).alias("got"))
-        )
-        moved = written(
-            scores.withColumnRenamed("score", "old")
-            .join(got, "host", "left")
-            .select("host", "seed", "old", F.greatest("old", "seed", F.coalesce("got", F.lit(0.0))).alias("score")),
-            "host-scores",
-        )
-        scores = moved.select("host", "seed", "score")
-        if moved.where("score != old").isEmpty():
-            return scores.select("host", F.col("score").alias("standing"))
+    total = lambda c: links.groupBy(c).agg(F.sum("n").alias("all"))
+    part = (F.col("n") / F.col("all")).alias("part")
+    forth = links.join(total("src"), "src").select(F.lit("trust").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), part)
+    back = links.join(total("dst"), "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), part)
+    edges = written(forth.union(back), "host-links")
+    first = F.lit(1 - DAMPING) * F.col("seed")
+    state = seeds.select("host", F.expr("stack(2, 'trust', good, 'distrust', bad) as (kind, seed)"))
+    state = written(state.select("kind", "host", first.alias("score"), first.alias("term")), "host-scores")
+    if not edges.isEmpty():
+        for _ in range(ROUNDS):
+            moving = state.where("term > 0").select("kind", F.col("host").alias("a"), "term")
+            if moving.isEmpty():
+                break
+            got = (
+                edges.join(moving, ["kind", "a"])
+                .groupBy("kind", F.col("b").alias("host"))
+                .agg((F.lit(DAMPING) * F.sum(F.col("part") * F.col("term"))).alias("got"))
+            )
+            new = F.coalesce("got", F.lit(0.0))
+            after = state.join(got, ["kind", "host"], "left").select("kind", "host", (F.col("score") + new).alias("score"), new.alias("term"))
+            after = written(after, "host-scores")
+            forget(state)
+            state = after
+    one = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("score"))).alias(kind)
+    return state.groupBy("host").agg(one("trust"), one("distrust"))
 
 
 def filter_pages(
-    pages: DataFrame, rules: list[tuple[str, str]] | None = None, block_at: float = 0.5, rounds: int = ROUNDS
+    pages: DataFrame, rules: list[tuple[str, str]] | None = None, block_at: float = BLOCK_AT
 ) -> DataFrame:
     """Adds `host`, `path`, `rule`, `verdict`, `trust` and `distrust`; input columns of these names give way, and
     `html` is left out.
 
-    A page takes the verdict of the longest rule that fits. Other pages take the verdict of their host: `block` where
-    distrust is above trust and at least `block_at`, or where the host's standing (see `standing`) is above its
-    trust and its share of allowed pages and at least `block_at`, else `allow`. Trust starts as the share of a host's
-    pages that rules allow and follows links; distrust starts as the share they block and follows links
-    backwards, to the hosts that link to it. Links are the absolute ones in the html.
+    A page takes the verdict of the longest rule that fits. Other pages take the verdict of their host. Trust starts as
+    the share of a host's pages that rules allow and follows links; distrust starts as the share they block and follows
+    links backwards, to the hosts that link to it. Neither scale is the other's or another host's, as both shrink
+    with the number of links; so a host is judged by its share, distrust / (trust + distrust), where a seed counts as
+    itself. `block` where that is at least `block_at` and as much of the host's pages are blocked by rules or
+    of its links lead to hosts with such a share; else `allow`. Links are the absolute ones in the html.
 
     A null url, or one without ://, has an empty host and path, and no links; null html has no links; rows
     that repeat count once each; an empty table gives an empty result.
@@ -136,43 +113,37 @@ def filter_pages(
     keep = [c for c in pages.columns if c != "html"]
     rows = pages.withColumn("_host", host_of(F.col("url"))).withColumn("_path", path_of(F.col("url")))
     rows = rows.withColumn("_rule", longest_rule(F.col("_host"), F.col("_path"), rules))
-    by_host = rows.groupBy("_host").agg(
-        F.count(F.lit(1)).alias("pages"),
-        F.count(F.when(F.col("_rule.verdict") == "allow", 1)).alias("allowed"),
-        F.count(F.when(F.col("_rule.verdict") == "block", 1)).alias("blocked"),
+    share = lambda verdict: F.count(F.when(F.col("_rule.verdict") == verdict, 1)) / F.count(F.lit(1))
+    seeds = rows.groupBy(F.col("_host").alias("host")).agg(share("allow").alias("good"), share("block").alias("bad"))
+    if "html" in pages.columns:  # hosts that are only linked to carry scores on
+        links = written(host_links(rows), "page-links")
+        others = links.select(F.col("dst").alias("host")).distinct().join(seeds, "host", "left_anti")
+        seeds = seeds.unionByName(others.selectExpr("host", "0d as good", "0d as bad"))
+    else:
+        links = seeds.selectExpr("host as src", "host as dst", "1L as n").limit(0)
+    seeds = written(seeds, "hosts")
+    for_it, against = F.greatest("trust", "good"), F.greatest("distrust", "bad")
+    ranked = seeds.join(propagated(links, seeds), "host").withColumn(
+        "share", F.when(against > 0, F.round(against / (for_it + against), 6)).otherwise(0.0)
     )
-    links = written(host_links(rows), "page-links") if "html" in pages.columns else None
-    hosts = by_host.withColumnRenamed("_host", "host")
-    if links is not None:  # hosts that are only linked to carry scores on
-        others = links.select(F.col("dst").alias("host")).distinct().join(hosts, "host", "left_anti")
-        hosts = hosts.unionByName(others.selectExpr("host", "1L as pages", "0L as allowed", "0L as blocked"))
-    hosts = written(hosts, "hosts")
-    seed = lambda name: hosts.select("host", F.round(F.col(name) / F.col("pages"), DIGITS).alias("seed"))
-    if links is None:
-        links = hosts.selectExpr("host as src", "host as dst", "1L as n").limit(0)
-    trust = propagated(links, seed("allowed"), rounds).select(F.col("host").alias("_th"), F.col("score").alias("trust"))
-    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagated(back, seed("blocked"), rounds).select("host", F.col("score").alias("distrust"))
-    bad = standing(links, seed("blocked")).select(F.col("host").alias("_sh"), F.col("standing").alias("_standing"))
-    good = seed("allowed").select(F.col("host").alias("_gh"), F.col("seed").alias("_allowed"))
-    ranked = (
-        trust.join(distrust, F.col("_th") == F.col("host"))
-        .join(bad, F.col("_th") == F.col("_sh"))
-        .join(good, F.col("_th") == F.col("_gh"))
-        .select("_th", "trust", "distrust", "_standing", "_allowed")
+    ranked = written(ranked, "host-shares")
+    far = ranked.select(F.col("host").alias("dst"), (F.col("share") >= block_at).alias("suspect"))
+    led = (
+        links.join(far, "dst")
+        .groupBy(F.col("src").alias("host"))
+        .agg((F.sum(F.when(F.col("suspect"), F.col("n")).otherwise(0)) / F.sum("n")).alias("led"))
     )
-    out = rows.drop("html").join(ranked, F.col("_host") == F.col("_th"), "left")
-    by_score = F.when(
-        ((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= block_at))
-        | ((F.col("_standing") > F.greatest("trust", "_allowed")) & (F.col("_standing") >= block_at)),
-        F.lit("block"),
-    ).otherwise(F.lit("allow"))
+    ranked = ranked.join(led, "host", "left").select(
+        F.col("host").alias("_h"), "trust", "distrust",
+        ((F.col("share") >= block_at) & (F.greatest("bad", F.coalesce("led", F.lit(0.0))) >= block_at)).alias("_bad"),
+    )
+    out = rows.drop("html").join(ranked, F.col("_host") == F.col("_h"), "left")
     return out.select(
         *[F.col(f"`{c}`") for c in keep],
         F.col("_host").alias("host"),
         F.col("_path").alias("path"),
         F.col("_rule.rule").alias("rule"),
-        F.coalesce("_rule.verdict", by_score).alias("verdict"),
-        "trust",
-        "distrust",
+        F.coalesce("_rule.verdict", F.when(F.col("_bad"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        F.round("trust", DIGITS).alias("trust"),
+        F.round("distrust", DIGITS).alias("distrust"),
     )

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from siftlake.llm import host_rank
-from siftlake.llm.host_rank import DAMPING, DIGITS, LINK, LOWER, RULES, UPPER
+from siftlake.llm.host_rank import BLOCK_AT, DAMPING, DIGITS, LINK, LOWER, ROUNDS, RULES, UPPER
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER_TEXT = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -50,9 +49,9 @@ line as (
     len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) n
   from (select doc_id, host, t, unnest(lines) x from d)),
 freq as (
-  select host, line from (select host, line, count(distinct t) c from line where n <= 30 group by host, line)
+  select host, line from (select host, line, count(distinct t) c from line group by host, line)
   join (select host, count(distinct t) texts from d group by host) using (host)
-  where c > 20 and c > texts * 0.001),
+  where c > 20 and c > least(texts * 0.001, 1000)),
 gone as (
   select doc_id, count(*) n_lines, sum(n) n_words from line join freq using (host, line) group by doc_id),
 b as (
@@ -122,30 +121,16 @@ from d left join removed using (doc_id) left join clean using (doc_id)
 """
 
 
-def _host_rank(rounds: int) -> str:
-    """Rules and both propagations, one step of each after another."""
+def _host_rank() -> str:
+    """Rules, and both propagations as series over the links."""
     cases = " ".join(
         f"when (host = '{h}' or suffix(host, '.{h}')) and prefix(path, '/{p}') then '{v} {r}'"
         for v, r in sorted(RULES, key=lambda x: -len(x[1]))
         for h, _, p in [r.partition("/")]
     )
     link = LINK.replace("'", "''")
-    steps = []
-    for name, src, dst, seed in (("t", "src", "dst", "allowed"), ("b", "dst", "src", "blocked")):
-        steps.append(
-            f"{name}e as materialized (select {src} src, {dst} dst, n / sum(n) over (partition by {src}) part from link "
-            f"union all select host, host, 1.0 from hosts where host not in (select {src} from link))"
-        )
-        steps.append(f"{name}0 as materialized (select host, round({seed} / pages, {DIGITS}) seed, "
-                     f"round({seed} / pages, {DIGITS}) score from hosts)")
-        for k in range(rounds):
-            steps.append(
-                f"{name}{k + 1} as materialized (select s.host, seed, round({1 - DAMPING} * seed + {DAMPING} * "
-                f"coalesce(got, 0), {DIGITS}) score from {name}0 s left join (select dst host, sum(part * score) got "
-                f"from {name}e join {name}{k} p on p.host = src group by dst) using (host))"
-            )
     return f"""
-with p as (
+with recursive p as (
   select page_id, coalesce(html, '') html,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) path
@@ -158,17 +143,37 @@ link as materialized (
 own as (
   select host, count(*) pages, count(*) filter (rule like 'allow %') allowed, count(*) filter (rule like 'block %') blocked
   from r group by host),
-hosts as materialized (
-  select * from own
+seed as materialized (
+  select host, allowed / pages good, blocked / pages bad from own
   union all
-  select distinct dst, 1, 0, 0 from link where dst not in (select host from own)),
-{", ".join(steps)}
+  select distinct dst, 0, 0 from link where dst not in (select host from own)),
+edge as materialized (
+  select 'trust' kind, src a, dst b, n / sum(n) over (partition by src) part from link
+  union all
+  select 'distrust', dst, src, n / sum(n) over (partition by dst) from link),
+walk as (
+  select 0 k, kind, host, {1 - DAMPING} * seed term
+  from (select 'trust' kind, host, good seed from seed union all select 'distrust', host, bad from seed) where seed > 0
+  union all
+  select k + 1, kind, b, {DAMPING} * sum(part * term) from walk join (select kind kind2, * exclude (kind) from edge)
+    on kind2 = kind and a = host where k < {ROUNDS} group by k, kind, b),
+score as (
+  select host, good, bad, coalesce(sum(term) filter (kind = 'trust'), 0) trust,
+    coalesce(sum(term) filter (kind = 'distrust'), 0) distrust
+  from seed left join walk using (host) group by host, good, bad),
+share as materialized (
+  select *, case when greatest(distrust, bad) > 0
+    then round(greatest(distrust, bad) / (greatest(distrust, bad) + greatest(trust, good)), 6) else 0 end share from score),
+led as (
+  select src host, sum(n) filter (share >= {BLOCK_AT}) / sum(n) led from link join share on host = dst group by src)
 select page_id, r.host, path, split_part(rule, ' ', 2) rule,
-  coalesce(split_part(rule, ' ', 1), case when b.score > t.score and b.score >= 0.5 then 'block' else 'allow' end) verdict,
-  t.score trust, b.score distrust
-from r join t{rounds} t on t.host = r.host join b{rounds} b on b.host = r.host
+  coalesce(split_part(rule, ' ', 1),
+    case when share >= {BLOCK_AT} and greatest(bad, coalesce(led, 0)) >= {BLOCK_AT} then 'block' else 'allow' end) verdict,
+  round(trust, {DIGITS}) trust, round(distrust, {DIGITS}) distrust
+from r join share using (host) left join led using (host)
 """
 
+
 LEXICAL_SEARCH = rf"""
 with d as (
   select row_number() over () id, doc_id,
@@ -199,5 +204,5 @@ ORACLE = {
     "op6_line_quality": LINE_QUALITY,
     "op7_near_dup": NEAR_DUP,
     "op9_line_runs": LINE_RUNS,
-    "op10_host_rank": _host_rank(host_rank.ROUNDS),
+    "op10_host_rank": _host_rank(),
 }

@@ -6,11 +6,14 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from siftlake.llm import byte_cnn, host_rank
 from siftlake.llm.common import table
+from siftlake.llm.oracle import ORACLE
 
 
 def test_gradients():
@@ -40,7 +43,7 @@ def test_gradients():
 
 
 def test_chunks_cover_every_place():
-    for places in (1, 7, 127, 128, 129, 240, 241, 1000, 5000):
+    for places in (1, 7, 255, 256, 257, 480, 481, 1000, 5000):
         starts = byte_cnn._chunk_starts(places)
         covered = {p for s in starts for p in range(s, min(s + byte_cnn.CHUNK, places))}
         assert covered == set(range(places)) and all(s < places for s in starts)
@@ -103,19 +106,43 @@ def brute_rule(host, path):
 
 
 def brute_rank(hosts, links, seed):
-    score = {h: round(seed[h], 9) for h in hosts}
-    start = dict(score)
+    """Fixed point of score = 0.15 seed + 0.85 of what links bring, by many rounds."""
     total = defaultdict(int)
     for (a, _), n in links.items():
         total[a] += n
-    for _ in range(host_rank.ROUNDS):
-        got = {h: 0.0 if total[h] else score[h] for h in hosts}
+    score = {h: 0.15 * seed[h] for h in hosts}
+    for _ in range(400):
+        got = dict.fromkeys(hosts, 0.0)
         for (a, b), n in links.items():
             got[b] += score[a] * n / total[a]
-        score = {h: round(0.15 * start[h] + 0.85 * got[h], 9) for h in hosts}
+        score = {h: 0.15 * seed[h] + 0.85 * got[h] for h in hosts}
     return score
 
 
+def brute_verdicts(hosts, links, good, bad, block_at=0.5):
+    trust = brute_rank(hosts, links, good)
+    distrust = brute_rank(hosts, {(b, a): n for (a, b), n in links.items()}, bad)
+    share = {}
+    for h in hosts:
+        against, for_it = max(distrust[h], bad[h]), max(trust[h], good[h])
+        share[h] = round(against / (against + for_it), 6) if against else 0.0
+    out = {}
+    for h in hosts:
+        own = [(b, n) for (a, b), n in links.items() if a == h]
+        led = sum(n for b, n in own if share[b] >= block_at) / max(1, sum(n for _, n in own))
+        out[h] = "block" if share[h] >= block_at and max(bad[h], led) >= block_at else "allow"
+    return trust, distrust, out
+
+
+def sql_rows(rows):
+    """The rows of the SQL twin, by page."""
+    pages = pd.DataFrame([r[:3] for r in rows], columns=["page_id", "url", "html"])
+    con = duckdb.connect()
+    con.register("pages", pages)
+    found = con.execute(ORACLE["op10_host_rank"]).fetchall()
+    return {r[0]: (*r[1:5], pytest.approx(r[5], abs=1e-8), pytest.approx(r[6], abs=1e-8)) for r in found}
+
+
 def test_filter_pages(spark):
     rng = random.Random(5)
     names = ["a.com", "b.example.com", "www.example.com", "c.net", "D.NET", "e.org", "f.org", "g.org", "com", "xcom", "h.org:80"]
@@ -147,9 +174,10 @@ def test_filter_pages(spark):
         allowed[host] += bool(rule) and rule[0] == "allow"
         blocked[host] += bool(rule) and rule[0] == "block"
     hosts = {*pages, *(b for _, b in links)}
-    trust = brute_rank(hosts, links, {h: allowed[h] / max(1, pages[h]) for h in hosts})
-    back = {(b, a): n for (a, b), n in links.items()}
-    distrust = brute_rank(hosts, back, {h: blocked[h] / max(1, pages[h]) for h in hosts})
+    trust, distrust, verdicts = brute_verdicts(
+        hosts, links, {h: allowed[h] / max(1, pages[h]) for h in hosts}, {h: blocked[h] / max(1, pages[h]) for h in hosts}
+    )
+    # Links in circles: all but a millionth of what the seeds give is passed on.
     for i, u, _ in rows:
         host, path = brute_host(u)
         rule = brute_rule(host, path)
@@ -157,15 +185,15 @@ def test_filter_pages(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule and rule[1])
         assert r.trust == pytest.approx(trust[host], abs=1e-6)
         assert r.distrust == pytest.approx(distrust[host], abs=1e-6)
-        verdict = rule[0] if rule else "block" if distrust[host] > trust[host] and distrust[host] >= 0.5 else "allow"
-        assert r.verdict == verdict
+        assert r.verdict == (rule[0] if rule else verdicts[host])
+    assert {i: (r.host, r.path, r.rule, r.verdict, r.trust, r.distrust) for i, r in got.items()} == sql_rows(rows)
 
 
 def test_distrust_follows_links_back(spark):
     rows = [(i, f"http://farm{i}.org/", "<a href='http://bad.net/x'>x</a>") for i in range(2)]
     rows += [(10 + i, "http://bad.net/es/", "<a href=http://good.org/>g</a>") for i in range(3)] + [(20, "http://good.org/", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r for r in host_rank.filter_pages(df, block_at=0.3).collect()}
+    got = {r.page_id: r for r in host_rank.filter_pages(df).collect()}
     assert got[0].verdict == got[1].verdict == "block" and got[20].verdict == "allow" and got[0].rule is None
     bare = host_rank.filter_pages(df.drop("html"))
     assert {r.page_id: r.verdict for r in bare.collect()} == {0: "allow", 1: "allow", 20: "allow", 10: "block", 11: "block", 12: "block"}
@@ -180,3 +208,23 @@ def test_distrust_blocks_at_the_production_threshold(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.verdict for r in host_rank.filter_pages(df).collect() if r.rule is None}
     assert {k for k, v in got.items() if v == "block"} == {*range(9), 9, 30}
+    # The twin says the same on links, and a farm of any size stays blocked.
+    assert {i: r[3] for i, r in sql_rows(rows).items() if r[2] is None} == got
+    ring = [(i, f"http://ring{i}.org/", to("bad.net", f"ring{(i + 1) % 40}.org")) for i in range(40)] + [(90, "http://bad.net/es/", None)]
+    small = spark.createDataFrame(ring, "page_id long, url string, html string")
+    assert {r.verdict for r in host_rank.filter_pages(small).collect()} == {"block"}
+
+
+def test_every_byte_counts():
+    network = byte_cnn.Network()
+    for text in (b"An odd text of some length, and no more than that", b"12345678", b"a" * 700 + b"bc"):
+        pairs = network._pairs()
+        pooled, _ = network._pooled(byte_cnn._padded(text), pairs)
+        # A plain forward pass: every filter at every byte, maxima over each chunk.
+        data = byte_cnn._padded(text)
+        at = np.array([sum(network.filters[j][data[p + j]] for j in range(byte_cnn.WIDTH)) for p in range(len(data) - 7)])
+        want = [at[s : s + byte_cnn.CHUNK].max(axis=0) for s in byte_cnn._chunk_starts(len(at))]
+        assert np.allclose(pooled, np.array(want) + network.bias, atol=1e-4)
+        for k in (0, len(text) - 1):  # some other byte there gives another maximum
+            others = (network._pooled(byte_cnn._padded(text[:k] + bytes([c]) + text[k + 1 :]), pairs)[0] for c in range(256))
+            assert any(not np.array_equal(o, pooled) for o in others)
