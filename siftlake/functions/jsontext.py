@@ -14,6 +14,8 @@ SENTINEL = "@@siftlake-end@@"
 OBJECT_ARRAY = "array<variant>"
 PAYLOAD = "map<string,variant>"
 FENCE = "```"
+# Spark holds no longer value in one variant.
+VARIANT_LIMIT_BYTES = 128 * 1024 * 1024
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -41,6 +43,21 @@ def _wrapped(text: Column) -> Column:
     return F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{SENTINEL}"]')))
 
 
+def over_limit(text: Column) -> Column:
+    """Whether a text with its wrapping may be too long for one variant."""
+    return F.octet_length(text) > VARIANT_LIMIT_BYTES - 64
+
+
+def _streamed(text: Column, fields: str) -> Column:
+    """`fields` of {"a": text, "z": sentinel}, read in one pass by the streaming parser.
+
+    A field that isn't asked for is checked and skipped, and every element of an array is a value of its own, so
+    texts beyond the variant limit can be read. `z` is there only when the text is exactly one JSON value.
+    """
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    return F.from_json(F.concat(F.lit('{"a":'), text, F.lit(f',"z":"{SENTINEL}"}}')), fields, strict)
+
+
 def _closed(doc: Column) -> Column:
     return F.coalesce(F.try_variant_get(doc, "$[1]", "string") == SENTINEL, F.lit(False))
 
@@ -54,8 +71,13 @@ def _could_be_json(text: Column) -> Column:
 
 def valid_json(value: Column | str) -> Column:
     """True when the whole text is exactly one JSON value."""
-    text = column(value)
-    return _closed(_wrapped(F.when(_could_be_json(text), text)))
+
+
+    def judged(text: Column) -> Column:
+        whole = F.coalesce(_streamed(text, "z string")["z"] == SENTINEL, F.lit(False))
+        return F.when(over_limit(text), whole).otherwise(_closed(_wrapped(text)))
+
+    return let(F.when(_could_be_json(column(value)), column(value)), judged)
 
 
 def is_object(value: Column) -> Column:
@@ -64,9 +86,15 @@ def is_object(value: Column) -> Column:
 
 def _top_array(text: Column) -> Column:
     """Elements of a text that is exactly one JSON array, else null."""
-    return let(
-        _wrapped(text), lambda d: F.when(_closed(d), F.try_variant_get(d, "$[0]", OBJECT_ARRAY))
-    )
+    short = let(_wrapped(text), lambda d: F.when(_closed(d), F.try_variant_get(d, "$[0]", OBJECT_ARRAY)))
+    long = let(_streamed(text, f"a {OBJECT_ARRAY}, z string"), lambda d: F.when(d["z"] == SENTINEL, d["a"]))
+    return F.when(over_limit(text), long).otherwise(short)
+
+
+def has_long_element(text: Column) -> Column:
+    """Whether a text over the limit is an array with one element that is."""
+    listed = F.when(over_limit(text) & text.startswith("["), _streamed(text, "a array<string>")["a"])
+    return F.coalesce(F.exists(listed, over_limit), F.lit(False))
 
 
 def decode_array(value: Column | str) -> Column:
@@ -127,25 +155,56 @@ def _first_valid(candidates: Column) -> Column:
     return F.aggregate(candidates, none, lambda found, c: F.coalesce(found, F.when(valid_json(c), c)))
 
 
-def _slices(text: Column, opener: str, closer: str) -> Column:
-    """Valid text from the leftmost possible opener to the last closer.
+# In reversed text: a quote that no backslash escapes.
+_QUOTE_BACKWARDS = r'"(?!(?:\\\\)*+\\(?!\\))'
+
 
-    Only openers before a sign that may start or end their content are tried, and none after the first success.
+def _matched_slice(text: Column, opener: str, closer: str) -> Column:
+    """From the opener that the last closer closes up to that closer, null where there is none.
+
+    Only this slice can be valid JSON up to the last closer: brackets of a valid value match outside its
+    strings, and walking back from its end tells strings from what is between them. One pass over the quotes and brackets
+    with a counter finds it, whatever the number of openers.
     """
-    may_follow = r'^\s*(?:[\[\]{"0-9tfn-]|$)' if opener == "[" else r'^\s*(?:["}]|$)'
+    none = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("found"))
+
+    def step(acc: Column, part: Column) -> Column:
+        # A part starts with its bracket, if it has one.
+        depth = (
+            F.when(part.startswith(closer), acc["depth"] + 1)
+            .when(part.startswith(opener), acc["depth"] - 1)
+            .otherwise(acc["depth"])
+        )
+        here = part.startswith(opener) & (acc["depth"] == 1) & (acc["found"] == 0)
+        found = F.when(here, acc["at"] + 1).otherwise(acc["found"])
+        return F.struct(depth.alias("depth"), (acc["at"] + F.length(part)).alias("at"), found.alias("found"))
+
+    def walk(upto: Column) -> Column:
+        pieces = F.split(F.reverse(upto), _QUOTE_BACKWARDS)
+        start = F.struct(none.alias("walk"), F.lit(False).alias("inside"))
+
+        def over(acc: Column, piece: Column) -> Column:
+            skipped = F.struct(
+                acc["walk"]["depth"].alias("depth"),
+                (acc["walk"]["at"] + F.length(piece)).alias("at"),
+                acc["walk"]["found"].alias("found"),
+            )
+            bare = ~(F.contains(piece, F.lit(opener)) | F.contains(piece, F.lit(closer)))
+            parts = F.split(piece, f"(?=[\\{opener}\\{closer}])")
+            walked = F.when(acc["inside"] | bare | (acc["walk"]["found"] > 0), skipped).otherwise(
+                F.aggregate(parts, acc["walk"], step)
+            )
 
-    def tried(upto: Column) -> Column:
-        # `at` is the place of the opener before the piece, 0 for the first piece.
-        none = F.struct(F.lit(None).cast("string").alias("found"), F.lit(0).alias("at"))
+            def behind_quote(w: Column) -> Column:
+                at = (w["at"] + 1).alias("at")
+                return F.struct(F.struct(w["depth"].alias("depth"), at, w["found"].alias("found")).alias("walk"), (~acc["inside"]).alias("inside"))
 
-        def step(acc: Column, piece: Column) -> Column:
-            rest = _if_valid(F.substring(upto, acc["at"], F.length(upto)))
-            found = F.coalesce(acc["found"], F.when((acc["at"] > 0) & piece.rlike(may_follow), rest))
-            return F.struct(found.alias("found"), (acc["at"] + F.length(piece) + 1).alias("at"))
+            return let(walked, behind_quote)
 
-        return F.aggregate(F.split(upto, "\\" + opener), none, step, lambda acc: acc["found"])
+        found = F.aggregate(pieces, start, over, lambda acc: acc["walk"]["found"])
+        return let(found, lambda n: F.when(n > 0, F.substring(upto, F.length(upto) - n + 1, n)))
 
-    return let(F.substring(text, F.lit(1), last_index(text, closer)), tried)
+    return let(F.substring(text, F.lit(1), last_index(text, closer)), walk)
 
 
 def extract_json_best(value: Column | str) -> Column:
@@ -158,8 +217,8 @@ def extract_json_best(value: Column | str) -> Column:
         return F.coalesce(
             _if_valid(text),
             _first_valid(F.reverse(blocks)),
-            _slices(text, "[", "]"),
-            _slices(text, "{", "}"),
+            _if_valid(_matched_slice(text, "[", "]")),
+            _if_valid(_matched_slice(text, "{", "}")),
             text,
         )
 

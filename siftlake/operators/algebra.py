@@ -147,32 +147,32 @@ def merge_maps(base: Column, overlay: Column) -> Column:
 def _groups(items: Column, sigs: Column) -> Column:
     """Elements of one document grouped by signature: array of (pos, sig, members), members in order.
 
-    Only signatures and places are sorted; a document without repeats is taken as it is.
+    Only signatures and places are sorted. Runs of equal signatures are marked by their first place and members taken
+    between two marks, so the work is that of the sort; a document without repeats is taken as it is.
     """
     single = F.transform(
         F.arrays_zip(items.alias("items"), sigs.alias("sigs")),
         lambda z, i: F.struct(i.alias("pos"), z["sigs"].alias("sig"), F.array(z["items"]).alias("members")),
     )
-    pairs = F.sort_array(F.transform(sigs, lambda s, i: F.struct(s.alias("sig"), i.alias("i"))))
-    none = F.array().cast("array<struct<sig:string,at:array<int>>>")
-
-    def add(groups: Column, pair: Column) -> Column:
-        last = F.get(groups, F.size(groups) - 1)
-        longer = F.struct(pair["sig"].alias("sig"), F.concat(last["at"], F.array(pair["i"])).alias("at"))
-        new = F.struct(pair["sig"].alias("sig"), F.array(pair["i"]).alias("at"))
-        same = last["sig"].eqNullSafe(pair["sig"]) & (F.size(groups) > 0)
-        return F.when(same, F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(longer))).otherwise(
-            F.concat(groups, F.array(new))
-        )
+    sorted_places = F.sort_array(F.transform(sigs, lambda s, i: F.struct(s.alias("sig"), i.alias("i"))))
 
-    several = F.transform(
-        F.aggregate(pairs, none, add),
-        lambda g: F.struct(
-            F.get(g["at"], F.lit(0)).alias("pos"),
-            g["sig"].alias("sig"),
-            F.transform(g["at"], lambda i: F.get(items, i)).alias("members"),
-        ),
-    )
+    def grouped(pairs: Column) -> Column:
+        def begins(p: Column, k: Column) -> Column:
+            return (k == 0) | ~p["sig"].eqNullSafe(F.get(pairs, k - 1)["sig"])
+
+        marked = F.transform(pairs, lambda p, k: F.when(begins(p, k), k))
+        return jsontext.let(F.array_compact(marked), lambda starts: members_between(pairs, starts))
+
+    def members_between(pairs: Column, starts: Column) -> Column:
+        def run(start: Column, g: Column) -> Column:
+            last = F.coalesce(F.get(starts, g + 1), F.size(pairs)) - 1
+            first = F.get(pairs, start)
+            members = F.transform(F.sequence(start, last), lambda k: F.get(items, F.get(pairs, k)["i"]))
+            return F.struct(first["i"].alias("pos"), first["sig"].alias("sig"), members.alias("members"))
+
+        return F.transform(starts, run)
+
+    several = jsontext.let(sorted_places, grouped)
     return F.when(F.size(F.array_distinct(sigs)) < F.size(sigs), several).otherwise(single)
 
 
@@ -398,13 +398,16 @@ def gap_check_summary(final: DataFrame, keys: list[str]) -> DataFrame:
 def run_answers(stages: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers with their stage's stored items, the recovered items and an error, if any.
 
-    `answers` has (stage_id, kind, content); stage `init` is the route inventory.
+    `answers` has (stage_id, kind, content); stage `init` is the route inventory. A first run replaces what is
+    stored, so its stored items are null.
     """
-    stored = parse_findings(stages.select("stage_id", F.col("name").alias("stage"), "result", "output_json"))
-    joined = answers.withColumn("kind", labels.norm_run_kind("kind")).join(
-        stored.select("stage_id", "stage", F.col("items").alias("stored_items")), "stage_id"
-    )
+    # Texts meet before they are parsed: nothing parsed is shuffled, and what no run looks at isn't parsed.
+    texts = stages.select("stage_id", F.col("name").alias("stage"), "result", "output_json")
+    joined = answers.withColumn("kind", labels.norm_run_kind("kind")).join(texts, "stage_id")
     first_run = F.col("kind") == "initial"
+    joined = parse_findings(
+        joined.withColumns({c: F.when(~first_run, F.col(c)) for c in ("result", "output_json")})
+    ).select(*answers.columns, "stage", F.col("items").alias("stored_items"))
     empty = F.array().cast(jsontext.OBJECT_ARRAY)
 
     def judged(found: Column) -> Column:

@@ -19,16 +19,12 @@ KNOWN_STAGES = [key for key, _ in dims.STAGES]
 # ---- parsing ----
 
 
-# Spark reads no variant from a longer text.
-VARIANT_LIMIT_BYTES = 128 * 1024 * 1024
-
-
 def parse_findings(docs: DataFrame) -> DataFrame:
     """Add state (array / raw / none / too_large), items (array<variant>) and raw_text.
 
     An empty array is structured. Text is raw when neither column holds an
-    array; none means there is no payload at all. A text beyond the limit that
-    holds no array as far as can be read is neither raw nor empty: it is too large.
+    array; none means there is no payload at all. Texts may be of any length that a row holds: beyond the variant limit
+    elements are read one by one. Only an array with a single element beyond that limit is `too_large`.
     """
     # One expression bound step by step: a filter on its state costs one parse, not one per use.
     def unless_blank(column: str, *empty: str) -> Column:
@@ -36,22 +32,24 @@ def parse_findings(docs: DataFrame) -> DataFrame:
             jsontext.trim_long(column), lambda t: F.when(~t.isin("", *empty), t)
         )
 
-    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("result", "output_json")]
-    over = F.greatest(*sizes) > VARIANT_LIMIT_BYTES - 64
+    sizes = [F.coalesce(jsontext.over_limit(F.col(c)), F.lit(False)) for c in ("result", "output_json")]
+    long = [jsontext.has_long_element(jsontext.trim_long(c)) for c in ("output_json", "result")]
+    over = F.when(sizes[0] | sizes[1], long[0] | long[1]).otherwise(False)
     raw = F.coalesce(unless_blank("result"), unless_blank("output_json", "{}", "null"))
 
     def described(items: Column) -> Column:
         def named(raw_text: Column) -> Column:
             state = (
                 F.when(items.isNotNull(), "array")
-                .when(over, "too_large")
-                .when(raw_text.isNotNull(), "raw")
+                .when(raw_text["over"], "too_large")
+                .when(raw_text["said"].isNotNull(), "raw")
                 .otherwise("none")
             )
-            text_left = F.when(~over, raw_text)
+            text_left = F.when(~raw_text["over"], raw_text["said"])
             return F.struct(state.alias("state"), items.alias("items"), text_left.alias("raw_text"))
 
-        return jsontext.let(F.when(items.isNull(), raw), named)
+        said = F.struct(F.when(items.isNull(), raw).alias("said"), (items.isNull() & over).alias("over"))
+        return jsontext.let(said, named)
 
     recovered = jsontext.decode_array(jsontext.extract_json_block("result"))
     parsed = jsontext.let(F.coalesce(jsontext.decode_array("output_json"), recovered), described)

@@ -414,11 +414,13 @@ def test_no_line_or_document_is_lost(spark, monkeypatch):
     assert got == {1: 300, 2: 2}
     plan = lines.read_range(asked, files)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("Exchange")  # lines are made after the last shuffle
-    monkeypatch.setattr(findings, "VARIANT_LIMIT_BYTES", 1000)
-    stages = stages_df(spark, ("t", "rce", "completed", "[" + "1" * 2000, ""), ("t", "auth", "completed", "{}", "prose"))
+    monkeypatch.setattr(jsontext, "VARIANT_LIMIT_BYTES", 1000)
+    stages = stages_df(spark, ("t", "rce", "completed", '[{"x":"' + "1" * 2000 + '"}]', ""), ("t", "auth", "completed", "{}", "prose"))
     assert {r.name: (r.state, r.raw_text) for r in findings.parse_findings(stages).collect()} == {
-        "rce": ("too_large", None), "auth": ("raw", "prose"),
+        "rce": ("array", None), "auth": ("raw", "prose"),
     }
+    long = stages.select("name", jsontext.has_long_element(F.col("output_json")).alias("long"))
+    assert {r.name: r.long for r in long.collect()} == {"rce": True, "auth": False}
     shown = {r.stage: (r.raw_only, r.zero_findings) for r in report.report_stages(report.report_documents(stages)).collect()}
     assert shown == {"rce": (False, False), "auth": (True, False)}
 
