@@ -27,7 +27,7 @@ from siftlake.plans.finding_queries import (
 from siftlake.plans.registry import query
 from siftlake.plans.views import STAGE_ROWS_SQL, TASK_ROWS_SQL, Views, cte, flat_findings_sql
 from siftlake.session import drop_at_end, work_folder
-from siftlake.sources import tables
+from siftlake.sources import results, tables
 
 BOTH = cte(r=STAGE_ROWS_SQL, t=TASK_ROWS_SQL)
 ROUTES_N = "case when shape = 1 then 0 else n end"
@@ -344,21 +344,37 @@ def ui_report_overview(v: Views):
 # ---- sinks: written to the shared folder and read back ----
 
 
+AGAIN = "stage in ('rce', 'auth')"
+
+
 @query(
     "write_stage_result",
-    f"""{STAGES}, f as (select stage, stage_id, count(*) as n from ({flat_findings_sql()}) where {ARRAY_SHAPES} group by all)
-    select stage, count(*) as documents, sum(n)::bigint as findings from f group by all""",
+    f"""{STAGES}, f as (select stage_id as task_id, stage, pos, coalesce(description, '') as d from ({flat_findings_sql()}) where {ARRAY_SHAPES}),
+      k as (select task_id, stage, {AGAIN} as again, count(*) as all_n, string_agg(d, '|' order by pos) as all_said,
+        count(*) filter (pos > 0) as few_n, coalesce(string_agg(d, '|' order by pos) filter (pos > 0), '') as few_said from f group by all)
+    select task_id, stage, case when again then 'completed' else 'running' end as status,
+      case when again then 'revalidate' else 'initial' end as run_kind, case when again then few_n else all_n end as findings,
+      case when again then few_said else all_said end as said, timestamp '2024-01-01 00:00:00' as created_at,
+      case when again then timestamp '2024-01-02 00:00:00' else timestamp '2024-01-01 00:00:00' end as updated_at from k""",
 )
 def write_stage_result(v: Views):
+    """All results are written, then those of two stages again with less; others stay."""
     found = findings.stage_findings(v.stages)
-    items = found.select("stage_id", "stage", "pos", F.to_json("item").alias("item"))
+    items = found.select(F.col("stage_id").alias("task_id"), "stage", "pos", F.to_json("item").alias("item"))
     path = work_folder(v.spark, "stage-results")
-    tables.write_stage_result(tables.stage_documents(items, ["stage_id", "stage"]), path)
     drop_at_end(v.spark, path)
-    back = v.spark.read.parquet(path).withColumn("items", jsontext.decode_array("output_json"))
-    return back.groupBy("stage").agg(
-        F.count("*").alias("documents"), F.sum(F.size("items")).cast("long").alias("findings")
-    )
+    at = lambda day: F.lit(f"2024-01-0{day} 00:00:00").cast("timestamp")
+    results.write_stage_result(tables.stage_documents(items, results.KEY), path, "running", at=at(1))
+    again = items.where(AGAIN)
+    fewer = tables.stage_documents(again.where("pos > 0"), results.KEY)
+    results.write_stage_result(fewer, path, "completed", "revalidate", at(2), scope=again)
+    results.compact_results(v.spark, path)
+    stored = results.stored_stages(v.spark, path).withColumn("items", jsontext.decode_array("output_json"))
+    said = F.array_join(F.transform("items", lambda x: jsontext.text_at(x, "description")), "|")
+    return stored.select(
+        "task_id", F.col("name").alias("stage"), "status", F.col("meta.last_run_kind").alias("run_kind"),
+        F.size("items").cast("long").alias("findings"), said.alias("said"), "created_at", "updated_at",
+    )
 
 
 @query(

@@ -135,7 +135,11 @@ def delete_tasks(tasks: DataFrame, stages: DataFrame, ids: DataFrame) -> tuple[D
 
 
 def read_transcript(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-lines message log; blank lines are skipped, a malformed line is an error."""
+    """JSON-lines message log; blank lines are skipped, a malformed line is an error, a missing log is empty."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(folder)
+    if not found:
+        return spark.createDataFrame([], schemas.MESSAGES)
     return spark.read.schema(schemas.MESSAGES).option("mode", "FAILFAST").json(path)
 
 
@@ -223,16 +227,6 @@ def whole_documents(parts: DataFrame, keys: list[str]) -> DataFrame:
     return whole.select(*keys, "n", F.concat(F.lit("["), joined, F.lit("]")).alias("output_json"))
 
 
-def write_stage_result(documents: DataFrame, path: str) -> None:
-    """Replace the results of the stages present in `documents`; other stages stay."""
-    (
-        documents.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("stage")
-        .parquet(path)
-    )
-
-
 def write_report_tables(report: dict[str, DataFrame], path: str) -> None:
     """The report tables as one parquet folder each."""
     for name, table in report.items():

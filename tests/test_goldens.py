@@ -14,8 +14,7 @@ from siftlake.functions import jsontext, labels, paths, text
 from siftlake.operators import algebra, findings, lines, report, rollup, scans, transcript
 from siftlake.operators.running import running
 from siftlake.session import work_folder
-from siftlake.sources import tables
-from siftlake.streaming import streams
+from siftlake.sources import results, tables
 
 T0 = dt.datetime(2024, 5, 1, 12, 0, 0)
 ROUTES = '[{"method":"GET","path":"/a"},{"method":"POST","path":"/b"}]'
@@ -376,8 +375,8 @@ def test_corpus_and_documents(spark, tmp_path):
                                    F.format_string('{"n":%d}', "id").alias("item"))
     parts = tables.stage_documents(items, ["task_id", "stage"], part_rows=10)
     path = work_folder(spark, "test-results")
-    tables.write_stage_result(parts, path)
-    back = spark.read.parquet(path).orderBy("part").collect()
+    results.write_stage_result(parts, path)
+    back = results.read_stage_results(spark, path).orderBy("part").collect()
     assert [r.n for r in back] == [10, 10, 5]
     assert [x["n"] for r in back for x in json.loads(r.output_json)] == list(range(25))
 
@@ -466,19 +465,3 @@ def test_actions_for_stages_that_have_not_run(spark):
     assert got["task-1", "init"].can_gap_check and not got["task-1", "init"].can_revalidate
     assert got["task-1", "rce"].can_revalidate and not got["task-1", "auth"].can_revalidate
     assert not got["task-2", "init"].can_run
-
-
-@pytest.mark.parametrize("files", [1, 3, 10])
-def test_memory_stream_equals_batch(spark, files, tmp_path):
-    rng = random.Random(files)
-    rows = [{"role": rng.choice(["user", "assistant"]), "content": "y" * rng.randint(0, 90), "calls": ["a"] * rng.randint(0, 1),
-             "kind": rng.choice(["normal", "normal", "compact_boundary"])} for _ in range(200)]
-    m = messages_df(spark, *rows).withColumn("session", F.when(F.col("seq") % 7 == 0, "small").otherwise("hot"))
-    source, path = str(tmp_path / "in"), str(tmp_path / "out")
-    m.repartition(files).write.json(source)
-    arrived = streams.stream_transcript(spark, source, files_per_trigger=1)
-    streams.stream_memory_delta(arrived, path, 3000, 30, restart=False).trigger(availableNow=True).start().awaitTermination()
-    got = {r.session: (r.growth_bytes, r.tool_calls, r.last_seq, r.fires) for r in streams.memory_rows(spark, path).collect()}
-    states = spark.createDataFrame([], schemas.STATES)
-    want = {r.session: (r.growth_bytes, r.tool_calls, int(r.last_id[1:]), r.fires) for r in transcript.memory_delta(m, states, 3000, 30).collect()}
-    assert got == want
