@@ -28,30 +28,42 @@ def _as_documents(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, less lines that are too frequent in their host."""
+    """Documents that pass the quality rules, less lines that are too frequent in their host.
+
+    Documents without text fail the rules; a null source is one host; an empty table stays empty, as in all stages.
+    """
     rows = line_quality.quality_rules(docs.withColumn("_before", F.col("text"))).where("kept")
     return _as_documents(rows, docs, "clean_text")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less later copies of repeated runs of lines; those that lose every word go."""
+    """Documents less later copies of repeated runs of lines; those that lose every word go.
+
+    A run counts from 50 words on. Documents without text lose nothing and stay.
+    """
     rows = line_runs.dedup_lines(docs.withColumn("_before", F.col("text")))
     emptied = (F.col("n_removed_lines") > 0) & ~F.col("clean_text").rlike(r"[^\x20\x09-\x0D]")
     return _as_documents(rows.where(~F.coalesce(emptied, F.lit(False))), docs, "clean_text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, linked from a similarity of 85 percent on, as `op7_near_dup` does.
+
+    Documents without words are in no group and stay; of rows with equal id and text one stays.
+    """
     return near_dup.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no more than a trace of the benchmark."""
+    """Documents that hold no more than a trace of the benchmark: under a twentieth of their words.
+
+    Documents without words stay; an empty benchmark removes nothing.
+    """
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the ids of their pieces and the text decoded from them."""
+    """Documents with the ids of their pieces and the text decoded from them; null reads as empty."""
     return pieces.encode_documents(docs)
 
 

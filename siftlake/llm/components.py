@@ -14,6 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round a node takes the smallest label among its neighbours' and then the label of that
     label, so long chains halve. Labels are added up per node before their shuffle, so a node with
     many links is no hot key, and joins that meet one are split at run time. Every round is a written table.
+    Nodes are not null; links of a node with itself and repeated ones count once or not; no links give no rows.
     """
     both = links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct()
     both = written(both, "links")

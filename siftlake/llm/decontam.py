@@ -1,21 +1,24 @@
-"""Benchmark decontamination: a bounded set of benchmark windows scanned over all documents."""
+"""Benchmark decontamination: a set of benchmark windows of counted size scanned over all documents."""
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftlake.llm.common import arrow_map, without
+from siftlake.llm.common import arrow_map, without, written
 
 # Words on UTF-8 bytes: every byte of a character beyond ASCII is 0x80 or more.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Words of benchmark text in one broadcast set; a larger benchmark is scanned in several sets.
+#: Words of benchmark text that are broadcast as one set; a larger benchmark is joined.
 SET_WORDS = 2_000_000
+#: Bits of the filter before that join: 2 MiB, whatever the benchmark.
+FILTER_BITS = 1 << 24
 
 OUT = ["n_words", "n_hit", "items", "contaminated", "clean_text"]
 
@@ -100,17 +103,71 @@ def _without_hits(text: bytes, hit: np.ndarray) -> str:
     return b"".join([*out, text[at:]]).decode()
 
 
-def _benchmark_sets(benchmark: DataFrame, set_words: int) -> list[list[tuple[str, bytes]]]:
-    """The items in sets of about `set_words` words: the size is counted before anything is sent."""
-    rows = benchmark.select(
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
         F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"),
     )
-    # A word and its separator take two bytes at least.
-    bound = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = int(bound // (2 * set_words)) + 1
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [[(r[0], bytes(r[1])) for r in rows.where(part == k).collect()] for k in range(n)]
+
+
+def _windows(items: DataFrame, window: int) -> DataFrame:
+    """(n, words, item): the distinct windows of items; words are joined by blanks."""
+
+    def make():
+        def apply(rows: dict[str, list]) -> dict[str, list]:
+            out = []
+            for text in rows["text"]:
+                w = words_of(text)
+                n = min(window, len(w))
+                out.append(sorted({b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}) if n else [])
+            return {"item": rows["item"], "n": [min(window, len(words_of(t))) for t in rows["text"]], "all": out}
+
+        return apply
+
+    found = arrow_map(items, "item string, n int, all array<binary>", make)
+    return found.select("n", F.explode("all").alias("words"), "item").distinct()
+
+
+def _joined_places(docs: DataFrame, windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_row, places) and (_row, items) of documents (_row, _bytes) whose windows are among `windows`.
+
+    Only windows that pass a filter of fixed size are joined; they join by their words, so nothing is left to verify.
+    """
+    spans = sorted(r["n"] for r in windows.select("n").distinct().collect())  # at most as many as a window has words
+    bit = F.pmod(F.crc32("words"), F.lit(FILTER_BITS))
+    cells = windows.withColumn("_bit", bit).select(
+        (F.col("_bit") / 32).cast("long").alias("cell"), F.expr("shiftleft(1L, cast(_bit % 32 as int))").alias("bits")
+    )
+    filled = np.zeros(FILTER_BITS // 32, np.uint32)
+    for row in cells.groupBy("cell").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
+        filled[row["cell"]] = row["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(filled)
+
+    def make():
+        cells = shared.value
+
+        def apply(rows: dict[str, list]) -> dict[str, list]:
+            out: dict[str, list] = {"_row": [], "at": [], "n": [], "words": []}
+            for number, text in zip(rows["_row"], rows["_bytes"]):
+                w = words_of(text)
+                for n in spans:
+                    for i in range(len(w) - n + 1):
+                        words = b" ".join(w[i : i + n])
+                        k = zlib.crc32(words) % FILTER_BITS
+                        if cells[k >> 5] >> (k & 31) & 1:
+                            out["_row"].append(number)
+                            out["at"].append(i)
+                            out["n"].append(n)
+                            out["words"].append(words)
+            return out
+
+        return apply
+
+    seen = arrow_map(docs, "_row long, at int, n int, words binary", make, rows=50)
+    hits = written(seen.join(windows, ["n", "words"]).select("_row", "at", "n", "item"), "decontam-hits")
+    places = hits.select("_row", "at", "n").distinct().groupBy("_row").agg(F.collect_list(F.struct("at", "n")).alias("_places"))
+    items = hits.select("_row", "item").distinct().groupBy("_row").agg(F.sort_array(F.collect_list("item")).alias("_items"))
+    return places, items
 
 
 def benchmark_hits(
@@ -121,8 +178,8 @@ def benchmark_hits(
     Adds `n_words`, `n_hit`, `items` (sorted ids of items with occurring windows), `contaminated`
     (a twentieth of the words or more are hit) and `clean_text` (the text less the hit spans). Input
     columns with these names give way. Windows of all lengths are found by rolling hashes
-    against a broadcast set and compared word by word. A benchmark beyond `set_words` is cut into
-    sets of that size; each is scanned on its own and the flags are joined, so memory stays bounded.
+    against a broadcast set and compared word by word. The benchmark's size is counted first: beyond `set_words` nothing of
+    it goes through the driver but a filter of fixed size, and windows that pass it are joined as rows.
 
     Null or empty texts have no words and no hits (a null text stays null); items without words
     have no window; equal items keep their own ids; a null item_id reads ''; empty tables give
@@ -131,27 +188,41 @@ def benchmark_hits(
     docs = without(docs, OUT)
     if docs.schema["text"].dataType.simpleString() != "string":
         docs = docs.withColumn("text", F.col("text").cast("string"))
-    sets = _benchmark_sets(benchmark, set_words)
+    items = _items(benchmark)
+    # A word and its separator take two bytes at least.
+    bound = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    fits = bound <= 2 * set_words
     own = [f for f in docs.schema.fields if with_text or f.name != "text"]
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(WindowSet(s, window)) for s in sets]
     names = [f.name for f in own]
+    if fits:
+        kept = WindowSet([(r[0], bytes(r[1])) for r in items.collect()], window)
+        shared = docs.sparkSession.sparkContext.broadcast(kept)
+    else:
+        docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-docs")
+        slim = docs.select("_row", F.col("text").cast("binary").alias("_bytes"))
+        for more in _joined_places(slim, written(_windows(items, window), "decontam-windows")):
+            docs = docs.join(more, "_row", "left")
 
     def make():
+        def found(rows: dict[str, list], words: list) -> tuple[list[np.ndarray], list[list[str]]]:
+            if fits:
+                flags, who = shared.value.scan(words)
+                return flags, [sorted(w) for w in who]
+            flags = [np.zeros(len(w), bool) for w in words]
+            for flag, places in zip(flags, rows["_places"]):
+                for p in places or ():
+                    flag[p["at"] : p["at"] + p["n"]] = True
+            return flags, [i or [] for i in rows["_items"]]
+
         def apply(rows: dict[str, list]) -> dict[str, list]:
             texts = rows["_bytes"]
             words = [words_of(t) for t in texts]
-            flags = [np.zeros(len(w), bool) for w in words]
-            items: list[set[str]] = [set() for _ in words]
-            for one in shared:  # sets in turn; with one set, the usual case, a single scan
-                more, who = one.value.scan(words)
-                flags = [a | b for a, b in zip(flags, more)]
-                items = [a | b for a, b in zip(items, who)]
+            flags, who = found(rows, words)
             hits = [int(f.sum()) for f in flags]
             out = {n: rows[n] for n in names}
             out["n_words"] = [len(w) for w in words]
             out["n_hit"] = hits
-            out["items"] = [sorted(i) for i in items]
+            out["items"] = who
             out["contaminated"] = [h > 0 and 20 * h >= len(w) for h, w in zip(hits, words)]
             if with_text:
                 out["clean_text"] = [
@@ -166,12 +237,16 @@ def benchmark_hits(
     for name, kind in zip(OUT, ["long", "long", T.ArrayType(T.StringType()), "boolean", "string"]):
         if with_text or name != "clean_text":
             schema = schema.add(name, kind)
-    source = docs.select(*[F.col(f"`{n}`") for n in names], F.col("text").cast("binary").alias("_bytes"))
+    joined = [] if fits else ["_places", "_items"]
+    source = docs.select(*[F.col(f"`{n}`") for n in names], *joined, F.col("text").cast("binary").alias("_bytes"))
     return arrow_map(source, schema, make)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **options) -> DataFrame:
-    """Remove contaminated documents (`remove="documents"`), or the hit spans of all (`"spans"`)."""
+    """Remove contaminated documents (`remove="documents"`), or the hit spans of all (`"spans"`).
+
+    Documents without text or words stay; empty tables give an empty result, an empty benchmark removes nothing.
+    """
     found = benchmark_hits(docs, benchmark, with_text=remove == "spans" or "text" in docs.columns, **options)
     if remove == "documents":
         return found.where(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])

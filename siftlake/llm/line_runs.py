@@ -106,7 +106,11 @@ def _windows(rows: DataFrame, doublings: int, min_words: int) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(doc_id, _content, removed_lines): the lines of each document to delete, by place from 0."""
+    """(doc_id, _content, removed_lines): the lines of each document to delete, by place from 0.
+
+    Null or empty texts have no lines with words and lose none; a null doc_id is one document's id; an empty table gives
+    no rows.
+    """
     lines = written(line_table(docs.select("doc_id", "text")), "run-lines")
     # Every line has a word, so no run needs more lines than words.
     rows, doublings = suffix_ranks(lines, min_words)

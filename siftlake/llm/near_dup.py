@@ -304,7 +304,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The documents less all but one of each component; rows that repeat id and text stay once."""
+    """The documents less all but one of each component; rows that repeat id and text stay once.
+
+    The bands are laid out for `percent` = 85, and links of lower similarity would be missed more often. Documents
+    without words are linked with nothing and stay; a null doc_id counts as one; an empty table gives an empty result.
+    """
     kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kid"), F.col("_content").alias("_kc"))
     text = F.coalesce(F.col("text"), F.lit(""))
     same = F.col("doc_id").eqNullSafe(F.col("_kid")) & (F.xxhash64(text) == F.col("_kc"))

@@ -287,7 +287,8 @@ def decode_documents(rows: DataFrame, path: str | None = None, ids: str = "ids")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
-    """n_tokens and the digests of ids and decoded text."""
+    """n_tokens and the digests of ids and decoded text; an empty table gives no rows, and a text without pieces
+    has the digests of its end id and of the empty string."""
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
