@@ -27,15 +27,18 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder (`spark.checkpoint.dir`).
 
-    Where that setting is absent, a folder inside the session's warehouse, which all executors
-    reach as well.
+    Where that setting is absent, a folder inside the session's warehouse. A warehouse on the driver's own disk serves
+    only sessions whose executors are there too; on a cluster it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if named:
         return named.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_siftlake"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and (warehouse.startswith("file:") or ":" not in warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse + "/_siftlake"
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
