@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -29,7 +30,7 @@ BLOCKS = frozenset(
 )
 DROPPED = frozenset(
     """
-    button canvas datalist embed iframe input math noframes noscript object script select style svg template
+    button canvas datalist embed iframe input noframes noscript object script select style svg template
     textarea title
     """.split()
 )
@@ -68,49 +69,61 @@ OUT = ["text", "n_chars", "n_blocks"]
 class Block:
     """Text between block borders, with what the rules look at."""
 
-    __slots__ = ("article", "furniture", "heading", "kind", "linked", "parts", "text")
+    __slots__ = ("article", "furniture", "heading", "kind", "linked", "parts", "suspect", "text")
 
-    def __init__(self, furniture: bool, article: int, heading: bool):
+    def __init__(self, furniture: bool, article: int, heading: bool, suspect: int):
         self.parts: list[str] = []
         self.linked = 0
-        self.furniture, self.article, self.heading = furniture, article, heading
+        self.furniture, self.article, self.heading, self.suspect = furniture, article, heading, suspect
         self.text, self.kind = "", ""
 
 
-def _names_furniture(attributes: str) -> bool:
-    """Whether class, id or role name furniture, or the element isn't shown: hidden, aria-hidden=true, display:none."""
+#: What attributes say of an element: nothing, furniture by a part of a name, furniture.
+PLAIN, SUSPECT, SURE = 0, 1, 2
+
+
+def _names_furniture(attributes: str) -> int:
+    """`SURE` where a whole name in class, id or role is made of furniture words, or the element isn't shown (hidden,
+    aria-hidden=true, display:none); `SUSPECT` where a name has such a word among others."""
+    out = PLAIN
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if name in ("class", "id", "role"):
-            named = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
-            if not FURNITURE_WORDS.isdisjoint(re.split(r"[^A-Za-z]+", named.lower())):
-                return True
+            for one in value.split():
+                words = {w for w in re.split(r"[^A-Za-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", one).lower()) if w}
+                if words and words <= FURNITURE_WORDS:
+                    return SURE
+                if not FURNITURE_WORDS.isdisjoint(words):
+                    out = SUSPECT
         elif name == "hidden":
             if value.strip().lower() != "until-found":
-                return True
+                return SURE
         elif name == "aria-hidden":
             if value.strip().lower() == "true":
-                return True
+                return SURE
         elif name == "style" and NO_DISPLAY.search(value):
-            return True
-    return False
+            return SURE
+    return out
 
 
-def blocks_of(page: str) -> list[Block]:
-    """Blocks with text, in page order."""
+def blocks_of(page: str) -> tuple[list[Block], list[int]]:
+    """Blocks with text, in page order, and for each suspect element (from 1) the next one around it (0: none)."""
     out: list[Block] = []
-    # Open elements: name, whether the element is furniture, number of its article (0: none).
-    stack: list[tuple[str, bool, int]] = []
+    # Open elements: name, whether the element is furniture, number of its article, innermost suspect (0: none).
+    stack: list[tuple[str, bool, int, int]] = []
+    opened: Counter = Counter()
+    endless: set[str] = set()
+    around = [0]
     links, articles, at = 0, 0, 0
-    block = Block(False, 0, False)
+    block = Block(False, 0, False, 0)
 
     def border() -> None:
         nonlocal block
         block.text = " ".join(html.unescape("".join(block.parts)).split())
         if block.text:
             out.append(block)
-        top = stack[-1] if stack else ("", False, 0)
-        block = Block(top[1], top[2], any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-2:]))
+        top = stack[-1] if stack else ("", False, 0, 0)
+        block = Block(top[1], top[2], heading=any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-2:]), suspect=top[3])
 
     def take(part: str) -> None:
         if part:
@@ -132,7 +145,9 @@ def blocks_of(page: str) -> list[Block]:
         name = name.lower()
         if not closing and name in DROPPED:
             if name not in VOID and not attributes.endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                end = None if name in endless else re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                if not end:  # nor will a later one end
+                    endless.add(name)
                 # An element that never ends takes the rest when its content is no markup.
                 at = end.end() if end else len(page) if name in ("script", "style", "textarea", "title") else at
             take(" ")
@@ -145,39 +160,48 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID:
             continue
         if closing:
-            open_ = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if open_ is not None:
-                links -= sum(s[0] == "a" for s in stack[open_:])
-                del stack[open_:]
+            if opened[name]:  # what is closed is looked at once
+                while True:
+                    gone = stack.pop()[0]
+                    opened[gone] -= 1
+                    links -= gone == "a"
+                    if gone == name:
+                        break
                 if name in BLOCKS:
                     border()
             continue
         if name == "p":  # paragraphs hold no blocks, so they need no end
-            if _names_furniture(attributes):
+            said = _names_furniture(attributes)
+            if said == SURE or (said and not block.article):
                 block.furniture = True
             continue
-        up = stack[-1] if stack else ("", False, 0)
-        furniture, article = up[1], up[2]
-        if name in ("article", "main") and not _names_furniture(attributes):
+        up = stack[-1] if stack else ("", False, 0, 0)
+        furniture, article, suspect = up[1:]
+        said = _names_furniture(attributes)
+        if name in ("article", "main") and said != SURE:
             if not article:  # an article inside an unclosed menu is an article still
                 articles += 1
                 furniture, article = False, articles
-        elif name in FURNITURE or (name == "header" and not article) or _names_furniture(attributes):
+        elif name in FURNITURE or (name == "header" and not article) or said == SURE:
             furniture = name not in ("html", "body") and True
+        elif said and not article and name not in ("html", "body"):
+            around.append(suspect)
+            suspect = len(around) - 1
         if name == "a":
             links += 1
-        stack.append((name, furniture, article))
+        stack.append((name, furniture, article, suspect))
+        opened[name] += 1
         if name in BLOCKS:
-            block.furniture, block.article = furniture, article
+            block.furniture, block.article, block.suspect = furniture, article, suspect
             block.heading |= name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        elif furniture and not up[1]:  # an inline advert is a block of its own
+        elif (furniture and not up[1]) or suspect != up[3]:  # an inline advert is a block of its own
             border()
-            block.furniture = True
+            block.furniture, block.suspect = furniture, suspect
     border()
-    return out
+    return out, around
 
 
-def classify(blocks: list[Block]) -> None:
+def classify(blocks: list[Block], around: list[int]) -> None:
     """Pass one decides by stop words, length and links; pass two lets the ambiguous inherit.
 
     Kinds after pass one: good, bad, or short (ambiguous). Inside an article element a block that the
@@ -187,13 +211,16 @@ def classify(blocks: list[Block]) -> None:
     equal distance). Neighbours are sought in the same article, or else among blocks outside
     articles; an article without any decided block is good. Where a page has neither an article nor a
     good block, ambiguous blocks of `SHORT` characters or more without links are good: it may be in another language.
+
+    A suspect element is furniture unless a block in it is good by itself, and never where it holds an article's blocks.
     """
+    cleared = {0}
     for b in blocks:
         size = len(b.text)
         words = WORD.findall(b.text.lower())
         stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         links = b.linked / size
-        if b.furniture or ("\xa9" in b.text and size < LONG):
+        if b.furniture or ("\xa9" in b.text and size < LONG and not b.article):
             b.kind = "bad"
         elif links > LINKS:
             b.kind = "short" if b.article and links < 1 - LINKS else "bad"
@@ -205,6 +232,13 @@ def classify(blocks: list[Block]) -> None:
             b.kind = "good"
         else:
             b.kind = "short" if b.article or not b.linked else "bad"
+        suspect = b.suspect if b.kind == "good" else 0
+        while suspect not in cleared:
+            cleared.add(suspect)
+            suspect = around[suspect]
+    for b in blocks:
+        if b.suspect not in cleared and not b.article:
+            b.kind = "bad"
     plain = not any(b.article or b.kind == "good" for b in blocks)
     groups: dict[int, list[Block]] = {}
     for b in blocks:
@@ -241,8 +275,8 @@ def classify(blocks: list[Block]) -> None:
 
 def main_text(page: str | None) -> tuple[str, int]:
     """The good blocks of a page joined by line ends, and their number."""
-    blocks = blocks_of(page or "")
-    classify(blocks)
+    blocks, around = blocks_of(page or "")
+    classify(blocks, around)
     good = [b.text for b in blocks if b.kind == "good"]
     return "\n".join(good), len(good)
 

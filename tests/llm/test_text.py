@@ -293,3 +293,33 @@ def test_pages_table(spark):
     got = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract_pages(df).collect()), key=str)
     assert got == sorted([(1, "u", "Ä of", 4), (2, None, "", 0), (None, "v", "", 0), (1, "u", "Ä of", 4)], key=str)
     assert html_text.extract_pages(df.limit(0)).count() == 0
+
+
+PROSE = "This is the text that a reader of the page came for, and it is as long as it has to be for the rules of this test. " * 2
+PARAGRAPHS = "".join(f"<p>{PROSE}{k}</p>" for k in range(3))
+SAID = "\n".join(f"{PROSE}{k}" for k in range(3))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article><div class="elementor-widget elementor-widget-text-editor">{PARAGRAPHS}</div></article>',
+        f'<div class="site has-sidebar">{PARAGRAPHS}<div class="sidebar">{PROSE}</div><div class="site-footer"><p>The imprint of it.</p></div></div>',
+        f'<div class="has-sidebar"><article>{PARAGRAPHS}</article><div class="sidebar-box"><p>Near to it.</p></div></div>',
+        f'<article>{PARAGRAPHS}<div class="comments">{PARAGRAPHS}</div></article>',
+    ],
+)
+def test_page_text_keeps_containers_with_text(page):
+    assert html_text.main_text(page)[0] == SAID
+
+
+def test_page_text_keeps_signs_and_formulas_of_articles():
+    page = "<article><p>It is \xa9 the owner.</p><p>The sum <math><mi>x</mi></math> is it.</p></article>"
+    assert html_text.main_text(page)[0] == "It is \xa9 the owner.\nThe sum x is it."
+
+
+@pytest.mark.parametrize("part", ["<div>x</p>", "<object>y", "<a ", "<div class='x-ad'>z", "</div>", "<span class='ad'>q"])
+def test_page_text_takes_linear_time(part):
+    begin = time.time()
+    html_text.main_text(part * 100_000)
+    assert time.time() - begin < 8
