@@ -152,9 +152,14 @@ def _walk_order() -> Column:
 
 def search_paths(files: DataFrame, pattern: str, max_results: int | None = None, offset: int = 0) -> DataFrame:
     """Files and directories whose base name (or path, when the glob has `/`) matches."""
+    return search_entries(path_entries(files), pattern, max_results, offset)
+
+
+def search_entries(entries: DataFrame, pattern: str, max_results: int | None = None, offset: int = 0) -> DataFrame:
+    """`search_paths` over entries that are already there."""
     regex = text.glob_to_regex(pattern)
     target = "path" if "/" in pattern.removeprefix("**/") else "name"
-    hits = path_entries(files).filter(F.col(target).rlike(regex)).withColumn("walk", _walk_order())
+    hits = entries.filter(F.col(target).rlike(regex)).withColumn("walk", _walk_order())
     return ranked(hits, ["walk"], ["task_id"], max_results, offset).select("task_id", "path", "is_dir")
 
 

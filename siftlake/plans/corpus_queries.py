@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake import dims
 from siftlake.functions import labels, paths
-from siftlake.operators import lines, scans
+from siftlake.operators import lines, rule_tables, scans
 from siftlake.plans.registry import query
 from siftlake.plans.views import FILES_SQL, ROUTE_FILES_SQL, SECRET_FILES_SQL, Views, cte
-from siftlake.sources import tables
+from siftlake.session import drop_at_end, work_folder
+from siftlake.sources import gram_index, tables
 
 # The test documents hold tokens and page scripts, which the default rules do not look for.
 EXTRA_RULES = [
@@ -88,17 +89,51 @@ def static_rules(v: Views):
     return scans.static_rule_counts(v.files, EXTRA_RULES)
 
 
+# One more rule for each benchmark item: its first pair of plain words, in any case.
+PHRASE = "([a-z]+ [a-z]+)"
+
+
+def _rule_rows(v: Views):
+    fixed = v.spark.createDataFrame(
+        rule_tables.static_rule_table(EXTRA_RULES),
+        "rule_no long, pattern string, type string, subtype string, severity string, description string",
+    )
+    phrases = v.table("benchmark").select(
+        (F.col("item_id").cast("long") + 1000).alias("rule_no"),
+        F.concat(F.lit("(?i)"), F.regexp_extract("text", PHRASE, 1)).alias("pattern"),
+        F.lit("Phrase").alias("type"),
+        F.lit("Benchmark").alias("subtype"),
+        F.lit("INFO").alias("severity"),
+        F.col("item_id").cast("string").alias("description"),
+    )
+    return fixed.unionByName(phrases.where("pattern <> '(?i)'"))
+
+
 @query(
-    "grep_lines",
-    f"""{FILES}{SCANNED}, hits as (select task_id, path, line, trim(text, ' ' || chr(9) || chr(13)) as t from l
-        where not list_has_any({DIRS}, {IGNORED}) and regexp_matches(text, '(?i)TION')
+    "static_scan_table",
+    f"""{STATIC}, phrases as (select cast(item_id as bigint) + 1000 as rule_no, regexp_extract(text, '{PHRASE}', 1) as words,
+        cast(item_id as varchar) as description from benchmark)
+    select * from hits union all
+    select l.task_id, l.path, l.line, p.rule_no, 'Phrase', 'Benchmark', 'INFO', p.description,
+      trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))
+    from l join phrases p on contains(lower(text), words)
+    where words <> '' and regexp_matches(lower(path), '\\.(php|go|js|java|py|jsp)$')
+      and len(list_filter({DIRS}, lambda d: starts_with(d, '.') or d in ('vendor', 'node_modules'))) = 0""",
+)
+def static_scan_table(v: Views):
+    return rule_tables.static_scan_table(v.files, _rule_rows(v))
+
+
+def _grep_sql(pattern: str) -> str:
+    return f"""{FILES}{SCANNED}, hits as (select task_id, path, line, trim(text, ' ' || chr(9) || chr(13)) as t from l
+        where not list_has_any({DIRS}, {IGNORED}) and regexp_matches(text, '{pattern}')
           and not regexp_matches(lower(path), '\\.exe$'))
     select task_id, path, line,
       hex(case when strlen(t) > 100 then encode(t)[1:97] else encode(t) end) as shown
-    from hits""",
-)
-def grep_lines(v: Views):
-    found = lines.grep_lines(v.files, "TION", ignore_case=True)
+    from hits"""
+
+
+def _shown_bytes(found: DataFrame) -> DataFrame:
     # A cut may split a character, which shows as a mark in Spark: compare the bytes before it.
     raw = F.col("shown").cast("binary")
     return found.withColumn(
@@ -106,6 +141,22 @@ def grep_lines(v: Views):
     )
 
 
+@query("grep_lines", _grep_sql("(?i)TION"))
+def grep_lines(v: Views):
+    return _shown_bytes(lines.grep_lines(v.files, "TION", ignore_case=True))
+
+
+SEARCHED = r"(token|secret|passw(or)?d)\w*\s*[:=]|licen[cs]e"
+
+
+@query("grep_lines_indexed", _grep_sql(f"(?i){SEARCHED}"))
+def grep_lines_indexed(v: Views):
+    path = work_folder(v.spark, "gram-index")
+    drop_at_end(v.spark, path)
+    gram_index.write_file_index(v.files, path, blocks=16)
+    return _shown_bytes(gram_index.grep_indexed(v.spark, path, SEARCHED, ignore_case=True))
+
+
 ENTRIES = f"""{FILES}, e as (select distinct task_id, depth,
     case when depth = 0 then '.' else array_to_string(parts[1:depth], '/') end as path,
     case when depth = 0 then task_id else parts[depth] end as name, depth < len(parts) as is_dir
@@ -113,14 +164,24 @@ ENTRIES = f"""{FILES}, e as (select distinct task_id, depth,
   where not list_has_any(case when depth < len(parts) then parts[1:depth] else parts[1:depth - 1] end, {IGNORED}))"""
 
 
-@query(
-    "search_paths",
-    f"{ENTRIES} select task_id, path, is_dir from e where regexp_matches(path, '^src/[^/]*/doc[^/]*\\.[jp][^/]*$')",
+PATHS_FOUND = (
+    f"{ENTRIES} select task_id, path, is_dir from e where regexp_matches(path, '^src/[^/]*/doc[^/]*\\.[jp][^/]*$')"
 )
+
+
+@query("search_paths", PATHS_FOUND)
 def search_paths(v: Views):
     return lines.search_paths(v.files, "**/src/*/doc*.[jp]*")
 
 
+@query("search_paths_indexed", PATHS_FOUND)
+def search_paths_indexed(v: Views):
+    path = work_folder(v.spark, "gram-index")
+    drop_at_end(v.spark, path)
+    gram_index.write_path_index(v.files, path, blocks=16)
+    return gram_index.search_indexed(v.spark, path, "**/src/*/doc*.[jp]*")
+
+
 @query(
     "search_names",
     f"{ENTRIES} select task_id, path, is_dir from e where regexp_matches(name, '^[^/]?n[^/]*$')",
@@ -281,6 +342,12 @@ def secret_scan(v: Views):
     return scans.secret_scan(v.secret_files)
 
 
+@query("secret_scan_table", f"{SECRETS} select task_id, path, line, rule, excerpt from secrets")
+def secret_scan_table(v: Views):
+    rules = v.spark.createDataFrame(dims.SECRET_RULES, "rule string, pattern string, value_group int")
+    return rule_tables.secret_scan_table(v.secret_files, rules)
+
+
 @query(
     "secret_gate",
     f"""{SECRETS} select a.task_id, a.file_count, coalesce(b.n, 0) as secrets, b.n is null as passes
@@ -345,19 +412,25 @@ def unexpected_entries(v: Views):
 _ROUTES_SQL = ", ".join("('{}', '{}')".format(n, p.replace("'", "''")) for n, p in dims.ROUTE_RULES)
 
 
-@query(
-    "route_candidates",
-    f"""{cte(f=ROUTE_FILES_SQL)}{SCANNED}, rules(framework, pattern) as (values {_ROUTES_SQL}),
-      x as (select task_id, path, line, framework, text,
-        upper(regexp_extract(regexp_extract(text, pattern, 0), '(?i)(get|post|put|delete|patch)', 1)) as verb
-        from l join rules on regexp_matches(text, pattern))
-    select task_id, path, line, framework, case when verb = '' then 'ANY' else verb end as method,
-      regexp_extract(text, '["''](/[^"'']*)["'']', 1) as route from x""",
-)
+ROUTES_FOUND = f"""{cte(f=ROUTE_FILES_SQL)}{SCANNED}, rules(framework, pattern) as (values {_ROUTES_SQL}),
+  x as (select task_id, path, line, framework, text,
+    upper(regexp_extract(regexp_extract(text, pattern, 0), '(?i)(get|post|put|delete|patch)', 1)) as verb
+    from l join rules on regexp_matches(text, pattern))
+select task_id, path, line, framework, case when verb = '' then 'ANY' else verb end as method,
+  regexp_extract(text, '["''](/[^"'']*)["'']', 1) as route from x"""
+
+
+@query("route_candidates", ROUTES_FOUND)
 def route_candidates(v: Views):
     return scans.route_candidates(v.route_files)
 
 
+@query("route_candidates_table", ROUTES_FOUND)
+def route_candidates_table(v: Views):
+    rules = v.spark.createDataFrame(dims.ROUTE_RULES, "framework string, pattern string")
+    return rule_tables.route_candidates_table(v.route_files, rules)
+
+
 @query(
     "order_and_page",
     f"""{SECRETS} select task_id, path, line, rule, row_number() over (order by task_id, path, line, rule) as ordinal
