@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftlake import dims
 from siftlake.functions import paths, text
+from siftlake.operators.running import positions
 
 
 def split_lines(content: Column, style: str = "split") -> Column:
@@ -54,15 +55,18 @@ def ranked(
 ) -> DataFrame:
     """Rows offset+1 .. offset+limit of every group; all rows when neither is given.
 
-    The rank filter lets Spark cut each group before the shuffle, so a hot
-    group sends at most offset+limit rows per input partition.
+    For first rows the rank filter lets Spark cut each group before the shuffle, so a hot
+    group sends at most `limit` rows per input partition. Later pages (`order` names columns) are
+    found by their positions, which no task counts over a whole group.
     """
     if limit is None and not offset:
         return rows
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    if limit is not None:
-        rows = rows.filter(F.col("rank") <= offset + limit)
-    return rows.filter(F.col("rank") > offset).drop("rank")
+    if offset:
+        placed = positions(rows, keys, order, "rank")
+        last = F.lit(True) if limit is None else F.col("rank") <= offset + limit
+        return placed.filter((F.col("rank") > offset) & last).drop("rank")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= limit).drop("rank")
 
 
 def grep_lines(
@@ -189,10 +193,11 @@ def list_children(files: DataFrame, directory: str = "", max_entries: int | None
 def tree(files: DataFrame, max_depth: int = 2, max_entries: int | None = None) -> DataFrame:
     """Depth-limited tree, two spaces per level, root included, in walk order (`ordinal`)."""
     entries = path_entries(files, max_depth).withColumn("walk", _walk_order())
-    rank = F.row_number().over(Window.partitionBy("task_id").orderBy("walk"))
-    shown = entries.withColumn("ordinal", rank)
-    if max_entries is not None:
-        shown = shown.filter(F.col("ordinal") <= max_entries)
+    if max_entries is None:
+        shown = positions(entries, ["task_id"], ["walk"], "ordinal")
+    else:
+        rank = F.row_number().over(Window.partitionBy("task_id").orderBy("walk"))
+        shown = entries.withColumn("ordinal", rank.cast("long")).filter(F.col("ordinal") <= max_entries)
     kind = F.when(F.col("is_dir"), "[D] ").otherwise("[F] ")
     return shown.select(
         "task_id",

@@ -11,7 +11,7 @@ from siftlake.operators import lines, rule_tables, scans
 from siftlake.plans.registry import query
 from siftlake.plans.views import FILES_SQL, ROUTE_FILES_SQL, SECRET_FILES_SQL, Views, cte
 from siftlake.session import drop_at_end, work_folder
-from siftlake.sources import gram_index, tables
+from siftlake.sources import gram_index, ranges, tables
 
 # The test documents hold tokens and page scripts, which the default rules do not look for.
 EXTRA_RULES = [
@@ -62,6 +62,27 @@ def scanner_lines(v: Views):
     return lines.source_lines(v.secret_files, "scanner")
 
 
+@query(
+    "corpus_lines",
+    f"""{FILES}, l as (select task_id, regexp_replace(unnest(string_split(content, chr(10))), '\\r$', '') as text from f)
+    select task_id, text, count(*) as copies, true as numbered from l group by all""",
+)
+def corpus_lines(v: Views):
+    """The corpus is written as text files, several contents in each, and read by byte ranges."""
+    root = work_folder(v.spark, "corpus")
+    drop_at_end(v.spark, root)
+    v.files.where("content is not null").select("task_id", "content").write.partitionBy("task_id").text(root)
+    found = ranges.corpus_lines(v.spark, root, "*.txt", "scanner")
+    task = F.regexp_replace("task_id", "^task_id=", "")
+    per_file = found.groupBy("task_id", "path").agg(
+        F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high"), F.sum("line").alias("total")
+    )
+    right = (F.col("low") == 1) & (F.col("high") == F.col("n")) & (F.col("total") * 2 == F.col("n") * (F.col("n") + 1))
+    per_task = per_file.groupBy(task.alias("task_id")).agg(F.bool_and(right).alias("numbered"))
+    copies = found.groupBy(task.alias("task_id"), "text").agg(F.count("*").alias("copies"))
+    return copies.join(per_task, "task_id")
+
+
 _RULES_SQL = ", ".join(
     "({}, '{}', '{}', '{}', '{}', '{}')".format(i, *[x.replace("'", "''") for x in r])
     for i, r in enumerate(EXTRA_RULES)

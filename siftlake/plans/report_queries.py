@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftlake import dims
 from siftlake.functions import jsontext
-from siftlake.operators import findings, report, rollup
+from siftlake.operators import deltas, findings, report, rollup
 from siftlake.plans.finding_queries import (
     ARRAY_SHAPES,
     COMPONENT,
@@ -377,6 +377,44 @@ def write_stage_result(v: Views):
     )
 
 
+LIVE = f"""{STAGES}, f as (select stage_id as task_id, stage, {EFFECTIVE} as sev,
+    {VERIFICATION} <> 'rejected' and not ({AGAIN} and pos = 0) as counted
+    from ({flat_findings_sql()}) where {ARRAY_SHAPES} and stage in {KNOWN})"""
+
+
+def _live(v: Views) -> DataFrame:
+    """Results are written and counted, then written again in part and counted again."""
+    found = findings.stage_findings(v.stages)
+    items = found.select(F.col("stage_id").alias("task_id"), "stage", "pos", F.to_json("item").alias("item"))
+    path, counts = work_folder(v.spark, "stage-results"), work_folder(v.spark, "stage-counts")
+    drop_at_end(v.spark, path)
+    drop_at_end(v.spark, counts)
+    results.write_stage_result(tables.stage_documents(items, results.KEY), path)
+    deltas.update_counts(v.spark, path, counts)
+    again = items.where(AGAIN)
+    results.write_stage_result(tables.stage_documents(again.where("pos > 0"), results.KEY), path, scope=again)
+    deltas.update_counts(v.spark, path, counts)
+    return deltas.stored_counts(v.spark, counts)
+
+
+@query(
+    "live_stage_counts",
+    f"""{LIVE} select task_id, stage, 1 as completed, 0 as raw, count(*) filter (counted) as findings,
+      {', '.join(f"count(*) filter (counted and sev = '{x}') as {x.lower()}" for x in dims.SEVERITY_RANK)} from f group by all""",
+)
+def live_stage_counts(v: Views):
+    return deltas.live_counts(_live(v))
+
+
+@query(
+    "live_severities",
+    f"""{LIVE} select sev as severity, count(*) as n, {RANK.format('sev')} as rank, lower(sev) as tone
+    from f where counted group by all""",
+)
+def live_severities(v: Views):
+    return deltas.live_severities(_live(v))
+
+
 @query(
     "write_report_tables",
     f"""{REPORT}, d(stage, key, ordinal, label, code) as (values {_FIELD_DIM}),
