@@ -10,7 +10,7 @@ from siftlake.functions import labels, paths
 from siftlake.operators import lines, rule_tables, scans
 from siftlake.plans.registry import query
 from siftlake.plans.views import FILES_SQL, ROUTE_FILES_SQL, SECRET_FILES_SQL, Views, cte
-from siftlake.session import drop_at_end, work_folder
+from siftlake.session import drop_at_end, work_folder, written_table
 from siftlake.sources import gram_index, ranges, tables
 
 # The test documents hold tokens and page scripts, which the default rules do not look for.
@@ -78,7 +78,8 @@ def corpus_lines(v: Views):
         F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high"), F.sum("line").alias("total")
     )
     right = (F.col("low") == 1) & (F.col("high") == F.col("n")) & (F.col("total") * 2 == F.col("n") * (F.col("n") + 1))
-    per_task = per_file.groupBy(task.alias("task_id")).agg(F.bool_and(right).alias("numbered"))
+    # A table of known size: it is broadcast only where it is small, and then lines are dealt out once.
+    per_task = written_table(per_file.groupBy(task.alias("task_id")).agg(F.bool_and(right).alias("numbered")), "numbered")
     copies = found.groupBy(task.alias("task_id"), "text").agg(F.count("*").alias("copies"))
     return copies.join(per_task, "task_id")
 
