@@ -1,6 +1,6 @@
 """A stored index of grams for repeated searches: which rows can match a pattern, without reading the others.
 
-`write_index` stores rows in blocks by a hash of their keys, and postings (gram, row, block) in buckets by gram. A search
+`write_index` stores rows in blocks by a hash of their keys, and postings (gram, rows) in buckets by gram. A search
 turns its pattern into a formula of grams, reads the buckets of those grams and then only the blocks and row groups of
 the rows that make the formula true; a pattern that names no gram reads everything. The search itself is the plain one over
 those rows, so an index changes what is read, never what is found.
@@ -13,7 +13,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.functions import patterns, text
+from siftlake.functions import grams, patterns, text
 from siftlake.operators import lines
 
 BUCKETS = 64
@@ -26,11 +26,12 @@ def write_index(
 ) -> None:
     """Add rows and the postings of all grams of `value` to the index at `path`.
 
-    Rows with equal keys share a number; a null value has no postings. Blocks and buckets are cut into several files where
-    they are large, so a gram that most rows hold is no task of its own.
+    Rows with equal keys share a number of 32 bits, and so may others: they are read and searched as well. A null value has no
+    postings. Each task lists the rows of its grams before the shuffle, in lists of bounded length; blocks and buckets are
+    cut into several files where they are large, so a gram that most rows hold is no task of its own.
     """
     spark = rows.sparkSession
-    row_no = F.xxhash64(*keys)
+    row_no = F.hash(*keys)
     numbered = rows.withColumns({"row_no": row_no, "block": F.pmod(row_no, F.lit(blocks)).cast("int")})
     # Folders of an empty index hold no file that names the columns.
     numbered.limit(0).write.mode("overwrite").parquet(f"{path}/columns")
@@ -41,11 +42,12 @@ def write_index(
         .partitionBy("block")
         .parquet(f"{path}/rows")
     )
-    gram = F.explode(patterns.grams(text.column(value))).alias("gram")
-    postings = numbered.select("row_no", "block", gram).withColumn("bucket", (F.crc32("gram") % BUCKETS).cast("int"))
+    texts = numbered.select("row_no", text.column(value).alias("value"))
+    postings = texts.mapInArrow(grams.listed, "gram string, row_nos array<int>")
+    postings = postings.withColumns({"blocks": F.lit(blocks), "bucket": (F.crc32("gram") % BUCKETS).cast("int")})
     (
         postings.hint("rebalance", "bucket")
-        .sortWithinPartitions("bucket", "gram", "row_no")
+        .sortWithinPartitions("bucket", "gram")
         .write.mode("append")
         .option("compression", "zstd")
         .partitionBy("bucket")
@@ -57,11 +59,12 @@ def possible_rows(spark: SparkSession, path: str, known) -> DataFrame:
     """(row_no, block) of the rows whose grams make the formula true."""
     named = patterns.leaves(known)
     buckets = sorted({zlib.crc32(gram.encode()) % BUCKETS for gram in named})
-    stored = spark.read.schema("row_no bigint, block int, gram string, bucket int")
+    stored = spark.read.schema("gram string, row_nos array<int>, blocks int, bucket int")
     postings = stored.parquet(f"{path}/postings")
     return (
         postings.where(F.col("bucket").isin(buckets) & F.col("gram").isin(named))
-        .groupBy("row_no", "block")
+        .select("gram", F.explode("row_nos").alias("row_no"), "blocks")
+        .groupBy("row_no", F.pmod("row_no", "blocks").alias("block"))
         .agg(F.collect_set("gram").alias("_found"))
         .where(patterns.holds(known, F.col("_found")))
         .select("row_no", "block")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+import re
 from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
 import pytest
 
+from siftlake.functions import grams
 from siftlake.operators import lines
 from siftlake.session import work_folder
 from siftlake.sources import gram_index
@@ -84,3 +87,14 @@ def test_paths(spark, files):
     for glob in ("*.go", "**/src/d1/*", "f1?.py", "t0", "src/*/f2*.go", "*", "[ef]*.go"):
         want = sorted(map(tuple, lines.search_paths(files, glob).collect()))
         assert sorted(map(tuple, gram_index.search_indexed(spark, path, glob).collect())) == want, glob
+
+
+@pytest.mark.parametrize("pairs", [1, 40, 1 << 20])
+def test_listed_grams(pairs):
+    texts = ["", "ab", "abc", "ABCabc", None, "été 😀😀😀", "x" * 9, "abcdefghij" * 5, "\n\0\t "]
+    batch = pa.RecordBatch.from_pydict({"row_no": pa.array(range(len(texts)), pa.int32()), "value": texts})
+    got = {(r["gram"], n) for b in grams.listed(iter([batch, batch.slice(3, 2)]), pairs) for r in b.to_pylist() for n in r["row_nos"]}
+    fold = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "") for t in texts]
+    assert got == {(t[i : i + 3], n) for n, t in enumerate(fold) for i in range(len(t) - 2)}
+    for piece in (1, 2, 7):
+        assert [grams.distinct(t, piece).tolist() for t in fold] == [grams.distinct(t).tolist() for t in fold]
