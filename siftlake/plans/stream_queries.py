@@ -15,9 +15,10 @@ from siftlake.streaming import streams
 
 
 def _stream(v: Views, table: str) -> DataFrame:
-    """A driver table as a file stream."""
+    """A driver table, one file or a folder of files, as a file stream."""
     schema = v.spark.read.parquet(f"{v.sf_dir}/{table}.parquet").schema
-    return v.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(v.sf_dir)
+    # As a pattern the path may be a file, which a plain path of a stream may not.
+    return v.spark.readStream.schema(schema).parquet(f"{v.sf_dir}/{table}[.]parquet")
 
 
 def _view(v: Views, text: str, table: str, stream: DataFrame) -> DataFrame:
