@@ -143,14 +143,15 @@ def read_transcript(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.MESSAGES).option("mode", "FAILFAST").json(path)
 
 
-def read_states(spark: SparkSession, root: str, glob: str = "state.json") -> DataFrame:
+def read_states(spark: SparkSession, root: str, glob: str = "state.json", lines: bool = False) -> DataFrame:
     """All `<root>/<task_id>/<stage>/state.json`; invalid ones are skipped.
 
-    `session` is the state's own or `task_id/stage`, the key of its messages and artifacts.
+    With `lines` a file of a stage's folder holds many states, one on each line: a folder for each session means a file
+    to make, move, list and open for every one of them. `session` is the state's own or `task_id/stage`, the key of its messages and artifacts.
     """
     raw = (
         spark.read.schema(f"{schemas.STATES}, _corrupt_record string")
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", glob)
         .json(root)
