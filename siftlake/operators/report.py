@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from siftlake import dims
 from siftlake.functions import jsontext, labels, text
@@ -22,17 +25,33 @@ from siftlake.session import written_table
 REPORT_KEYS = [key for key, _, _ in dims.REPORT_STAGES]
 
 
-def report_documents(stages: DataFrame) -> DataFrame:
-    """Latest document per (task, report stage) that is completed and has a payload."""
+# What the findings, stages and overview of a report read of an element.
+TEXTS = jsontext.texts(
+    ["severity", "reviewed_severity", "verification_status", "verification_reason", "origin", "subtype", "description",
+     "location.file", "location.line", "trigger.method", "trigger.path", "trigger.parameter"]
+)
+
+
+def report_documents(stages: DataFrame, read: jsontext.Reader = jsontext.VARIANTS) -> DataFrame:
+    """Latest document per (task, report stage) that is completed and has a payload.
+
+    Read with `TEXTS`, documents serve all tables but the detail fields, which need every field of an element.
+    """
     audit = stages.filter(F.col("name").isin(REPORT_KEYS))
     done = latest_stage_by_name(audit).filter(labels.is_completed("status"))
-    parsed = where_parsed(parse_findings(done), F.col("state") != "none")
+    parsed = where_parsed(parse_findings(done, read), F.col("state") != "none")
     return parsed.select(
         "stage_id", "task_id", F.col("name").alias("stage"), "state", "items", "raw_text", "updated_at"
     )
 
 
-def _numbered_items(items: Column) -> Column:
+def _reader(documents: DataFrame) -> Callable[[Column, str], Column]:
+    """How a field of an element is read: `text_at`, or `shown_at` of elements read as texts."""
+    element = documents.schema["items"].dataType.elementType
+    return jsontext.shown_at if isinstance(element, StructType) else jsontext.text_at
+
+
+def _numbered_items(items: Column, at: Callable[[Column, str], Column]) -> Column:
     """Elements with their number among the active or among the rejected ones."""
 
     def numbered(group: Column, rejected: bool) -> Column:
@@ -41,43 +60,46 @@ def _numbered_items(items: Column) -> Column:
             lambda x, i: F.struct(F.lit(rejected).alias("rejected"), (i + 1).alias("number"), x.alias("item")),
         )
 
-    active = F.filter(items, lambda x: ~item_rejected(x))
-    return F.concat(numbered(active, False), numbered(F.filter(items, item_rejected), True))
+    def rejected(item: Column) -> Column:
+        return labels.verification_status(at(item, "verification_status")) == "rejected"
+
+    active = F.filter(items, lambda x: ~rejected(x))
+    return F.concat(numbered(active, False), numbered(F.filter(items, rejected), True))
 
 
 def report_rows(documents: DataFrame) -> DataFrame:
     """Documents exploded into numbered findings; documents without findings keep one row."""
     kept = [c for c in documents.columns if c != "items"]
-    rows = documents.select(*kept, F.explode_outer(_numbered_items(F.col("items"))).alias("z"))
+    rows = documents.select(*kept, F.explode_outer(_numbered_items(F.col("items"), _reader(documents))).alias("z"))
     return rows.select(*kept, "z.rejected", "z.number", "z.item")
 
 
-def _location(item: Column) -> Column:
+def _location(item: Column, at: Callable[[Column, str], Column] = jsontext.text_at) -> Column:
     return labels.format_location(
-        jsontext.text_at(item, "location.file"), jsontext.text_at(item, "location.line")
+        at(item, "location.file"), at(item, "location.line")
     )
 
 
-def _trigger(item: Column) -> Column:
+def _trigger(item: Column, at: Callable[[Column, str], Column] = jsontext.text_at) -> Column:
     return labels.format_trigger(
-        jsontext.text_at(item, "trigger.method"), jsontext.text_at(item, "trigger.path")
+        at(item, "trigger.method"), at(item, "trigger.path")
     )
 
 
-def _severity(item: Column) -> Column:
+def _severity(item: Column, at: Callable[[Column, str], Column] = jsontext.text_at) -> Column:
     return labels.effective_severity(
-        jsontext.text_at(item, "severity"), jsontext.text_at(item, "reviewed_severity")
+        at(item, "severity"), at(item, "reviewed_severity")
     )
 
 
 def report_findings(documents: DataFrame) -> DataFrame:
     """Every finding of the report, active and rejected numbered separately per stage."""
-    item, stage = F.col("item"), F.col("stage")
+    item, stage, at = F.col("item"), F.col("stage"), _reader(documents)
     stage_names = {key: label for key, label, _ in dims.REPORT_STAGES}
     label = F.create_map(*[F.lit(x) for pair in stage_names.items() for x in pair])
 
     def shown(key: str) -> Column:
-        return jsontext.text_at(item, key)
+        return at(item, key)
 
     return report_rows(documents).filter(F.col("number").isNotNull()).select(
         "stage_id",
@@ -85,14 +107,14 @@ def report_findings(documents: DataFrame) -> DataFrame:
         "stage",
         "rejected",
         F.concat(stage, F.lit("-"), F.col("number")).alias("anchor"),
-        _severity(item).alias("severity"),
+        _severity(item, at).alias("severity"),
         labels.verification_status(shown("verification_status")).alias("verification"),
         text.trim_all(shown("verification_reason")).alias("review_reason"),
         text.trim_all(shown("origin")).alias("origin"),
         text.or_default(shown("subtype"), F.try_element_at(label, stage)).alias("subtype"),
         text.or_default(shown("description"), dims.NO_DESCRIPTION).alias("description"),
-        _location(item).alias("location"),
-        _trigger(item).alias("trigger"),
+        _location(item, at).alias("location"),
+        _trigger(item, at).alias("trigger"),
         shown("trigger.parameter").alias("trigger_parameter"),
     )
 
@@ -142,7 +164,7 @@ def report_fields(documents: DataFrame) -> DataFrame:
 
 def _facts(documents: DataFrame) -> DataFrame:
     """Numbered rows with what the summaries need; a row per document at least."""
-    item = F.col("item")
+    item, at = F.col("item"), _reader(documents)
     counted = F.col("number").isNotNull() & ~F.col("rejected")
     return report_rows(documents).select(
         "stage_id",
@@ -153,9 +175,9 @@ def _facts(documents: DataFrame) -> DataFrame:
         "updated_at",
         F.coalesce(counted, F.lit(False)).alias("active"),
         F.coalesce(F.col("rejected"), F.lit(False)).alias("rejected"),
-        _severity(item).alias("severity"),
-        F.when(counted, F.nullif(_location(item), F.lit(""))).alias("location"),
-        F.when(counted, F.nullif(_trigger(item), F.lit(""))).alias("trigger"),
+        _severity(item, at).alias("severity"),
+        F.when(counted, F.nullif(_location(item, at), F.lit(""))).alias("location"),
+        F.when(counted, F.nullif(_trigger(item, at), F.lit(""))).alias("trigger"),
     )
 
 

@@ -218,8 +218,8 @@ REPORT = f"""{BOTH}, {LATEST}, doc as (select * from l where lower(status) = 'co
 _LABEL = "case stage " + " ".join(f"when '{k}' then '{n}'" for k, n, _ in dims.REPORT_STAGES) + " end"
 
 
-def _reported(v: Views):
-    return report.report_documents(v.stages)
+def _reported(v: Views, read: jsontext.Reader = report.TEXTS):
+    return report.report_documents(v.stages, read)
 
 
 @query(
@@ -263,7 +263,7 @@ _FIELD_ROWS = f"""k as (select stage_id, task_id, stage, rejected, number, {COMP
     from num where stage = 'config' and component_name is not null""",
 )
 def report_fields(v: Views):
-    return report.report_fields(_reported(v))
+    return report.report_fields(_reported(v, jsontext.VARIANTS))
 
 
 @query(
