@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftlake.functions.text import WHITE_SPACE, column, trim_all
+from siftlake.functions.text import column, spaced, trim_all
 
 # Closes the wrapping array in `_wrapped`; must not occur in real data.
 SENTINEL = "@@siftlake-end@@"
@@ -26,11 +26,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim_long(value: Column | str) -> Column:
     """Like `trim_all`, for long texts: looks at the ends first, which are rarely other than spaces."""
-    space = list(WHITE_SPACE)
 
     def edges(t: Column) -> Column:
-        inner = F.left(t, F.lit(1)).isin(space) | F.right(t, F.lit(1)).isin(space)
-        return F.when(inner, trim_all(t)).otherwise(t)
+        return F.when(spaced(t), trim_all(t)).otherwise(t)
 
     return let(F.trim(column(value)), edges)
 
@@ -137,12 +135,17 @@ def _variants(doc: Column) -> Column:
 VARIANTS = Reader(OBJECT_ARRAY, _variants, _objects_only, OBJECT_ARRAY, lambda items: items)
 
 
-def texts(paths: list[str]) -> Reader:
+def texts(paths: list[str], objects: bool = True, skipped: list[str] | None = None) -> Reader:
     """Elements as (t, hollow): the printed forms of some fields in `t`, nested as the paths say, null or '' when absent.
 
     All fields come from one walk over the element, where each variant taken out of another one is built anew. `hollow`
     names the fields that hold an empty list or object. Elements that may hold such or a double are read field by field.
+    Without `objects`, elements of any kind are taken; those that are no objects have no fields. With `skipped`, `fields` has
+    all other fields that print as more than '', as (key, said, value): the printed form, and the variant where that may be
+    of a list, an object or a double.
     """
+    variants = _variants if objects else ANY.of_doc
+    checked = _objects_only if objects else ANY.of_items
     tree: dict[str, list[str]] = {}
     for path in dict.fromkeys(paths):
         top, _, leaf = path.partition(".")
@@ -150,6 +153,8 @@ def texts(paths: list[str]) -> Reader:
     kinds = {top: f"struct<{', '.join(f'{x}: string' for x in leaves)}>" if leaves else "string" for top, leaves in tree.items()}
     shape = f"struct<{', '.join(f'{top}: {kind}' for top, kind in kinds.items())}>"
     whole = f"array<struct<t: {shape}, hollow: array<string>>>"
+    if skipped is not None:
+        return _with_fields(texts(paths, objects), shape, skipped)
 
     def plain(t: Column) -> Column:
         """Whether the element is an object and no text is one that several values print as."""
@@ -176,12 +181,12 @@ def texts(paths: list[str]) -> Reader:
         return F.when(ts.isNotNull() | items.isNotNull(), F.struct(ts.alias("ts"), items.alias("items")))
 
     def of_items(items: Column) -> Column:
-        return let(_objects_only(items), lambda xs: taken(F.lit(None).cast(f"array<{shape}>"), xs))
+        return let(checked(items), lambda xs: taken(F.lit(None).cast(f"array<{shape}>"), xs))
 
     def of_doc(doc: Column) -> Column:
         def judged(ts: Column) -> Column:
             read = F.struct(
-                F.when(F.forall(ts, plain), ts).alias("ts"), F.when(~F.forall(ts, plain), _variants(doc)).alias("items")
+                F.when(F.forall(ts, plain), ts).alias("ts"), F.when(~F.forall(ts, plain), variants(doc)).alias("items")
             )
             return let(read, lambda r: taken(r["ts"], r["items"]))
 
@@ -199,6 +204,47 @@ def texts(paths: list[str]) -> Reader:
     return Reader(whole, of_doc, of_items, f"struct<ts: array<{shape}>, items: {OBJECT_ARRAY}>", finish)
 
 
+def _with_fields(read: Reader, shape: str, skipped: list[str]) -> Reader:
+    """Elements of a reader of `texts`, each with its other fields."""
+    whole = f"array<struct<t: {shape}, hollow: array<string>, fields: array<struct<key: string, said: string, value: variant>>>>"
+
+    def unclear(said: Column) -> Column:
+        return said.startswith("[") | said.startswith("{") | said.endswith(".0")
+
+    def fields(item: Column) -> Column:
+        def named(said: Column) -> Column:
+            unsure = F.exists(said, lambda e: unclear(e["value"]))
+
+            def with_values(values: Column) -> Column:
+                def field(e: Column) -> Column:
+                    value = F.when(unclear(e["value"]), F.try_element_at(values, e["key"]))
+                    return F.struct(e["key"].alias("key"), e["value"].alias("said"), value.alias("value"))
+
+                return F.transform(said, field)
+
+            return let(F.when(unsure, F.try_variant_get(item, "$", PAYLOAD)), with_values)
+
+        all_fields = F.map_entries(F.try_variant_get(item, "$", "map<string,string>"))
+        return let(F.filter(all_fields, lambda e: (e["value"] != "") & ~e["key"].isin(skipped)), named)
+
+    def both(shown: Column, items: Column) -> Column:
+        return let(items, lambda xs: F.when(xs.isNotNull(), F.struct(shown.alias("shown"), xs.alias("items"))))
+
+    def of_doc(doc: Column) -> Column:
+        return both(read.of_doc(doc), _variants(doc))
+
+    def of_items(items: Column) -> Column:
+        return both(read.of_items(items), _objects_only(items))
+
+    def finish(value: Column) -> Column:
+        def each(x: Column, item: Column) -> Column:
+            return F.struct(x["t"].alias("t"), x["hollow"].alias("hollow"), fields(item).alias("fields"))
+
+        return let(value, lambda v: F.zip_with(read.finish(v["shown"]), v["items"], each).cast(whole))
+
+    return Reader(whole, of_doc, of_items, f"struct<shown: {read.taken}, items: {OBJECT_ARRAY}>", finish)
+
+
 def shown_at(item: Column, path: str) -> Column:
     """`text_at` of an element read by `texts`."""
     value = item["t"]
@@ -407,16 +453,53 @@ def best_items(value: Column | str, read: Reader = VARIANTS) -> Column:
 
 def parse_result_array(value: Column | str) -> Column:
     """The user interface's reading: strip one leading fence, slice the outer array, parse."""
+    return let(let(trim_long(value), result_array_text), lambda t: _top_array(t))
+
+
+def result_array_text(trimmed: Column) -> Column:
+    """What `parse_result_array` parses of a trimmed text, null where it can't be an array."""
 
     def unfenced(text: Column) -> Column:
         opened = F.regexp_replace(text, r"^```(?:json)?\s*", "")
         return F.when(text.startswith(FENCE), F.regexp_replace(opened, r"\s*```$", "")).otherwise(text)
 
     def sliced(body: Column) -> Column:
-        return F.coalesce(slice_between(body, "[", "]"), body)
+        # A text with these ends is its own slice.
+        return F.when(_bracketed(body), body).otherwise(F.coalesce(slice_between(body, "[", "]"), body))
+
+    def listed(body: Column) -> Column:
+        return F.when(_bracketed(body) & F.left(body, F.lit(_HEAD)).rlike(_STARTS["["]), body)
+
+    elsewhere = let(let(unfenced(trimmed), sliced), listed)
+    return F.when(_bracketed(trimmed), listed(trimmed)).otherwise(elsewhere)
+
+
+def _bracketed(text: Column) -> Column:
+    return text.startswith("[") & text.endswith("]")
+
+
+def result_items(text: Column, read: Reader) -> Column:
+    """The elements of a text of `result_array_text` as `read.finish` takes them, null unless it is an array."""
+    return _listed(text, read)
+
+
+def _sizes(doc: Column) -> Column:
+    # Elements that are no objects become null, so nothing is copied and the size stays.
+    return F.try_variant_get(doc, "$[0]", "array<struct<>>")
+
 
-    body = let(let(trim_long(value), unfenced), sliced)
-    return let(body, lambda t: _top_array(F.when(_could_be_json(t) & t.startswith("["), t)))
+# For sizes alone: elements of any kind, without content.
+SIZES = Reader(
+    "array<struct<>>",
+    _sizes,
+    lambda items: F.transform(items, lambda x: F.try_variant_get(x, "$", "struct<>")),
+    "array<struct<>>",
+    lambda items: items,
+)
+# Elements of any kind, where `VARIANTS` takes objects and nulls.
+ANY = Reader(
+    OBJECT_ARRAY, lambda doc: F.try_variant_get(doc, "$[0]", OBJECT_ARRAY), lambda items: items, OBJECT_ARRAY, lambda items: items
+)
 
 
 def payload(item: Column | str) -> Column:

@@ -24,6 +24,12 @@ def trim_all(value: Column | str) -> Column:
     return F.btrim(column(value), F.lit(WHITE_SPACE))
 
 
+def spaced(value: Column | str) -> Column:
+    """Whether a text starts or ends with white space."""
+    t = column(value)
+    return F.left(t, F.lit(1)).isin(list(WHITE_SPACE)) | F.right(t, F.lit(1)).isin(list(WHITE_SPACE))
+
+
 def blank(value: Column | str) -> Column:
     """True for null, empty and white-space-only text."""
     return F.coalesce(trim_all(value), F.lit("")) == ""

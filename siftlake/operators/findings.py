@@ -14,6 +14,7 @@ from siftlake import dims
 from siftlake.functions import jsontext, labels, text
 
 KNOWN_STAGES = [key for key, _ in dims.STAGES]
+ROUTE_TEXTS = jsontext.texts(["method", "path"], objects=False)
 
 
 # ---- parsing ----
@@ -71,18 +72,30 @@ def where_parsed(docs: DataFrame, condition: Column) -> DataFrame:
     return docs.withColumn("_kept", kept).filter(F.col("_kept")).drop("_kept")
 
 
-def ui_items(docs: DataFrame) -> DataFrame:
+def ui_items(docs: DataFrame, read: jsontext.Reader = jsontext.ANY) -> DataFrame:
     """The user interface's reading: items or null, and whether there is any payload.
 
     It looks at `output_json` alone unless that is absent, and never turns an
-    object into a list.
+    object into a list. With another reader the items are of its type, which must take elements of any kind.
     """
-    output = text.trim_all(F.coalesce("output_json", F.lit("")))
-    absent = output.isin("", "null")
-    source = F.when(absent, F.col("result")).when(~output.startswith("{"), output)
-    result_text = text.trim_all(F.coalesce("result", F.lit("")))
-    return docs.withColumn("items", jsontext.parse_result_array(source)).withColumn(
-        "has_payload", F.when(absent, result_text != "").otherwise(output != "{}")
+
+    # Each step is a column, so that texts are trimmed once and the steps are compiled.
+    def edges(t: Column) -> Column:
+        return F.when(text.spaced(t), text.trim_all(t)).otherwise(t)
+
+    absent = F.col("_output").isin("", "null")
+    source = F.coalesce("_result", F.when(~F.col("_output").startswith("{"), F.col("_output")))
+    items = read.finish(jsontext.result_items(F.col("_array"), read))
+    return (
+        docs.withColumn("_output", F.trim(F.coalesce("output_json", F.lit(""))))
+        .withColumn("_output", edges(F.col("_output")))
+        .withColumn("_result", F.when(absent, F.trim(F.coalesce("result", F.lit("")))))
+        .withColumn("_result", edges(F.col("_result")))
+        .withColumn("_source", source)
+        .withColumn("_array", jsontext.result_array_text(F.col("_source")))
+        .withColumn("items", items)
+        .withColumn("has_payload", F.when(absent, F.col("_result") != "").otherwise(F.col("_output") != "{}"))
+        .drop("_output", "_result", "_source", "_array")
     )
 
 
@@ -208,10 +221,10 @@ def route_counts_ui(tasks: DataFrame) -> DataFrame:
     """The user interface counts only routes with a method and a path."""
 
     def named(item: Column) -> Column:
-        return (jsontext.text_at(item, "method") != "") & (jsontext.text_at(item, "path") != "")
+        return (jsontext.shown_at(item, "method") != "") & (jsontext.shown_at(item, "path") != "")
 
     counted = F.size(F.filter("items", named))
-    return ui_items(tasks).select(
+    return ui_items(tasks, ROUTE_TEXTS).select(
         "task_id", F.when(F.col("items").isNull(), 0).otherwise(counted).alias("route_count")
     )
 

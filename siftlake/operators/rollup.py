@@ -143,17 +143,22 @@ def stage_cards(tasks: DataFrame, stages: DataFrame) -> DataFrame:
     """All nine stages of every task: status, number of items (rejected included), detail code.
 
     On repeated names the first document counts. The nine stages are exploded
-    from a literal, and documents are attached by (task, stage).
+    from a literal. Documents are counted where they are read, so only narrow rows are shuffled,
+    once for the choice and the join.
     """
-    first = stages.groupBy("task_id", "name").agg(F.min(F.struct("created_at", "stage_id")).alias("first"))
-    chosen = stages.join(first.select(F.col("first.stage_id").alias("stage_id")), "stage_id", "left_semi")
-    facts = ui_items(chosen).select(
+    facts = ui_items(stages.filter(F.col("name").isin(KNOWN_STAGES)), jsontext.SIZES).select(
         "task_id",
         F.col("name").alias("stage"),
+        "created_at",
+        "stage_id",
         "status",
         F.when(F.col("items").isNotNull(), F.size("items")).alias("finding_count"),
         "has_payload",
     )
+    own = Window.partitionBy("task_id", "stage")
+    first = F.min(F.struct("created_at", "stage_id")).over(own)
+    facts = facts.withColumn("_first", first).filter(F.col("stage_id") == F.col("_first.stage_id"))
+    facts = facts.drop("_first", "created_at", "stage_id")
     names = F.array(*[F.lit(k) for k in KNOWN_STAGES])
     slots = tasks.select("task_id", F.posexplode(names).alias("ordinal", "stage"))
     n, done = F.col("finding_count"), F.col("status") == "completed"
