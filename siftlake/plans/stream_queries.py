@@ -84,9 +84,11 @@ def log_microbatch(v: Views):
 )
 def stream_memory_delta(v: Views):
     source, path = work_folder(v.spark, "stream-in"), work_folder(v.spark, "stream-memory")
-    v.messages.repartition(6).write.json(source)
-    # The log arrives in three triggers; without restarts the state ends where the batch form does.
-    arrived = streams.stream_transcript(v.spark, source, files_per_trigger=2)
+    # The log arrives in three triggers, each of as many files as tasks run at once; without restarts the state ends
+    # where the batch form does.
+    files = max(2, v.spark.sparkContext.defaultParallelism)
+    v.messages.repartition(3 * files).write.json(source)
+    arrived = streams.stream_transcript(v.spark, source, files_per_trigger=files)
     streams.drain(streams.stream_memory_delta(arrived, 1000, 2, restart=False), path)
     _drop(v, source, path)
     return streams.memory_rows(v.spark, f"{path}-checkpoint", 1000, 2)

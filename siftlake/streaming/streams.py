@@ -121,7 +121,7 @@ class _Growth(StatefulProcessor):
         now = timerValues.getCurrentProcessingTimeInMs() if self.cooldown else 0
         for part in rows:
             growth, calls = growth + int(part["growth_bytes"].sum()), calls + int(part["tool_calls"].sum())
-            last = max(last, int(part["last_seq"].max()))
+            last = max([last, *part["last_seq"].dropna().astype("int64")])
             for seq, at, failed in sorted(x for xs in part["outcomes"] for x in _outcomes(xs)):
                 failures = failures + 1 if failed else 0
                 until = at + 1000 * self.cooldown if failed and self.cooldown else 0
@@ -148,11 +148,13 @@ def _outcomes(text: str) -> list[tuple[int, int, bool]]:
 def _partial_growth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row for each session of a batch, so few rows of a busy session are shuffled."""
     for batch in batches:
+        # Outcomes are rare, and joining texts takes a call for each session.
+        said = (batch["outcomes"] != "").any()
+        joined = {"outcomes": ("outcomes", lambda x: ",".join(o for o in x if o))} if said else {}
         out = batch.groupby("session", as_index=False, dropna=False).agg(
-            growth_bytes=("growth_bytes", "sum"), tool_calls=("tool_calls", "sum"), last_seq=("last_seq", "max"),
-            outcomes=("outcomes", lambda x: ",".join(o for o in x if o)),
-        )
-        yield out
+            growth_bytes=("growth_bytes", "sum"), tool_calls=("tool_calls", "sum"), last_seq=("last_seq", "max"), **joined
+        )
+        yield out if said else out.assign(outcomes="")
 
 
 def stream_memory_delta(
