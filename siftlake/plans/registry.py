@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.session import configure
+from siftlake.session import WIDE_CONF, configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
         from siftlake.plans.views import Views
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Views(configure(spark), sf_dir))
+            return fn(Views(configure(spark, WIDE_CONF), sf_dir))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
